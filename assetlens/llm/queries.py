@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from assetlens.llm._shared import table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.warc_index import capture_index
+
+    out = capture_index(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from assetlens.llm.sp_agenda import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from assetlens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlens.llm.url_templates import judge_urls
 
@@ -30,6 +53,9 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_packing": op5_packing,
     "op2_url_templates": op2_url_templates,
     "op8_quality_rules": op8_quality_rules,
     "op10_chat_windows": op10_chat_windows,
