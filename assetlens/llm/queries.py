@@ -44,6 +44,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.embedding_lsh import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlens.llm.chat_windows import format_windows, read_back
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op2_url_templates": op2_url_templates,
     "op8_quality_rules": op8_quality_rules,
+    "op9_embedding_lsh": op9_embedding_lsh,
     "op10_chat_windows": op10_chat_windows,
 }
 ORACLES: dict[str, str] = {}
