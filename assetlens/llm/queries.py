@@ -15,6 +15,12 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +66,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op2_url_templates": op2_url_templates,
