@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of words of letters: all ASCII characters but letters.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -55,10 +58,10 @@ def sums_of_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 class Words:
     """of: the text of each word; hash: its hash; start and end: its place in buffer; first: the first word of each text, and the number of words."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, separators: np.ndarray = _SPACE):
         self.buffer = b" ".join(texts)
         raw = np.frombuffer(self.buffer, np.uint8)
-        inside = ~_SPACE[raw]
+        inside = ~separators[raw]
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         value = _BYTE[_LOWER[raw]] if lower else _BYTE[raw]

@@ -43,6 +43,18 @@ def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.cotrain import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.substring_dedup import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlens.llm.decision_list import judge
 
@@ -70,6 +82,8 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op2_url_templates": op2_url_templates,
+    "op6_cotraining": op6_cotraining,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_lsh": op9_embedding_lsh,
     "op10_chat_windows": op10_chat_windows,
