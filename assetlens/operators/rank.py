@@ -1,7 +1,7 @@
-"""Ranks and percentiles. with_ranks() needs no global sort: it ranks the histogram of values.
+"""Ranks and percentiles. with_ranks() needs no global sort: values are cut into ranges at approximate quantiles.
 
-The histogram (one row per distinct value) is cut into ranges at approximate quantiles; each range is summed in
-its own task, and the sums before it come from a table with one row per range. So no task sees all values.
+Rows are ranked inside their range, each range in a task of its own, and the number of rows in lower ranges comes from
+a table with one row per range and group. No task sees all values, and the plan holds its input once.
 """
 
 from __future__ import annotations
@@ -13,28 +13,45 @@ from pyspark.sql import functions as F
 from assetlens.functions.text import to_number
 
 
+#: Most (range, group) totals that are looked at in the driver; with more groups each group is small enough for a window.
+TOTALS = 20_000
+
+
 def with_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), ranges: int = 64, prefix: str = "") -> DataFrame:
     """Adds, for rows with a value: <prefix>lo (rows with a smaller one), <prefix>ties, <prefix>n (rows with one); null for others."""
     keyed = df.withColumn("_v", to_number(value))
-    hist = keyed.where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = sorted(set(keyed.approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.005)))
-    bucket = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("_v"))) if cuts else F.lit(0)
-    hist = hist.withColumn("_r", bucket)
-    totals = hist.groupBy(*by, "_r").agg(F.sum("_c").alias("_s"))
-    before = W.partitionBy(*by).orderBy("_r")
-    whole = W.partitionBy(*by)
-    totals = totals.withColumns({"_b": F.sum("_s").over(before.rowsBetween(W.unboundedPreceding, -1)), "_n": F.sum("_s").over(whole)})
-    inside = W.partitionBy(*by, "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    hist = hist.withColumn("_i", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    keys = [*by, "_r"]
-    h, t = hist.alias("h"), F.broadcast(totals).alias("t")
-    ranked = h.join(t, [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
-    ranked = ranked.select(*[F.col(f"h.{k}").alias(f"_k{i}") for i, k in enumerate(by)], F.col("h._v").alias("_kv"), (F.coalesce("_b", F.lit(0)) + F.col("_i")).alias(prefix + "lo"), F.col("_c").alias(prefix + "ties"), F.col("_n").alias(prefix + "n"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col("_v") == F.col("_kv")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return keyed.join(ranked, cond, "left").drop("_v", "_kv", *[f"_k{i}" for i in range(len(by))])
+    cuts = sorted(set(keyed.approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.01)))
+    bucket = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("_v"))) if cuts else F.lit(0))
+    keyed = keyed.withColumn("_r", bucket)
+    totals = keyed.where("_v is not null").groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_s")).limit(TOTALS + 1).toPandas()
+    has = F.col("_v").isNotNull()
+    if len(totals) > TOTALS:
+        group = W.partitionBy(*by, has)
+        lo, n = F.rank().over(group.orderBy("_v")) - 1, F.count("_v").over(group)
+        out = keyed.withColumns({prefix + "lo": F.when(has, lo), prefix + "n": F.when(has, n)})
+    else:
+        # a constant-size table: the rows in lower ranges of the same group, and the group's rows
+        below: dict[tuple, int] = {}
+        size: dict[tuple, int] = {}
+        for row in totals.sort_values("_r").itertuples(index=False):
+            key = tuple(row[:-2])
+            size[key] = size.get(key, 0) + int(row[-1])
+        rows = []
+        for row in totals.sort_values("_r").itertuples(index=False):
+            key = tuple(row[:-2])
+            rows.append((*[None if x != x else x for x in key], int(row[-2]), below.get(key, 0), size[key]))
+            below[key] = below.get(key, 0) + int(row[-1])
+        kinds = dict(df.dtypes)
+        schema = ", ".join([f"_k{i} {kinds[k]}" for i, k in enumerate(by)] + ["_kr int, _b bigint, _n bigint"])
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+        on = F.col("_r") == F.col("_kr")
+        for i, k in enumerate(by):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        inside = F.rank().over(W.partitionBy(*by, "_r").orderBy("_v")) - 1
+        out = keyed.join(table, on, "left").withColumns({prefix + "lo": F.when(has, F.col("_b") + inside), prefix + "n": F.when(has, F.col("_n"))})
+        out = out.drop("_b", "_n", "_kr", *[f"_k{i}" for i in range(len(by))])
+    ties = F.count(F.lit(1)).over(W.partitionBy(*by, "_r", "_v"))
+    return out.withColumn(prefix + "ties", F.when(has, ties)).drop("_v", "_r")
 
 
 def average_rank(prefix: str = "") -> Column:
