@@ -208,14 +208,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def kept(rules: list[Rule]) -> Column:
+    """Whether a row passes the base rule and the list.
+
+    The partition's number, which is never negative, makes the expression one that Spark won't copy into the places
+    below it: a filter on it is evaluated on the finished statistics, not once more for each word of a text.
+    """
+    return ~base_failed() & (as_column(rules) == 0) & (F.spark_partition_id() >= 0)
+
+
+def learned(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list[Rule]:
+    return learn_rules(text_stats(labelled_sample(docs.select("doc_id", "text"), labels, label, sample)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """docs' columns but text, the statistics, base_failed, rule (the first that fires, or 0) and kept."""
-    rules = learn_rules(text_stats(labelled_sample(docs.select("doc_id", "text"), labels, label, sample)))
-    return text_stats(docs).withColumn("base_failed", base_failed()).withColumn("rule", as_column(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rules = learned(docs, labels, label, sample)
+    return text_stats(docs).withColumns({"base_failed": base_failed(), "rule": as_column(rules), "kept": kept(rules)})
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that are kept, unchanged. The text travels beside its statistics: no join, no shuffle."""
-    rules = learn_rules(text_stats(labelled_sample(docs.select("doc_id", "text"), labels, label, sample)))
+    rules = learned(docs, labels, label, sample)
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return text_stats(row).where(~base_failed() & (as_column(rules) == 0)).select("row.*")
+    return text_stats(row).withColumn("kept", kept(rules)).where("kept").select("row.*")
