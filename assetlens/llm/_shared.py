@@ -36,10 +36,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = folder or new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,3 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_folder() named."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+#: Most ids that are sent to every executor; beyond it both sides are dealt out by id.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in ids (one column, distinct, written). Broadcast if there are at most BROADCAST_IDS ids, else a shuffle join."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")

@@ -4,7 +4,8 @@
    thousand counters) order the shingles from rare to frequent, ties by hash. A document's lead is its first
    n - ceil(percent n / 100) + 1 shingles in that order; two linked documents share a shingle of their leads.
 2. Documents with equal sets are one class. Classes that share no lead shingle with another one link with nothing.
-   For the rest the whole sets are kept.
+   Whole sets
+   are made again from the texts for the documents that a later step compares, and only for those.
 3. Each class is checked against one pivot for each of two pairs of min-hashes; what links makes the first components.
 4. Classes are put into groups of similar ones, of bounded number and about equal set size: those of a component,
    else those that share their rarest lead shingle. The matrix holds each group's lead shingles, and a group's
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.llm._components import components
-from assetlens.llm._shared import written
+from assetlens.llm._shared import rows_with_ids, written
 from assetlens.llm._words import Words, mixed, sums_of_runs, text_chunks
 
 #: Counters of the shingle table, and how many of them make a row while they are added up.
@@ -125,6 +126,12 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set array<bigint>")
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The whole sets of the documents in ids (doc_id), written."""
+    ids = written(ids.distinct(), "ids")
+    return written(whole_sets(rows_with_ids(docs, ids, "doc_id"), n), "sets")
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Members that two sorted sets have in common."""
     if len(a) > len(b):
@@ -134,13 +141,14 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def pivot_links(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between a document and the pivot of its min-hash pair: the smallest id that has the pair."""
     key = F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("t"), F.col("m2").alias("m"))))
     keyed = sigs.select("doc_id", "n", key.alias("key"))
     pivots = keyed.groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pairs = keyed.join(pivots, "key").where(f"doc_id <> p.doc_id and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = written(pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pivots")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +163,7 @@ def pivot_links(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def group_links(leads: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between components of first (node, component) by the token-group matrix. leads: t, doc_id, n."""
     docs = leads.groupBy("doc_id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.min_by("t", "at").alias("rarest"))
     docs = docs.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
@@ -177,6 +185,8 @@ def group_links(leads: DataFrame, sets: DataFrame, first: DataFrame, percent: in
             and (c_size > qs or (c_size = qs and c_max > qc))"""
     )
     pairs = written(met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc")), "met")
+    open_blocks = docs.join(pairs.select("block").distinct(), "block")
+    sets = sets_of(docs_text, open_blocks.select("doc_id").unionByName(pairs.select(F.col("q").alias("doc_id"))), words)
     load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     queries = pairs.join(load, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
     queries = queries.join(sets.select(F.col("doc_id").alias("q"), "set"), "q").select("block", "part", F.lit(1).alias("asks"), F.col("q").alias("id"), F.col("qc").alias("comp"), "set")
@@ -217,6 +227,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles and component_id (the smallest linked id) for each row of docs (doc_id: long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = written(signatures(docs, words, percent, shingle_counts(docs, words)), "signatures")
+    if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
     sound = sigs.where("n > 0 and doc_id is not null")
     classes = sound.groupBy("n", "k1", "k2").agg(F.min_by(F.struct("doc_id", "m1", "m2", "lead"), "doc_id").alias("r"))
     reps = written(classes.select("n", "k1", "k2", "r.doc_id", "r.m1", "r.m2", "r.lead"), "classes")
@@ -224,10 +236,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     common = lead.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     leads = written(lead.join(common, "t"), "leads")
     near = leads.select("doc_id").distinct()
-    sets = written(whole_sets(docs.join(near, "doc_id").dropDuplicates(["doc_id"]), words), "sets")
-    links = written(pivot_links(reps.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), sets, percent), "links")
+    links = written(pivot_links(reps.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent), "links")
     first = written(components(links), "components")
-    more = group_links(leads, sets, first, percent)
+    more = group_links(leads, docs, first, words, percent)
     last = components(links.unionByName(more))
     members = reps.join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = members.select("n", "k1", "k2", F.coalesce("component", "doc_id").alias("component"))
