@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by a token-group matrix: which documents are linked at 100 * common >= percent * united.
 
-1. Every text's set of word shingles is hashed. Counts of shingles in a fixed table (all documents, a few hundred
-   thousand counters) order the shingles from rare to frequent, ties by hash. A document's lead is its first
-   n - ceil(percent n / 100) + 1 shingles in that order; two linked documents share a shingle of their leads.
+1. Every text's set of word shingles is hashed. Counts of shingles in a fixed table (all documents, a few million
+   counters) order the shingles from rare to frequent, ties by hash. A document's lead is its first
+   n - ceil(percent n / 100) + 8 shingles in that order; two linked documents share 8 shingles of their leads, or as
+   many as the smaller one needs for a link if those are fewer.
 2. Documents with equal sets are one class. Classes that share no lead shingle with another one link with nothing.
    Whole sets
    are made again from the texts for the documents that a later step compares, and only for those.
-3. Each class is checked against one pivot for each of two pairs of min-hashes; what links makes the first components.
+3. Each class is checked against one pivot for each of two pairs of min-hashes (a few where very many classes have the
+   pair); what links makes the first components.
 4. Classes are put into groups of similar ones, of bounded number and about equal set size: those of a component,
    else those that share their rarest lead shingle. The matrix holds each group's lead shingles, and a group's
    union of whole sets travels with it.
-5. A query meets a group only through a common lead shingle, in a compatible size, if the group isn't all of the query's own
+5. A query meets a group only through enough common lead shingles, in a compatible size, if the group isn't all of the query's own
    component, and from the smaller component's side. If the query has fewer shingles in the union than a link
    needs, the group stays closed; else its members are compared exactly. Links between components join them.
 
@@ -34,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.llm._components import components
-from assetlens.llm._shared import rows_with_ids, written
+from assetlens.llm._shared import new_folder, remove, rows_with_ids, written
 from assetlens.llm._words import Words, mixed, sums_of_runs, text_chunks
 
-#: Counters of the shingle table, and how many of them make a row while they are added up.
-COUNTERS, ROW = 1 << 18, 1 << 13
+#: Counters of the shingle table, how many of them make a row while they are added up, and shingles that leads must have in common.
+COUNTERS, ROW, SHARED = 1 << 22, 1 << 15, 8
+PLACE = np.uint64(64 - COUNTERS.bit_length() + 1)
+#: Pivots of a min-hash pair that more than LARGE documents have.
+PIVOTS, LARGE = 8, 64
 #: Most members of a group and most queries that meet one group in one task, on average.
 MEMBERS, QUERIES = 48, 1500
 
@@ -66,7 +71,8 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for _, texts in text_chunks(batches, 0):
-            total += np.bincount((shingle_sets(texts, n)[1] >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(total, (shingle_sets(texts, n)[1] >> PLACE).astype(np.int64), 1)
+        total = np.minimum(total, 255).astype(np.uint8)  # where a part alone has this many the order is settled
         rows = [(k, total[k * ROW : (k + 1) * ROW]) for k in range(COUNTERS // ROW) if total[k * ROW : (k + 1) * ROW].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["row", "counts"])
 
@@ -74,19 +80,20 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
         sums: dict = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "counts"])
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
+        cells = [np.minimum(x, 65535).astype("<u2").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(cells, pa.binary())], names=["row", "counts"])
 
     schema = "row int, counts binary"
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.uint16)
     for r in docs.select("text").mapInArrow(count, schema).repartition(COUNTERS // ROW, "row").mapInArrow(add, schema).collect():
-        out[r["row"] * ROW : (r["row"] + 1) * ROW] += np.frombuffer(r["counts"], np.int64)
+        out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], "<u2")
     return out
 
 
 def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """doc_id, n, k1 and k2 (a hash of the set), m1 and m2 (hashes of pairs of min-hashes) and lead, in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     salts = np.random.default_rng(5).integers(1, 1 << 63, 4).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +109,8 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
                 low = [np.minimum.reduceat(mixed(h ^ s), first[some]) for s in salts]
                 keys[2, some] = mixed(low[0] + mixed(low[1])).astype(np.int64)
                 keys[3, some] = mixed(low[2] + mixed(low[3])).astype(np.int64)
-            order = np.lexsort((h, shared.value[(h >> np.uint64(46)).astype(np.int64)], of))
-            lead = np.where(size > 0, size - (-(-percent * size // 100)) + 1, 0)
+            order = np.lexsort((h, shared.value[(h >> PLACE).astype(np.int64)], of))
+            lead = np.minimum(size, size - (-(-percent * size // 100)) + SHARED)
             place = np.arange(len(h)) - np.repeat(first, size)
             taken = h[order][place < np.repeat(lead, size)].astype(np.int64)
             cols = [pa.array(size, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lead)), pa.int32()), pa.array(taken))]
@@ -126,10 +133,10 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set array<bigint>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, folder: str | None = None) -> DataFrame:
     """The whole sets of the documents in ids (doc_id), written."""
     ids = written(ids.distinct(), "ids")
-    return written(whole_sets(rows_with_ids(docs, ids, "doc_id"), n), "sets")
+    return written(whole_sets(rows_with_ids(docs, ids, "doc_id"), n), "sets", folder)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -141,14 +148,17 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between a document and the pivot of its min-hash pair: the smallest id that has the pair."""
+def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str | None = None) -> DataFrame:
+    """Links (a, b) between a document and the pivots of its min-hash pairs: the smallest ids that have the pair."""
     key = F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("t"), F.col("m2").alias("m"))))
     keyed = sigs.select("doc_id", "n", key.alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # the smallest id of each of PIVOTS parts of a key's documents; a small key has one pivot, a large one all of them
+    parts = keyed.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"), F.count(F.lit(1)).alias("c"))
+    pivots = parts.groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.sum("c").alias("c")).where("c > 1")
+    pivots = pivots.select("key", F.explode(F.when(F.col("c") > LARGE, F.col("ps")).otherwise(F.slice("ps", 1, 1))).alias("p"))
     pairs = keyed.join(pivots, "key").where(f"doc_id <> p.doc_id and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
     pairs = written(pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pivots")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words, folder)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +194,9 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
         f"""100 * n_max >= {percent} * qn and {percent} * n_min <= 100 * qn and not (c_min = c_max and c_min = qc)
             and (c_size > qs or (c_size = qs and c_max > qc))"""
     )
-    pairs = written(met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc")), "met")
+    least = F.least(F.lit(SHARED), F.ceil(F.col("qn") * percent / 100), F.ceil(F.col("bn") * percent / 100))
+    pairs = met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc"), F.min("n_min").alias("bn"), F.count(F.lit(1)).alias("common"))
+    pairs = written(pairs.where(F.col("common") >= least).select("block", "q", "qn", "qc"), "met")
     open_blocks = docs.join(pairs.select("block").distinct(), "block")
     sets = sets_of(docs_text, open_blocks.select("doc_id").unionByName(pairs.select(F.col("q").alias("doc_id"))), words)
     load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
@@ -226,17 +238,21 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked id) for each row of docs (doc_id: long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(signatures(docs, words, percent, shingle_counts(docs, words)), "signatures")
+    spark, scratch = docs.sparkSession, [new_folder(docs.sparkSession, "signatures"), new_folder(docs.sparkSession, "sets")]
+    whole = written(signatures(docs, words, percent, shingle_counts(docs, words)), "signatures", scratch[0])
+    sigs = written(whole.select("doc_id", "n", "k1", "k2"), "keys")
     if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])
-    sound = sigs.where("n > 0 and doc_id is not null")
+    sound = whole.where("n > 0 and doc_id is not null")
     classes = sound.groupBy("n", "k1", "k2").agg(F.min_by(F.struct("doc_id", "m1", "m2", "lead"), "doc_id").alias("r"))
     reps = written(classes.select("n", "k1", "k2", "r.doc_id", "r.m1", "r.m2", "r.lead"), "classes")
+    remove(spark, scratch[0])
     lead = reps.select("doc_id", "n", F.posexplode("lead").alias("at", "t"))
     common = lead.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     leads = written(lead.join(common, "t"), "leads")
     near = leads.select("doc_id").distinct()
-    links = written(pivot_links(reps.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent), "links")
+    links = written(pivot_links(reps.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch[1]), "links")
+    remove(spark, scratch[1])
     first = written(components(links), "components")
     more = group_links(leads, docs, first, words, percent)
     last = components(links.unionByName(more))
