@@ -449,7 +449,7 @@ def b7_parse_number(spark, sf):
     return table(spark, sf, "events").select("event_id", T.parse_number("props").alias("k"))
 
 
-@query("b8_parse_size", "SELECT p_partkey, p_size*1024.0*1024.0 AS bytes FROM part")
+@query("b8_parse_size", "SELECT p_partkey, (p_size*1024.0*1024.0)::DOUBLE AS bytes FROM part")
 def b8_parse_size(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.parse_size_bytes(F.concat(F.col("p_size").cast("string"), F.lit(" mb"))).alias("bytes"))
 
