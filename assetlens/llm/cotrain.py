@@ -182,12 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
         return None
     words = got.column("words").combine_chunks()
     size = words.value_lengths().to_numpy()
-    of, col = np.repeat(np.arange(n), size), words.flatten().to_numpy().astype(np.int64)
-    common = np.bincount(col, minlength=1 << BITS) >= 4
-    keep = common[col]
-    text = Rows(n, 1 << BITS, of[keep], col[keep], np.array(got.column("shares").to_pylist()))
-    meta = np.array(got.column("meta").to_pylist()).reshape(n, 3)
-    return co_train(text, Rows(n, META, np.repeat(np.arange(n), 3), meta.ravel()), got.column("good").to_numpy().astype(int), **options)
+    of, col = np.repeat(np.arange(n, dtype=np.int32), size), words.flatten().to_numpy()
+    keep = (np.bincount(col, minlength=1 << BITS) >= 4)[col]
+    shares, meta, good = (got.column(c).combine_chunks() for c in ("shares", "meta", "good"))
+    shares, meta, good = shares.flatten().to_numpy().reshape(n, SHARES), meta.flatten().to_numpy().reshape(n, 3), good.to_numpy().astype(int)
+    text = Rows(n, 1 << BITS, of[keep], col[keep], shares)
+    del got, words, of, col, keep  # the driver holds the sample once, in 32-bit numbers
+    return co_train(text, Rows(n, META, np.repeat(np.arange(n), 3), meta.ravel()), good, **options)
 
 
 def score(docs: DataFrame, model: CoModel | None, others: tuple[str, ...] = ("doc_id",)) -> DataFrame:
