@@ -31,6 +31,8 @@ from assetlens.llm._words import NOT_LETTERS, Words, mixed, text_chunks
 SAMPLE = 12_000
 BITS, META = 18, 1 << 10
 SHARES = 6
+#: Ones of a sparse matrix that are worked on at once.
+PART = 1 << 20
 _SYMBOL, _UPPER, _MARK, _DIGIT = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER[65:91] = True
@@ -72,18 +74,29 @@ class Rows:
         self.n, self.width, self.of, self.col = n, width, of, col
         self.dense = np.zeros((n, 0)) if dense is None else dense
 
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ones in slices, so that 64-bit copies of them stay small."""
+        for at in range(0, len(self.of), PART):
+            yield self.of[at : at + PART], self.col[at : at + PART]
+
     def margins(self, weights: np.ndarray) -> np.ndarray:
-        k = self.width
-        return np.bincount(self.of, weights[self.col], self.n) + self.dense @ weights[k:-1] + weights[-1]
+        out = self.dense @ weights[self.width : -1] + weights[-1]
+        for of, col in self.parts():
+            out += np.bincount(of, weights[col], self.n)
+        return out
 
     def gradient(self, g: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.col, g[self.of], self.width), self.dense.T @ g, [g.sum()]])
+        out = np.zeros(self.width)
+        for of, col in self.parts():
+            out += np.bincount(col, g[of], self.width)
+        return np.concatenate([out, self.dense.T @ g, [g.sum()]])
 
     def take(self, rows: np.ndarray) -> Rows:
-        new = np.full(self.n, -1)
+        new = np.full(self.n, -1, np.int32)
         new[rows] = np.arange(len(rows))
-        keep = new[self.of] >= 0
-        return Rows(len(rows), self.width, new[self.of[keep]], self.col[keep], self.dense[rows])
+        of = new[self.of]
+        keep = of >= 0
+        return Rows(len(rows), self.width, of[keep], self.col[keep], self.dense[rows])
 
 
 def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 150, rate: float = 0.1) -> np.ndarray:
