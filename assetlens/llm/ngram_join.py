@@ -10,7 +10,7 @@
 3. Each class is checked against one pivot for each of two pairs of min-hashes (a few where very many classes have the
    pair); what links makes the first components.
 4. Classes are put into groups of similar ones, of bounded number and about equal set size: those of a component,
-   else those that share their rarest lead shingle. The matrix holds each group's lead shingles, and a group's
+   else those that share their commonest lead shingle; within these, those with the same rarest one. The matrix holds each group's lead shingles, and a group's
    union of whole sets travels with it.
 5. A query meets a group only through enough common lead shingles, in a compatible size, if the group isn't all of the query's own
    component, and from the smaller component's side. If the query has fewer shingles in the union than a link
@@ -175,14 +175,17 @@ def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, fold
 
 def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between components of first (node, component) by the token-group matrix. leads: t, doc_id, n."""
-    docs = leads.groupBy("doc_id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.min_by("t", "at").alias("rarest"))
+    docs = leads.groupBy("doc_id").agg(F.first("n").alias("n"), F.min_by("t", "at").alias("rarest"), F.max_by("t", "at").alias("commonest"))
     docs = docs.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     sizes = docs.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("comp_size"))
     docs = docs.join(sizes, "component", "left").withColumn("comp_size", F.coalesce("comp_size", F.lit(1)))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    docs = docs.select("doc_id", "n", "comp", "comp_size", F.struct(F.col("component").isNotNull().alias("linked"), F.coalesce("component", "rarest").alias("v"), band.alias("band")).alias("family"))
-    blocks = docs.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
-    docs = docs.join(blocks, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / MEMBERS))))
+    docs = docs.select("doc_id", "n", "comp", "comp_size", "rarest", F.struct(F.col("component").isNotNull().alias("linked"), F.coalesce("component", "commonest").alias("v"), band.alias("band")).alias("family"))
+    near = docs.groupBy("family", "rarest").agg(F.count(F.lit(1)).alias("near"))
+    families = near.groupBy("family").agg(F.sum("near").alias("c"))
+    # documents with the same rarest shingle share a block of their family, unless they alone fill one
+    dealt = F.xxhash64(F.when(F.col("near") > MEMBERS, F.col("doc_id")).otherwise(F.col("rarest")))
+    docs = docs.join(near, ["family", "rarest"]).join(families, "family").withColumn("block", F.xxhash64("family", F.pmod(dealt, F.ceil(F.col("c") / MEMBERS))))
     docs = written(docs.select("doc_id", "n", "comp", "comp_size", F.col("family.linked").alias("linked"), "block"), "grouped")
     rows = leads.select("t", "doc_id").join(docs, "doc_id")
     # shingles of one component only can't lead to a new link
