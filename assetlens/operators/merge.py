@@ -110,25 +110,55 @@ def attach_unique(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(checked.drop("_n"), key, "left")
 
 
+#: Characters of the longest gram that blocks and names are joined on, and about how many rows of one gram, of either side, meet in one cell of the join.
+GRAM, CELL = 6, 1_000
+
+
+def name_hits(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 100_000) -> DataFrame:
+    """Distinct block and name where the block contains the name, whatever stands beside it. Null and empty names are in no block.
+
+    Up to `most` names are broadcast. More are joined with the blocks on a gram (see _shared_gram); either way contains() decides.
+    """
+    b = blocks.select(F.col(block).alias("_b")).where("_b is not null").distinct()
+    n = names.select(F.col(name).alias("_n")).where("_n <> ''").distinct()
+    few = n.limit(most + 1).count() <= most
+    hits = b.join(F.broadcast(n), F.contains("_b", "_n")) if few else _shared_gram(b, n)
+    return hits.select(F.col("_b").alias(block), F.col("_n").alias(name))
+
+
 def name_in_text(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 100_000) -> DataFrame:
-    """Blocks that hold exactly one name, with it. Names are broadcast if there are few, else looked up by their words.
+    """Blocks that hold exactly one name, with it. The answer doesn't depend on `most` (see name_hits)."""
+    hits = name_hits(blocks, names, block, name, most)
+    one = hits.groupBy(block).agg(F.min(name).alias(name), F.max(name).alias("_hi")).where(F.col(name) == F.col("_hi"))
+    return one.drop("_hi")
+
+
+def _grams(c: str, lengths) -> Column:
+    """The distinct runs of so many characters; the characters are split once per row."""
+    runs = lambda x, k: F.when(F.size(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), ""))).otherwise(F.array().cast("array<string>"))
+    every = F.transform(F.array(F.split(c, "")), lambda x: F.array_distinct(F.concat(*[runs(x, F.lit(k)) for k in lengths])))
+    return F.get(every, F.lit(0))
+
+
+def _shared_gram(b: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs of _b and _n where _b contains _n, by a join on that gram of the name which the fewest blocks have.
 
-    The second way explodes blocks into runs of as many words as the names have, so the join is on equality.
+    Grams have GRAM characters, or all of a shorter name. A gram that many blocks or names have is dealt out in cells.
     """
-    if names.limit(most + 1).count() <= most:
-        hits = blocks.join(F.broadcast(names), F.contains(F.col(block), F.col(name)))
-    else:
-        lengths = [r[0] for r in names.select(F.size(F.split(name, " ")).alias("k")).distinct().limit(64).collect()]
-        words = F.split(F.regexp_replace(block, r"\s+", " "), " ")
-        runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), _run_of(words, k)) for k in lengths]
-        grams = blocks.withColumn(name, F.explode(F.array_distinct(F.concat(*runs))))
-        hits = grams.join(names, name)
-    one = hits.groupBy(block).agg(F.countDistinct(name).alias("_n"), F.first(name).alias(name)).where("_n = 1")
-    return one.drop("_n")
-
-
-def _run_of(words: Column, k: int):
-    return lambda i: F.array_join(F.slice(words, i, k), " ")
+    size = F.least(F.char_length("_n"), F.lit(GRAM))
+    lengths = sorted(r[0] for r in n.select(size.alias("k")).distinct().collect())  # at most GRAM numbers
+    own = F.when(F.char_length("_n") >= GRAM, _grams("_n", [GRAM])).otherwise(F.array("_n"))
+    mine = n.select("_n", F.explode(own).alias("_g"))
+    theirs = b.select(F.xxhash64("_b").alias("_id"), F.explode(_grams("_b", lengths)).alias("_g"))
+    in_blocks = theirs.groupBy("_g").agg(F.count(F.lit(1)).alias("_nb"))
+    chosen = mine.join(in_blocks, "_g").groupBy("_n").agg(F.min_by(F.struct("_g", "_nb"), F.struct("_nb", "_g")).alias("x")).select("_n", "x._g", "x._nb")
+    cells = chosen.groupBy("_g").agg(F.ceil(F.max("_nb") / CELL).cast("int").alias("_s"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_t"))
+    deal = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = theirs.join(cells, "_g").select("_g", "_id", F.pmod("_id", "_s").cast("int").alias("_i"), deal("_t").alias("_j"))
+    right = chosen.join(cells, "_g").select("_g", "_n", F.pmod(F.xxhash64("_n"), "_t").cast("int").alias("_j"), deal("_s").alias("_i"))
+    pairs = left.join(right, ["_g", "_i", "_j"]).select("_id", "_n")
+    # ids may clash: each text of an id is looked at, and a pair stays only if the text contains the name
+    return b.withColumn("_id", F.xxhash64("_b")).join(pairs, "_id").where(F.contains("_b", "_n")).select("_b", "_n")
 
 
 def strict_subset(new: str, old: str) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetlens.functions import text as T
-from assetlens.operators import merge, rank, scores, stats
+from assetlens.operators import merge, pages, rank, scores, stats
 from assetlens.streaming import monitor
 
 
@@ -76,3 +76,33 @@ def test_stream_equals_batch(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("qa").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("qa").collect()} == {tuple(r) for r in monitor.qa_by_time(d, "ts", "1 hour", agg).collect()}
+
+
+def test_name_in_text_is_the_same_at_every_size(spark, monkeypatch):
+    names = ["road noise", "noise", "a  b", "上海市道路", "道路", "公交站点信息数据", "😀x", "q", "long name of five words", "", None, *[" ".join(["w"] * k) + f" z{k}z" for k in range(1, 80)]]
+    blocks = ["(road noise), 2024", "noises", "x a  b.", "查看上海市道路情况", "全市公交站点信息数据集", "道路", "p😀x", "q", "Q", "", None, "a b", "my long name of five words!", "noise q", *[f"<{n}>" for n in names[11:]], *[f"common gram {k}" for k in range(30)]]
+    names += [f"common gram {k}" for k in range(30)]
+    b, n = spark.createDataFrame([(x,) for x in blocks], "block string"), spark.createDataFrame([(x,) for x in names], "name string")
+    monkeypatch.setattr(merge, "CELL", 4)
+    want = {}
+    for x in blocks:
+        hits = {y for y in names if y and x is not None and y in x}
+        if len(hits) == 1:
+            want[x] = hits.pop()
+    for most in (100_000, 5):
+        assert {r.block: r.name for r in merge.name_in_text(b, n, "block", "name", most).collect()} == want
+        every = {(x, y) for x in blocks if x for y in names if y and y in x}
+        pairs = [tuple(r) for r in merge.name_hits(b, n, "block", "name", most).collect()]
+        assert len(pairs) == len(every) and set(pairs) == every
+
+
+def test_name_records(spark):
+    rows = [(1, "<p>道路数据 CSV</p><p>road list JSON</p><p>two names: road list, bus stops XML</p><p>no format</p>"), (2, "<div>road list CSV <a href='d?id=7'>x</a></div>"), (3, "<p>unknown XLSX</p>")]
+    names = spark.createDataFrame([("a", "道路"), ("b", "road list"), ("c", "bus stops"), ("d", ""), ("e", "unknown"), ("f", "unknown")], "asset_id string, name string")
+    got = {(r.page_id, r.block): (r.formats, r.match_count, r.asset_id) for r in pages.name_records(pages.parse_pages(spark.createDataFrame(rows, "page_id int, html string")), names, "page_id").collect()}
+    assert got == {
+        (1, "道路数据 CSV"): (["CSV"], 1, "a"),
+        (1, "road list JSON"): (["JSON"], 1, "b"),
+        (1, "two names: road list, bus stops XML"): (["XML"], 2, None),
+        (3, "unknown XLSX"): (["XLSX"], 2, None),
+    }
