@@ -1,9 +1,9 @@
 """Quality classifier by co-training of two views, a text's content and its page's metadata.
 
-Fitting looks at a bounded sample (``sample`` labelled and as many unlabelled documents, by the order of a hash of their ids).
-Spark makes the features of the sampled documents, the driver fits two logistic models. In each round either
-model labels the unlabelled documents that it is surest of, if it is surer than ``confidence``; they join the
-other model's training rows. A third of the labelled rows is held back: on it each view is calibrated (a logistic
+Fitting looks at a bounded sample of the labelled documents (``sample`` of those in the table, by the order of a hash of their ids).
+Spark makes their features, the driver fits two logistic models. In each round Spark scores every unlabelled document with
+both, and either model labels those that it is surest of, if it is surer than ``confidence``; they join the other model's
+training rows. The surest are found by a distributed top-k; only their features reach the driver (``added`` of the training rows per view and round, none twice). A third of the labelled rows is held back: on it each view is calibrated (a logistic
 map of its margin), the calibrated views are combined, and the threshold is set where the share of good documents kept plus the share of
 bad ones rejected is largest. The models are a few hundred thousand numbers at most; all documents are scored in one pass with them.
 
@@ -11,13 +11,13 @@ A document is good if its quality is 1 and it isn't toxic. Content: which words
 marks, digits and distinct words. Metadata: language, source, length.
 
 Edge cases: a null text is empty; null metadata is a category of its own; labels without quality are left out, toxic null is 0;
-of several labels of a document the lowest counts; without good or without bad labels all documents are kept with score 1;
+of several labels of a document the lowest counts; documents with a null id are unlabelled, equal rows count once to fit; without good or without bad labels all documents are kept with score 1;
 an empty table gives no rows; repeated rows are scored each; texts of any length are read whole; columns besides those named are kept by keep_documents().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetlens.llm._shared import new_folder, remove, written
 from assetlens.llm._words import NOT_LETTERS, Words, mixed, text_chunks
 
-#: Most labelled and most unlabelled documents that are looked at to fit.
+#: Most labelled documents that are looked at to fit.
 SAMPLE = 12_000
 BITS, META = 18, 1 << 10
 SHARES = 6
@@ -132,17 +133,39 @@ def _dense_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(Rows(len(y), 0, none, none, x), y, np.ones(len(y)), 1e-4, 400, 0.05)
 
 
-def co_train(text: Rows, meta: Rows, good: np.ndarray, rounds: int = 3, confidence: float = 0.97, added: float = 0.1) -> CoModel | None:
-    """good: 1, 0, or -1 for unlabelled rows. None if one of the labels is missing."""
-    labelled = np.flatnonzero(good >= 0)
-    held = labelled[np.arange(len(labelled)) % 3 == 0]
-    train = labelled[np.arange(len(labelled)) % 3 > 0]
+@dataclass
+class Sample:
+    """Features of some rows: words of row i are size[i] columns, one row's after the other's."""
+
+    key: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+    shares: np.ndarray
+    meta: np.ndarray
+
+    def __add__(self, other: Sample) -> Sample:
+        return Sample(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("key", "size", "words", "shares", "meta")))
+
+    def views(self) -> tuple[Rows, Rows]:
+        """Text without the words of fewer than four rows, and metadata."""
+        n = len(self.key)
+        of = np.repeat(np.arange(n, dtype=np.int32), self.size)
+        keep = (np.bincount(self.words, minlength=1 << BITS) >= 4)[self.words]
+        return Rows(n, 1 << BITS, of[keep], self.words[keep], self.shares), Rows(n, META, np.repeat(np.arange(n), 3), self.meta.ravel())
+
+
+#: The two views' weights, how many rows per view, and per view the keys that it may not name again, to: per view key and label of its surest, and their features.
+Surest = Callable[[list[np.ndarray], int, list[np.ndarray]], tuple[list[dict[int, float]], Sample]]
+
+
+def co_train(pool: Sample, good: np.ndarray, surest: Surest, rounds: int = 3, added: float = 0.1) -> CoModel | None:
+    """good: 1 or 0 for each row of pool. None if one of the labels is missing."""
+    labelled = np.arange(len(good))
+    held, train = labelled[labelled % 3 == 0], labelled[labelled % 3 > 0]
     if any(len(set(good[part].tolist())) < 2 for part in (held, train)):
         return None
-    free = good < 0
-    views = (text, meta)
     known = [(train, good[train].astype(float)), (train, good[train].astype(float))]
-    models = []
+    views = pool.views()
     for k in range(rounds + 1):
         models = []
         for x, (rows, y) in zip(views, known):
@@ -151,14 +174,16 @@ def co_train(text: Rows, meta: Rows, good: np.ndarray, rounds: int = 3, confiden
             models.append(fit_logistic(x.take(rows), y, weight))
         if k == rounds:
             break
+        named, features = surest(models, max(1, int(added * len(train))), [pool.key[known[1 - v][0][len(train) :]] for v in (0, 1)])
+        if not any(named):
+            break
+        del views
+        pool += features
+        place = {h: i for i, h in enumerate(pool.key.tolist())}
         for view in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[view].margins(models[view]), -30, 30)))
-            most = max(1, int(added * len(train)))
-            sure = np.flatnonzero(free & (np.abs(p - 0.5) > confidence - 0.5))
-            sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][:most]
             rows, y = known[1 - view]
-            fresh = sure[~np.isin(sure, rows)]
-            known[1 - view] = (np.append(rows, fresh), np.append(y, (p[fresh] > 0.5).astype(float)))
+            known[1 - view] = (np.append(rows, np.array([place[h] for h in named[view]], rows.dtype)), np.append(y, list(named[view].values())))
+        views = pool.views()
     y = good[held].astype(float)
     margins = [x.take(held).margins(m) for x, m in zip(views, models)]
     maps = np.array([_dense_fit(m[:, None], y) for m in margins])
@@ -173,35 +198,62 @@ def co_train(text: Rows, meta: Rows, good: np.ndarray, rounds: int = 3, confiden
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> CoModel | None:
-    """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality, toxic."""
-    order = F.xxhash64("doc_id", F.lit(3))
-    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    some = judged.orderBy(order, "doc_id").limit(sample)
-    rest = docs.where("doc_id is not null").select("doc_id").distinct().join(judged, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample)
-    chosen = some.unionByName(rest.withColumn("good", F.lit(-1)))
-    sampled = docs.join(F.broadcast(chosen), "doc_id").select("good", "text", "lang", "source", "n_chars")
+_FEATURES = ("text", "lang", "source", "n_chars")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *_FEATURES, F.xxhash64("doc_id", *_FEATURES).alias("_h"))
+
+
+def _features(rows: DataFrame, extra: str) -> tuple[Sample, np.ndarray]:
+    """Of distinct rows by _h, in its order: the features, and the column extra (int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, 2):
             of, col, shares = text_features(texts)
-            meta = meta_columns(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+            meta = meta_columns(*(batch.column(k).to_pylist() for k in (3, 4, 5)))
             cuts = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(col.astype(np.int32))), pa.array(list(shares), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int64()))], names=["good", "words", "shares", "meta"])
-
-    got = sampled.mapInArrow(run, "good int, words array<int>, shares array<double>, meta array<bigint>").toArrow()
-    n = got.num_rows
-    if not n:
-        return None
-    words = got.column("words").combine_chunks()
-    size = words.value_lengths().to_numpy()
-    of, col = np.repeat(np.arange(n, dtype=np.int32), size), words.flatten().to_numpy()
-    keep = (np.bincount(col, minlength=1 << BITS) >= 4)[col]
-    shares, meta, good = (got.column(c).combine_chunks() for c in ("shares", "meta", "good"))
-    shares, meta, good = shares.flatten().to_numpy().reshape(n, SHARES), meta.flatten().to_numpy().reshape(n, 3), good.to_numpy().astype(int)
-    text = Rows(n, 1 << BITS, of[keep], col[keep], shares)
-    del got, words, of, col, keep  # the driver holds the sample once, in 32-bit numbers
-    return co_train(text, Rows(n, META, np.repeat(np.arange(n), 3), meta.ravel()), good, **options)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(col.astype(np.int32))), pa.array(list(shares), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int64()))], names=["_h", "extra", "words", "shares", "meta"])
+
+    got = rows.select("_h", F.col(extra).cast("int").alias("extra"), *_FEATURES).mapInArrow(run, "_h bigint, extra int, words array<int>, shares array<double>, meta array<bigint>").toArrow()
+    key, first = np.unique(got.column("_h").to_numpy(), return_index=True)
+    got = got.take(pa.array(first)).combine_chunks()
+    words, shares, meta = (got.column(c).combine_chunks() for c in ("words", "shares", "meta"))
+    n = len(key)
+    sample = Sample(key, words.value_lengths().to_numpy().astype(np.int64), words.flatten().to_numpy(), shares.flatten().to_numpy().reshape(n, SHARES), meta.flatten().to_numpy().reshape(n, 3))
+    return sample, got.column("extra").to_numpy().astype(int)
+
+
+def surest_unlabelled(docs: DataFrame, judged: DataFrame, models: list[np.ndarray], most: int, known: list[np.ndarray], confidence: float) -> tuple[list[dict[int, float]], Sample]:
+    """Per view the keys and labels of its `most` surest documents outside judged and known, and the features of all of them."""
+    spark = docs.sparkSession
+    plain = CoModel(models[0], models[1], np.array([[1.0, 0.0], [1.0, 0.0]]), np.zeros(3), 0.0)
+    sure = lambda c: F.abs(F.col(c) - 0.5)
+    columns = ("text_score", "meta_score")
+    s = score(_keyed(docs), plain, ("doc_id", "_h")).where((sure(columns[0]) > confidence - 0.5) | (sure(columns[1]) > confidence - 0.5))
+    folder = new_folder(spark, "sure")
+    s = written(s.join(judged.select("doc_id"), "doc_id", "left_anti").select("_h", *columns).distinct(), "sure", folder)
+    named: list[dict[int, float]] = []
+    for c, before in zip(columns, known):
+        seen = set(before.tolist())
+        top = s.where(sure(c) > confidence - 0.5).orderBy(sure(c).desc(), "_h").select("_h", c).limit(most + len(seen)).collect()
+        named.append(dict([(r[0], float(r[1] > 0.5)) for r in top if r[0] not in seen][:most]))
+    remove(spark, folder)
+    chosen = spark.createDataFrame([(h,) for h in sorted({*named[0], *named[1]})], "_h bigint")
+    return named, _features(_keyed(docs).join(F.broadcast(chosen), "_h").withColumn("good", F.lit(-1)), "good")[0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, confidence: float = 0.97, **options) -> CoModel | None:
+    """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality, toxic. Labels without a document in docs take no place in the sample."""
+    spark = docs.sparkSession
+    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
+    folder = new_folder(spark, "judged")
+    judged = written(judged.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "judged", folder)
+    some = judged.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    pool, good = _features(_keyed(docs).join(F.broadcast(some), "doc_id"), "good")
+    model = co_train(pool, good, lambda models, most, known: surest_unlabelled(docs, judged, models, most, known, confidence), **options)
+    remove(spark, folder)
+    return model
 
 
 def score(docs: DataFrame, model: CoModel | None, others: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -243,6 +243,27 @@ def test_cotraining(spark, docs):
     assert all(x.kept for x in classify(docs, lab.limit(0)).collect())
 
 
+def test_cotraining_uses_every_unlabelled_document_and_only_labels_with_one(spark, monkeypatch):
+    from assetlens.llm import cotrain
+
+    r = random.Random(5)
+    words = [f"w{k}" + "abcdefghij"[k % 10] for k in range(60)]
+    rows = []
+    for i in range(3000):
+        bad, new = i % 2 == 0, i >= 2960  # labelled, then unlabelled of unknown source, then a few whose source tells that they are bad
+        t = " ".join(r.choices(words, k=30)) + (" zeta" if new else (" awful" if bad else " fine") if i < 120 else "")
+        rows.append((i, t, "en", ("bad" if bad or new else "good") if i < 120 or new else "other", 200))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = [(i, i % 2, 0) for i in range(120)] + [(-i, i % 2, 0) for i in range(1, 4000)]
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    seen, inner = [], cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda *a, **b: seen.append(a) or inner(*a, **b))
+    model = cotrain.fit(d, lab, sample=120, confidence=0.9, added=0.25)
+    assert [int((x >= 0).sum()) for a in seen for x in a if isinstance(x, np.ndarray)] == [120]
+    zeta = cotrain.text_features([b"zeta"])[1][0]
+    assert model.text[zeta] < -0.01
+
+
 def test_components(spark):
     from assetlens.llm._components import components
 
