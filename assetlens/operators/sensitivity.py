@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import clip01, to_number
-from assetlens.operators.rank import add_percentile, min_rank, with_ranks
+from assetlens.operators.rank import TOTALS, add_percentile, min_rank, with_ranks
 from assetlens.operators.scores import is_candidate
 
 Scenario = tuple[str, float, float, float]
@@ -59,10 +59,15 @@ def perturbed_weights(base: dict[str, float], amplitudes: list[float], draws: in
 
 def weight_scenarios(df: DataFrame, key: str, base: dict[str, float], draws: list[tuple[str, dict[str, float]]], shares: tuple[float, ...] = (0.1, 0.3)) -> DataFrame:
     """Per draw: Spearman with the base score and the overlap of the best rows. Draws are a small literal table."""
-    score = lambda w: sum((clip01(c) * v for c, v in w.items()), F.lit(0.0))
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("draw"), score(w).alias("score")) for n, w in draws]))
-    d = df.select(key, score(base).alias("base"), cells.alias("x")).select(key, "base", "x.*")
-    d = with_ranks(with_ranks(d, "score", ("draw",), prefix="s_"), "base", ("draw",), prefix="b_")
+    used = list(dict.fromkeys([*base, *[c for _, w in draws for c in w]]))
+    at = {c: k for k, c in enumerate(used)}
+    own = df.select(key, *[clip01(c).alias(f"_c{k}") for c, k in at.items()])
+    own = own.withColumn("base", sum((F.col(f"_c{at[c]}") * v for c, v in base.items()), F.lit(0.0)))
+    own = with_ranks(own, "base", prefix="b_")  # the same in every draw
+    table = df.sparkSession.createDataFrame([(n, *[float(w[c]) if c in w else None for c in used]) for n, w in draws], ", ".join(["draw string", *[f"_w{k} double" for k in at.values()]]))
+    parts = [F.when(F.col(f"_w{k}").isNull(), 0.0).otherwise(F.col(f"_c{k}") * F.col(f"_w{k}")) for k in at.values()]
+    d = own.crossJoin(F.broadcast(table)).select(key, "draw", "base", "b_lo", "b_ties", "b_n", sum(parts, F.lit(0.0)).alias("score"))
+    d = with_ranks(d, "score", ("draw",), ranges=max(1, min(64, TOTALS // max(len(draws), 1))), prefix="s_")
     rs, rb = F.col("s_lo") + (F.col("s_ties") + 1) / 2, F.col("b_lo") + (F.col("b_ties") + 1) / 2
     aggs = [F.corr(rs, rb).alias("spearman")]
     for p in shares:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assetlens.functions import catalog as C
 from assetlens.functions import text as T
+from assetlens.llm._shared import written
 from assetlens.operators import merge, pages, profile, quality, rank, scores, sensitivity, stats
 from assetlens.plans.views import ASSET, DIMENSIONS, DIMS, SCORED, asset_dimensions, asset_usage, p01, scored_assets, table
 from assetlens.streaming import monitor
@@ -87,7 +88,8 @@ def j7_potential_equal(spark, sf):
 
 @query("j13_recomputation", f"{SCORED} SELECT 0::BIGINT AS mismatches FROM (SELECT 1)")
 def j13_recomputation(spark, sf):
-    d = scored_assets(spark, sf).withColumn("stored", scores.is_candidate("potential", "actual").cast("int"))
+    stored = written(flagship_candidates(spark, sf).select("asset_id", F.lit(1).alias("stored")), "flagship")
+    d = scored_assets(spark, sf).join(stored, "asset_id", "full").withColumn("stored", F.coalesce("stored", F.lit(0)))
     return scores.recomputation_mismatches(d, "stored", scores.is_candidate("potential", "actual"))
 
 
@@ -334,8 +336,9 @@ def n1_melt(spark, sf):
 # ---- sensitivity
 
 
-_GRID = sensitivity.scenarios({"around": ([0.6, 0.7, 0.8], [0.4, 0.5], [0.2, 0.3])})
-_GRID_SQL = "VALUES " + ", ".join(f"('around',{p},{a},{g})" for _, p, a, g in _GRID)
+#: The reference's two sets of 27; 0.50 is in both, so some scenarios count twice in K3.
+_GRID = sensitivity.scenarios({"three_points": ([0.2, 0.5, 0.8],) * 3, "quartiles": ([0.25, 0.5, 0.75],) * 3})
+_GRID_SQL = "VALUES " + ", ".join(f"('{s}',{p},{a},{g})" for s, p, a, g in _GRID)
 
 
 @query("k1_threshold_grid", f"""{SCORED}, g AS (SELECT set, potential::DOUBLE AS p, actual::DOUBLE AS a, gap::DOUBLE AS g FROM ({_GRID_SQL}) g(set,potential,actual,gap)), x AS (SELECT g.*, (potential>=p AND actual<=a AND potential-actual>=g)::INT AS c, (potential>=0.7 AND actual<=0.5 AND potential-actual>=0.3)::INT AS b FROM pot, g)
@@ -357,8 +360,10 @@ def k6_leave_one_out(spark, sf):
 
 @query("k4_weight_perturbation", None)
 def k4_weight_perturbation(spark, sf):
-    base = {c: 1 / 3 for c in DIMENSIONS}
-    return rounded(sensitivity.weight_scenarios(asset_dimensions(spark, sf), "asset_id", base, sensitivity.perturbed_weights(base, [0.1, 0.2], 20, 42)))
+    d = asset_dimensions(spark, sf)
+    base = {r.dimension: r.weight for r in scores.critic_weights(d, list(DIMENSIONS)).collect()}
+    base = {c: base[c] for c in DIMENSIONS}
+    return rounded(sensitivity.weight_scenarios(d, "asset_id", base, sensitivity.perturbed_weights(base, [0.1, 0.2], 200, 42)))
 
 
 @query("k9_quantile_layers", f"""{SCORED}, s AS (SELECT *, potential-actual AS d, actual<=0.5 AS lu, potential>=0.7 AND actual<=0.5 AND potential-actual>=0.3 AS ru FROM pot), c AS (SELECT quantile_cont(d,0.9) AS a, quantile_cont(d,0.8) FILTER (ru) AS b FROM s) SELECT asset_id, (lu AND d>=a)::INT AS low_use_p90, (ru AND d>=b)::INT AS rule_p80 FROM s, c""")

@@ -106,3 +106,50 @@ def test_name_records(spark):
         (1, "two names: road list, bus stops XML"): (["XML"], 2, None),
         (3, "unknown XLSX"): (["XLSX"], 2, None),
     }
+
+
+def test_sensitivity_queries_are_the_whole_job(spark, data, monkeypatch):
+    from assetlens.operators import sensitivity
+    from assetlens.plans import queries
+
+    grid = queries.QUERIES["k1_threshold_grid"](spark, data).collect()
+    assert len(grid) == 54 and len(queries._GRID) == 54 and len({r.set for r in grid}) == 2
+    seen, inner = [], sensitivity.weight_scenarios
+    monkeypatch.setattr(sensitivity, "weight_scenarios", lambda *a: seen.append(a) or inner(*a))
+    got = queries.QUERIES["k4_weight_perturbation"](spark, data).collect()
+    critic = {r.dimension: r.weight for r in scores.critic_weights(seen[0][0], list(seen[0][2])).collect()}
+    assert sorted(r.draw for r in got) == sorted(f"{a}/{k}" for a in (0.1, 0.2) for k in range(200)) and seen[0][2] == pytest.approx(critic)
+
+
+def test_recomputation_reads_the_written_table(spark, data, monkeypatch):
+    from assetlens.plans import queries
+
+    small = spark.createDataFrame([(1, "product", 0.9, 0.1), (2, "product", 0.8, 0.4), (3, "product", 0.2, 0.1), (4, "product", None, 0.1)], "asset_id bigint, resource_type string, potential double, actual double")
+    monkeypatch.setattr(queries, "scored_assets", lambda *a: small)
+    assert queries.j13_recomputation(spark, data).first().mismatches == 0
+    whole = queries.flagship_candidates
+    monkeypatch.setattr(queries, "flagship_candidates", lambda *a: whole(*a).where("rank > 1").unionByName(whole(*a).where("rank = 1").withColumn("asset_id", F.lit(-1).cast("bigint"))))
+    assert queries.j13_recomputation(spark, data).first().mismatches == 2
+
+
+def test_weight_scenarios_against_plain_ranks(spark):
+    import random
+
+    from assetlens.operators import sensitivity
+
+    r = random.Random(1)
+    rows = [(i, round(r.random(), 1), round(r.random(), 1)) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, a double, b double")
+    draws = sensitivity.perturbed_weights({"a": 0.7, "b": 0.3}, [0.2], 500, 1)
+    got = {x.draw: x for x in sensitivity.weight_scenarios(d, "id", {"a": 0.7, "b": 0.3}, draws).collect()}
+
+    def ranks(v):
+        return [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+
+    base = ranks([x[1] * 0.7 + x[2] * 0.3 for x in rows])
+    for name, w in draws[::100]:
+        mine = ranks([x[1] * w["a"] + x[2] * w["b"] for x in rows])
+        ma, mb = sum(mine) / 60, sum(base) / 60
+        cov = sum((x - ma) * (y - mb) for x, y in zip(mine, base))
+        assert got[name].spearman == pytest.approx(cov / (sum((x - ma) ** 2 for x in mine) * sum((y - mb) ** 2 for y in base)) ** 0.5, abs=1e-3)
+    assert len(got) == 500
