@@ -1,4 +1,4 @@
-"""Substring deduplication by prefix-partitioned suffix trees over words.
+"""Substring deduplication by digests of word windows, in place of prefix-partitioned suffix trees: no tree is built (see README).
 
 A window of ``window`` words is repeated if its word sequence starts anywhere else too; every word that a repeated
 window covers is removed. The suffixes that can start such a window are found and sorted out in three steps.
@@ -9,8 +9,8 @@ window covers is removed. The suffixes that can start such a window are found an
 2. The documents that hold a gram found twice or more are read again. The suffixes that start at those places, with the
    windows around them, are dealt out by prefix: the gram itself, and, where more than ``subtree`` suffixes have it,
    the longer prefix of whole windows. So each group fits into memory.
-3. In each group the suffixes' subtree is built down to the depth of a window, as sorted digests of the paths. Its nodes at that depth with two
-   leaves or more are the repeats; neighbouring ones in a document make up its maximal repeats. Nodes below the longer prefixes are counted with map-side
+3. In each group the digests of the whole windows are sorted, and equal neighbours are the repeats: what a suffix tree's nodes at the
+   depth of a window would tell, but no deeper ones. Windows of the longer prefixes are counted with map-side
    sums instead, and joined back by a join that may be split by size, as one of them may hold any share of all rows.
 
 Edge cases: null texts and texts shorter than a window lose nothing; a window that repeats within its own document counts; repeated
