@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from assetlens.functions import catalog as C
 from assetlens.functions import text as T
-from assetlens.llm._shared import written
 from assetlens.operators import merge, pages, profile, quality, rank, scores, sensitivity, stats
 from assetlens.plans.views import ASSET, DIMENSIONS, DIMS, SCORED, asset_dimensions, asset_usage, p01, scored_assets, table
+from assetlens.scratch import written
 from assetlens.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
