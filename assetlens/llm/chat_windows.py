@@ -3,16 +3,21 @@
 A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts ``&``, ``<``, ``[`` and ``|`` are
 written as entities, so that no control string can occur inside a turn and unescaping gives the text back.
 
-Windows: the running token sum of a conversation is cut into shares of half the budget. A turn opens a new span
+Windows: what the conversation's system turn (its first turn, if its role is ``system``) leaves of the budget is halved; that is
+a share. The running token sum of the other turns is cut into shares. A turn opens a new span
 when it crosses a share's border, when it alone is longer than a share, or when the turn before it was. Spans are
-turn-aligned, cover each turn once, and without such long turns hold less than the budget. Each window starts with
-the conversation's system turn (its first turn, if its role is ``system``), then up to ``history`` turns before the
-span, then the span. Repeated turns never carry loss; of the span's own turns the assistant's texts do.
+turn-aligned, cover each turn once, and hold no more than two shares unless one turn does. Each window starts with
+the system turn, then up to ``history`` turns before the span as far as the budget allows, then the span. So a window holds no more than the budget,
+but for one case: a turn that alone is longer than what the system turn leaves makes a window with the system turn, and neither is cut.
+Repeated turns never carry loss; of the span's own turns the assistant's texts do.
+
+A conversation is dealt out in blocks of BLOCK turn numbers, so one of any length is spread over tasks. What lies before a block
+(turns, tokens, the system turn) comes from a table of one row per block; texts are shuffled once. A block's first turn opens a span,
+and history doesn't reach back over it. Only read_back() gathers a conversation, as its digest is sequential.
 
 Edge cases: null text or role is empty; an empty table gives no rows; rows with the same conv_id and turn keep an
 order by role and text; repeated rows are separate turns; a null turn sorts first; a null conv_id is one more
-conversation; other columns are dropped, whatever their names; a turn longer than the budget is a window by itself and is never cut.
-The turns of one conversation are gathered in one row: its digest is sequential. No other key is.
+conversation; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,38 +45,62 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
-    """One row per window: conv_id, window_no, n_repeated, n_tokens, formatted, loss_spans.
+#: Turn numbers in a block.
+BLOCK = 1024
+#: A block's key without nulls.
+KEY = ("k_conv", "k_none", "k_block")
+
+
+def _part(no, role, text, tokens):
+    head = F.concat(F.lit(BOT), escape(role), F.lit("\n"))
+    body = escape(text)
+    return F.struct(no.cast("long").alias("no"), F.concat(head, body, F.lit(EOT)).alias("piece"), F.length(head).alias("lead"), F.length(body).alias("size"), (F.length(head) + F.length(body) + len(EOT)).alias("total"), (role == "assistant").alias("target"), tokens.alias("tokens"))
 
-    turns: conv_id, turn, role, text. A token is a word here. loss_spans: (start, length) in characters of formatted.
+
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, block: int = BLOCK) -> DataFrame:
+    """One row per window: conv_id, window_no (the place of its span's first turn), n_repeated, n_tokens, formatted, loss_spans.
+
+    turns: conv_id, turn, role, text. A token is a word here, and one more for the turn. loss_spans: (start, length) in characters of formatted.
     """
-    share = max(1, budget // 2)
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", F.regexp_count("text", F.lit(f"[^{SPACE}]+")).cast("long") + 1)
-    t = t.withColumn("no", F.row_number().over(order))
-    t = t.withColumn("end", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("before", F.lag("tokens", 1, 0).over(order))
-    border = F.floor((F.col("end") - 1) / share) != F.floor((F.col("end") - F.col("tokens") - 1) / share)
-    opens = border | (F.col("tokens") > share) | (F.col("before") > share)
-    t = t.withColumn("span", F.sum(F.when(F.col("no") == 1, 1).otherwise(opens.cast("int"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    head = F.concat(F.lit(BOT), escape(F.col("role")), F.lit("\n"))
-    body = escape(F.col("text"))
-    t = t.withColumn("piece", F.concat(head, body, F.lit(EOT)))
-    t = t.withColumn("part", F.struct("no", "piece", F.length(head).alias("lead"), F.length(body).alias("size"), F.length("piece").alias("total"), (F.col("role") == "assistant").alias("target"), "tokens"))
-    # what the window repeats: the turns before the span's first one, and the system turn
-    t = t.withColumn("recent", F.collect_list("part").over(order.rowsBetween(-history, -1)) if history else F.array().cast("array<" + t.schema["part"].dataType.simpleString() + ">"))
-    t = t.withColumn("first", F.first(F.when((F.col("no") == 1) & (F.col("role") == "system"), F.col("part"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    g = t.groupBy("conv_id", "span").agg(
-        F.sort_array(F.collect_list("part")).alias("own"),
-        F.min_by(F.struct("recent", "first", "no"), "no").alias("lead"),
-    )
-    g = g.withColumn("recent", F.when(F.col("lead.first").isNotNull(), F.filter("lead.recent", lambda x: x["no"] > 1)).otherwise(F.col("lead.recent")))
-    g = g.withColumn("repeated", F.concat(F.when(F.col("lead.first").isNotNull() & (F.col("lead.no") > 1), F.array("lead.first")).otherwise(F.array()), "recent"))
-    # history gives way where it doesn't fit the budget: the newest turns that fit stay, and the system turn first
-    g = g.withColumn("room", F.lit(budget).cast("long") - F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
+    key = [F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull(), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62)))]
+    t = t.withColumns(dict(zip(KEY, key)))
+    # what lies before each block
+    per = t.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c"), F.sum("tokens").alias("s"), F.min(F.struct("turn", "role")).alias("h"))
+    conv = W.partitionBy(*KEY[:2])
+    earlier = conv.orderBy("k_block").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*KEY, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("turns_before"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("tokens_before"), F.min("h").over(conv).alias("h"))
+    told = t.where("role = 'system'").groupBy(*KEY[:2], F.col("turn").alias("s_turn")).agg(F.min("text").alias("s_text"), F.min_by("tokens", "text").alias("s_tokens"))
+    told = told.withColumnsRenamed({KEY[0]: "s_conv", KEY[1]: "s_none"})
+    mine = (F.col(KEY[0]) == F.col("s_conv")) & (F.col(KEY[1]) == F.col("s_none")) & F.col("h.turn").eqNullSafe(F.col("s_turn")) & (F.col("h.role") == "system")
+    per = per.join(told, mine, "left").select(*KEY, "turns_before", "tokens_before", "s_text", F.coalesce("s_tokens", F.lit(0)).alias("system"))
+    t = t.join(per, list(KEY))
+    order = W.partitionBy(*KEY).orderBy("turn", "role", "text")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("at", F.row_number().over(order)).withColumn("no", F.col("turns_before") + F.col("at"))
+    t = t.withColumns({"counted": F.when((F.col("no") == 1) & (F.col("system") > 0), 0).otherwise(F.col("tokens")), "share": F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("system")) / 2))})
+    # the head is in the first block; after it the sum goes on without the system turn
+    t = t.withColumn("end", F.sum("counted").over(upto) + F.when(F.col("turns_before") > 0, F.col("tokens_before") - F.col("system")).otherwise(0))
+    border = F.floor((F.col("end") - 1) / F.col("share")) != F.floor((F.col("end") - F.col("counted") - 1) / F.col("share"))
+    before = F.lag("counted", 1, 0).over(order)
+    opens = (border & (F.col("end") > F.col("counted"))) | (F.col("counted") > F.col("share")) | (before > F.col("share"))
+    after_system = (F.col("no") == 2) & (F.col("system") > 0)
+    t = t.withColumn("opens", (F.col("at") == 1) | (opens & ~after_system))
+    t = t.withColumn("span", F.max(F.when(F.col("opens"), F.col("no"))).over(upto))
+    t = t.withColumn("part", _part(F.col("no"), F.col("role"), F.col("text"), F.col("tokens")))
+    kind = t.schema["part"].dataType.simpleString()
+    t = t.withColumn("recent", F.when(F.col("opens"), F.collect_list("part").over(order.rowsBetween(-history, -1))) if history else F.lit(None).cast(f"array<{kind}>"))
+    none = F.array().cast(f"array<{kind}>")
+    g = t.groupBy(*KEY, "span").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("part")).alias("own"), F.min_by(F.struct("recent", "s_text", "system"), "no").alias("lead"))
+    said = F.col("lead.system") > 0
+    g = g.withColumn("fixed", F.when(said & (F.col("span") > 1), F.array(_part(F.lit(1), F.lit("system"), F.col("lead.s_text"), F.col("lead.system")))).otherwise(none))
+    g = g.withColumn("recent", F.filter(F.coalesce("lead.recent", none), lambda x: ~said | (x["no"] > 1)))
+    # history gives way where it doesn't fit the budget: the newest turns that fit stay
+    spent = F.aggregate(F.concat("fixed", "own"), F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    g = g.withColumn("room", F.lit(budget).cast("long") - spent)
     g = g.withColumn("left", F.aggregate(F.reverse("recent"), F.struct(F.col("room").alias("room"), F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct((a["room"] - x["tokens"]).alias("room"), (a["n"] + (a["go"] & (a["room"] >= x["tokens"])).cast("int")).alias("n"), (a["go"] & (a["room"] >= x["tokens"])).alias("go"))))
-    g = g.withColumn("repeated", F.concat(F.slice("repeated", 1, F.size("repeated") - F.size("recent")), F.slice("recent", F.greatest(F.lit(1), F.size("recent") - F.col("left.n") + 1), F.col("left.n"))))
+    g = g.withColumn("repeated", F.concat("fixed", F.slice("recent", F.greatest(F.lit(1), F.size("recent") - F.col("left.n") + 1), F.col("left.n"))))
     g = g.withColumn("all", F.concat("repeated", "own")).withColumn("n_repeated", F.size("repeated"))
     # the place of each turn in the output, from a running sum of lengths
     spans = F.aggregate(
