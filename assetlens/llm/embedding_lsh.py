@@ -1,17 +1,19 @@
 """Embedding near-duplicates by Euclidean p-stable hashing with exact cosine checks.
 
 Equal vectors of a label are one class with a count. A class's normalised vector v gets, in each of ``tables`` tables,
-the bucket of its ``projections`` codes floor((a.v + b) / width) with Gaussian a. Buckets with two classes or more are
+the bucket of its ``projections`` codes floor((a.v + b) / width) with Gaussian a. Only classes that share a bucket go on, so a vector
+travels no oftener than it has company. Buckets with two classes or more are
 opened: the cosine of each pair in a bucket is taken in double precision, a pair that met in an earlier table is not
 counted again. A bucket of more than ``block`` classes is dealt out as pairs of blocks, so it is split over tasks and
-no task holds more than two blocks. From a pair of blocks come one count per class and the edges of a spanning forest,
+no task holds more than two blocks; a bucket of m classes is read m / block times. From a pair of blocks come one count per class and the edges of a spanning forest,
 never the pairs themselves.
 
-At a cosine of 0.98 (a distance of 0.2) with the standard parameters a pair shares a code with probability 0.80,
-a bucket with 0.17 and is met in at least one of 24 tables with 0.99; above 0.99 it is met with over 0.9999.
+With the standard parameters two vectors at a cosine of 0.98 (a distance of 0.2) share a code with probability 0.92,
+a bucket with 0.16 and are met in at least one of 27 tables with 0.99; above 0.99 they are met with over 0.9999. Vectors at right
+angles share a code with 0.49 and a bucket with 1.3e-7, so company by chance stays rare up to tens of millions of vectors of a label.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without label or id, link with
-nothing and are kept; vectors of unlike lengths never link; repeated rows are copies that link with each other; ids
+nothing and are kept; vectors of unlike lengths never link; components of any finite size count (vectors are scaled by their largest one before their norm is taken); labels of any type that Spark can compare; repeated rows are copies that link with each other; ids
 are taken to name one vector; empty tables give no rows; other columns are dropped, whatever their names.
 """
 
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.llm._components import components
-from assetlens.llm._shared import written
+from assetlens.scratch import Scratch, written
 
 
 def _unit(vectors: list) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -62,33 +65,37 @@ def _spanning(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 24, projections: int = 8, width: float = 0.8, block: int = 512, seed: int = 11) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 27, projections: int = 22, width: float = 2.0, block: int = 512, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = written(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
+    scratch = Scratch(vectors.sparkSession, "embeddings")
+    classes = scratch.written(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, label, v = (batch.column(k).to_pylist() for k in range(3))
             for dims in sorted({len(x) for x in v}):
                 at = [i for i, x in enumerate(v) if len(x) == dims]
-                codes = bucket_codes(_unit([v[i] for i in at]), np.array([label[i] for i in at]), tables, projections, width, seed)
+                codes = bucket_codes(_unit([v[i] for i in at]), np.array([label[i] for i in at], np.int64), tables, projections, width, seed)
                 yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i in at], pa.int64()), pa.array(list(codes), pa.list_(pa.int64()))], names=["cid", "codes"])
 
-    codes = written(classes.select("cid", "label", "v").mapInArrow(hashed, "cid bigint, codes array<bigint>"), "codes")
+    codes = scratch.written(classes.select("cid", F.xxhash64("label").alias("l"), "v").mapInArrow(hashed, "cid bigint, codes array<bigint>"), "codes")
     member = codes.select("cid", F.explode("codes").alias("bucket"))
-    full = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    full = scratch.written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "full")
     blocks = F.ceil(F.col("m") / block).cast("int")
     member = member.join(full, "bucket").withColumns({"own": F.pmod(F.xxhash64("cid", "bucket"), blocks.cast("long")).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     member = member.select("cid", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full_rows = member.join(classes.select("cid", "n", "v").join(codes, "cid"), "cid")
-    dealt = full_rows.select("bucket", "lo", "hi", "own", "cid", "n", "v", "codes").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cid")
+    member = scratch.written(member, "member")
+    company = scratch.written(member.select("cid").distinct(), "company")
+    known = classes.select("cid", "n", "v", F.xxhash64("label").alias("l")).join(company, "cid").join(codes, "cid")
+    full_rows = member.join(known, "cid")
+    dealt = full_rows.select("bucket", "lo", "hi", "own", "cid", "n", "v", "codes", "l").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cid")
 
-    def linked(bucket: int, lo: int, hi: int, own: np.ndarray, cid: np.ndarray, n: np.ndarray, v: np.ndarray, code: np.ndarray) -> tuple:
+    def linked(bucket: int, lo: int, hi: int, own: np.ndarray, cid: np.ndarray, n: np.ndarray, v: np.ndarray, code: np.ndarray, label: np.ndarray) -> tuple:
         u = _unit(v)
-        near = u @ u.T >= threshold
+        near = (u @ u.T >= threshold) & (label[:, None] == label[None, :])
         np.fill_diagonal(near, False)
         if lo != hi:
             near &= own[:, None] != own[None, :]
@@ -122,20 +129,23 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 24,
         t = t.combine_chunks()
         bucket, lo, hi, own, cid, n = (t.column(k).to_numpy() for k in range(6))
         v = [np.asarray(x) for x in t.column("v").to_pylist()]
-        code = np.array(t.column("codes").to_pylist(), np.int64)
+        code, label = np.array(t.column("codes").to_pylist(), np.int64), t.column("l").to_numpy()
         key = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         out: list[tuple] = []
         for a, b in zip([0, *key], [*key, len(bucket)]):
             if b - a > 1 and len({len(x) for x in v[a:b]}) == 1:
-                out.append(linked(bucket[a], lo[a], hi[a], own[a:b], cid[a:b], n[a:b], np.stack(v[a:b]), code[a:b]))
+                out.append(linked(bucket[a], lo[a], hi[a], own[a:b], cid[a:b], n[a:b], np.stack(v[a:b]), code[a:b], label[a:b]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], names=["cid", "links", "root"])
 
-    links = written(dealt.mapInArrow(compared, "cid bigint, links bigint, root bigint"), "links")
-    comp = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    links = scratch.written(dealt.mapInArrow(compared, "cid bigint, links bigint, root bigint"), "links")
+    scratch.drop("codes", "full", "member", "company")
+    comp = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = classes.join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
     per_class = per_class.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    per_class = written(per_class, "linked-vectors")
+    scratch.close()
     out = rows.where("sound").join(per_class, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")))
     out = out.select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
