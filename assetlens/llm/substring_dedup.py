@@ -1,17 +1,21 @@
-"""Substring deduplication by digests of word windows, in place of prefix-partitioned suffix trees: no tree is built (see README).
+"""Substring deduplication by prefix-partitioned suffix trees over the word windows that can repeat.
 
 A window of ``window`` words is repeated if its word sequence starts anywhere else too; every word that a repeated
-window covers is removed. The suffixes that can start such a window are found and sorted out in three steps.
+window covers is removed. The letters of the trees are windows: the letter at a word is the digest of the ``window`` words
+from there on, so two suffixes with n letters in common have window + n - 1 words in common.
 
 1. Each window has one leading gram: the least-hashed of its ``gram``-word sequences, the leftmost among equals. Equal windows
    have equal leading grams at equal places, so a window whose leading gram occurs once can't repeat. The
    places of leading grams are counted over all documents.
-2. The documents that hold a gram found twice or more are read again. The suffixes that start at those places, with the
-   windows around them, are dealt out by prefix: the gram itself, and, where more than ``subtree`` suffixes have it,
-   the longer prefix of whole windows. So each group fits into memory.
-3. In each group the digests of the whole windows are sorted, and equal neighbours are the repeats: what a suffix tree's nodes at the
-   depth of a window would tell, but no deeper ones. Windows of the longer prefixes are counted with map-side
-   sums instead, and joined back by a join that may be split by size, as one of them may hold any share of all rows.
+2. The documents that hold a gram found twice or more are read again. The letters that such a gram leads make a string,
+   and its suffixes are dealt out by prefix: the gram, as long as at most ``subtree`` of its strings have it, else
+   the longer prefix of a whole window as well. So each group fits into memory.
+3. For the strings of a group the suffixes are sorted (by prefix doubling) and the longest common prefixes of
+   neighbours taken: the tree's internal nodes are the runs of neighbours with common letters. What the deepest node
+   above a leaf is deep is the longest repeat that starts there; its words go.
+   Below a prefix that is a whole window there is nothing to sort: the prefix is a node, and it has two leaves if two
+   suffixes have it. Those are counted with map-side sums: equal strings first, then the letters of the distinct ones. What
+   is found goes back to the strings by a join that may be split by size, as one of them may hold any share of all rows.
 
 Edge cases: null texts and texts shorter than a window lose nothing; a window that repeats within its own document counts; repeated
 rows are copies of each other and lose all that lies in windows; empty tables give no rows; very long texts are compared
@@ -29,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm._shared import written
 from assetlens.llm._words import Words, text_chunks
+from assetlens.scratch import Scratch, written
 
-#: Words of a leading gram, and most suffixes below one prefix in one group.
+#: Words of a leading gram, and most strings below one prefix in one group.
 GRAM, SUBTREE = 12, 50_000
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -110,8 +114,42 @@ def suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("row", "text", "at").mapInArrow(run, "gram bigint, hot boolean, row bigint, start int, paths array<bigint>")
 
 
+def suffix_tree(letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings, given one after the other with their sizes: the sorted suffixes' places, the common letters of each with the one before, and for each place the depth of the deepest internal node above its leaf.
+
+    Prefix doubling: the rank of a suffix by its first 2k letters comes from those of its first k and the k after them.
+    The ranks of each doubling stay; two neighbours are compared by them from the longest to the shortest.
+    """
+    n = len(letters)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = np.repeat(np.cumsum(size), size)
+    place = np.arange(n)
+    levels = [np.unique(letters, return_inverse=True)[1].astype(np.int64) + 1]
+    k = 1
+    while k < size.max():
+        rank = levels[-1]
+        after = np.where(place + k < end, rank[np.minimum(place + k, n - 1)], 0)  # 0: the string has ended
+        levels.append(np.unique(rank * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1)
+        k *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    if n > 1:
+        a, b = order[1:].copy(), order[:-1].copy()
+        ea, eb, got = end[a], end[b], np.zeros(n - 1, np.int64)
+        for level in range(len(levels) - 1, -1, -1):
+            step = 1 << level
+            fits = (a + step <= ea) & (b + step <= eb)
+            same = fits & (levels[level][np.minimum(a, n - 1)] == levels[level][np.minimum(b, n - 1)])
+            a, b, got = a + step * same, b + step * same, got + step * same
+        common[1:] = got
+    depth = np.zeros(n, np.int64)
+    depth[order] = np.maximum(common, np.append(common[1:], 0))
+    return order, common, depth
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, start and repeats (bits: which of the windows from start on have a node with two leaves). Rows come sorted by gram."""
+    """row, start and repeats (bits: which of the windows from start on a repeat covers). Rows come sorted by gram."""
     held: list[pa.RecordBatch] = []
 
     def built(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +158,18 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         lists = t.column("paths").chunk(0)
         size = lists.value_lengths().to_numpy()
-        paths = lists.flatten().to_numpy()
-        order = np.argsort(paths, kind="stable")
-        leaf = paths[order]
-        same = leaf[1:] == leaf[:-1]
-        node = np.zeros(len(leaf), bool)
-        node[1:] |= same
-        node[:-1] |= same
-        repeated = np.zeros(len(leaf), bool)
-        repeated[order] = node
-        row = np.repeat(np.arange(len(size)), size)
-        bit = np.arange(len(paths)) - np.repeat(np.cumsum(size) - size, size)
+        first = np.cumsum(size) - size
+        _, _, depth = suffix_tree(lists.flatten().to_numpy(), size)
+        # a leaf below a node of d letters: the d windows from there on are repeats
+        edge = np.zeros(len(depth) + 1, np.int64)
+        leaf = np.flatnonzero(depth)
+        np.add.at(edge, leaf, 1)
+        np.add.at(edge, leaf + depth[leaf], -1)
+        repeated = np.cumsum(edge[:-1]) > 0
+        bit = np.arange(len(depth)) - np.repeat(first, size)
+        filled = np.flatnonzero(size)
         bits = np.zeros(len(size), np.int64)
-        np.add.at(bits, row[repeated], np.int64(1) << bit[repeated])
+        bits[filled] = np.add.reduceat(np.where(repeated, np.int64(1) << bit, 0), first[filled]) if len(filled) else 0
         some = pa.array(np.flatnonzero(bits))
         yield pa.RecordBatch.from_arrays([t.column("row").chunk(0).take(some), t.column("start").chunk(0).take(some), pa.array(bits[bits != 0])], names=["row", "start", "repeats"])
 
@@ -155,16 +192,24 @@ def repeated_windows(docs: DataFrame, window: int = 35, gram: int = GRAM, subtre
     """row, start and repeats for the places in docs (row, text) where repeated windows start. Equal rows count as often as they occur."""
     if not 0 <= window - gram < 62:
         raise ValueError("a window may have up to 61 words more than a gram")
+    scratch = Scratch(docs.sparkSession, "substrings")
     grams = leading_grams(docs, window, gram)
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    found = grams.join(counts, "gram").groupBy("row").agg(F.collect_set(F.struct("place", (F.col("c") > subtree).alias("hot"))).alias("at"))
-    leaves = written(suffixes(docs.join(found, "row"), window, gram), "suffixes")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", (F.col("c") > subtree).alias("hot"))
+    counts = scratch.written(counts, "counts")  # a table: so the join may split a gram that very many places have
+    found = grams.join(counts, "gram").groupBy("row").agg(F.collect_set(F.struct("place", "hot")).alias("at"))
+    leaves = scratch.written(suffixes(docs.join(found, "row"), window, gram), "suffixes")
+    scratch.drop("counts")
     cool = leaves.where("not hot").select("gram", "row", "start", "paths").repartition("gram").sortWithinPartitions("gram")
     out = cool.mapInArrow(_subtrees, "row bigint, start int, repeats bigint")
-    hot = leaves.where("hot").select("row", "start", F.posexplode("paths").alias("bit", "path"))
-    nodes = hot.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("path")
-    hot = hot.join(nodes, "path").groupBy("row", "start").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("repeats"))
-    return out.unionByName(hot)
+    hot = leaves.where("hot").withColumn("string", F.xxhash64("paths"))
+    strings = scratch.written(hot.groupBy("gram", "paths").agg(F.count(F.lit(1)).alias("c")), "strings")
+    letters = strings.withColumn("string", F.xxhash64("paths")).select("gram", "string", "c", F.posexplode("paths").alias("bit", "path"))
+    nodes = scratch.written(letters.groupBy("gram", "path").agg(F.sum("c").alias("c")).where("c > 1").select("gram", "path"), "nodes")
+    found = letters.join(nodes, ["gram", "path"]).groupBy("gram", "string").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("repeats"))
+    hot = hot.join(scratch.written(found, "found"), ["gram", "string"]).select("row", "start", "repeats")
+    out = written(out.unionByName(hot), "repeats")
+    scratch.close()
+    return out
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], Words, np.ndarray]]:
@@ -187,7 +232,7 @@ def _with_repeats(docs: DataFrame, window: int, **options) -> DataFrame:
     """docs with the column repeats: where repeated windows start in the row's text."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     found = repeated_windows(_keyed(docs), window, **options)
-    found = written(found, "repeats").groupBy("row").agg(F.collect_set(F.struct("start", "repeats")).alias("_repeats"))
+    found = found.groupBy("row").agg(F.collect_set(F.struct("start", "repeats")).alias("_repeats"))
     return keyed.join(found, F.col("_row") == F.col("row"), "left").drop("row", "_row")
 
 
