@@ -2,25 +2,29 @@
 
 Rules: each fits its host and all subdomains where the url's path starts with the rule's path; the longest wins.
 
-Templates judge the urls that no rule fits. Distinct (host, shape) pairs are counted first; a shape is the path's
-leading ``depth`` segments with digits, hex and encoded strings generalised by their form. Then, level by level, a segment
-with little support below its parent becomes ``*``. The urls that a rule judged are the labels. The branches below a
-host whose labelled block rates don't differ by a two-proportion test are merged. A branch's purity is its share of
-blocked labels, smoothed towards ``prior``; a template's purity is smoothed towards its branch. Templates at or above
-``threshold`` are rejected; templates without any evidence are allowed.
+Templates judge the urls that no rule fits; the urls that a rule judged are the labels. Distinct (host, shape) pairs are
+counted first; a shape is the path's segments with digits, hex and encoded strings generalised by their form. The tree is built level
+by level, as many as paths have: the children of a node are counted, those with little support become its ``*`` branch, and
+those whose labelled block rate a two-proportion test can't tell from that of their siblings are merged into its ``~`` branch. What follows below a node with
+fewer urls than ``support`` is ``**``. Counts are sums by (host, node, segment) with map-side sums, joined back by
+joins that may be split by size, so a host of any size isn't gathered anywhere; the driver sees no row, only whether a level has any.
+
+A node's purity is its share of blocked labels, smoothed by ``weight`` towards its parent's, and a host's towards ``prior``. A template is
+a node at which urls end, with its own purity smoothed towards the node's. Templates at or above ``threshold`` are rejected; templates
+without a label of their own are allowed.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an empty table gives no
 rows; repeated rows are judged alike, each one returned; other columns are dropped, whatever their names; paths
-of any length are matched whole by the rules (templates look at the leading segments and whether more follow).
+of any length and depth are matched whole, by rules and templates; of rules of equal length the one last in the alphabet wins, but no two equal ones should differ.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.llm._shared import ascii_lower
+from assetlens.scratch import Scratch, written
 
 #: (verdict, host, path) of the production rules; fixed values.
 RULES = (
@@ -30,7 +34,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 3
 
 
 def with_host_and_path(pages: DataFrame) -> DataFrame:
@@ -51,74 +54,93 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def with_shape(df: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds s1 .. s<depth>: the path's segments by form, '' where there is none; the last notes that more follow."""
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
+def with_shape(df: DataFrame) -> DataFrame:
+    """Adds shape: the path's segments by form."""
 
     def form(x):
         return (
             F.when(x.rlike("^[0-9]+$"), "<n>")
             .when(x.rlike("^[0-9]{4}[-_.][0-9]{1,2}([-_.][0-9]{1,2})?$"), "<date>")
             .when(x.rlike("^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "<hex>")
-            .when(F.length(x) > 40, "<long>")
             .otherwise(F.regexp_replace(x, "[0-9]+", "<n>"))
         )
 
-    df = df.withColumn("segments", segments)
-    cols = {f"s{k}": form(F.coalesce(F.get("segments", F.lit(k - 1)), F.lit(""))) for k in range(1, depth + 1)}
-    df = df.withColumns(cols | {"more": F.size("segments") > depth})
-    return df.withColumn(f"s{depth}", F.when(F.col("more"), F.concat(f"s{depth}", F.lit("/**"))).otherwise(F.col(f"s{depth}"))).drop("segments", "more")
-
-
-def template_verdicts(judged: DataFrame, depth: int = DEPTH, support: int = 3, share: float = 0.005, prior: float = 0.2, weight: float = 4.0, z: float = 1.96, threshold: float = 0.8) -> DataFrame:
-    """host, s1 .. s<depth>, template, template_purity, template_verdict for each shape of each host."""
-    keys = [f"s{k}" for k in range(1, depth + 1)]
-    t = judged.groupBy("host", *keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("blocked"),
-        F.count("rule_verdict").alias("labelled"),
-    )
-    made: list[str] = []
-    for k in range(1, depth + 1):
-        parent = F.sum("n").over(W.partitionBy("host", *made))
-        child = F.sum("n").over(W.partitionBy("host", *made, f"s{k}"))
-        t = t.withColumns({"parent_n": parent, "child_n": child})
-        rare = (F.col("child_n") < support) | (F.col("child_n") < share * F.col("parent_n"))
-        t = t.withColumn(f"g{k}", F.when(F.col(f"s{k}") == "", "").when(rare, "*").otherwise(F.col(f"s{k}")))
-        made.append(f"g{k}")
-    # branches below the host, merged where their block rates don't differ
-    b = t.groupBy("host", "g1").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
-    b = b.withColumn("p", F.when(F.col("m") > 0, F.col("b") / F.col("m")))
-    has = F.col("p").isNotNull()
-    by_rate = W.partitionBy("host", has).orderBy("p", "g1")
-    b = b.withColumns({"pb": F.lag("b").over(by_rate), "pm": F.lag("m").over(by_rate)})
-    pooled = (F.col("b") + F.col("pb")) / (F.col("m") + F.col("pm"))
-    gap = F.abs(F.col("p") - F.col("pb") / F.col("pm"))
-    noise = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / F.col("pm")))
-    apart = F.when(~has, 1).when(F.col("pm").isNull(), 1).otherwise((gap > z * noise).cast("int"))
-    b = b.withColumn("apart", apart)
-    b = b.withColumn("cluster", F.when(has, F.sum("apart").over(by_rate.rowsBetween(W.unboundedPreceding, 0))).otherwise(-F.row_number().over(by_rate)))
-    c = W.partitionBy("host", "cluster")
-    b = b.withColumns({"cb": F.sum("b").over(c), "cm": F.sum("m").over(c)})
-    b = b.select("host", "g1", "cluster", ((F.col("cb") + weight * prior) / (F.col("cm") + weight)).alias("branch_purity"))
-    leaf = W.partitionBy("host", *made)
-    t = t.withColumns({"lb": F.sum("blocked").over(leaf), "lm": F.sum("labelled").over(leaf)}).join(b, ["host", "g1"])
-    purity = (F.col("lb") + weight * F.col("branch_purity")) / (F.col("lm") + weight)
-    return t.select(
-        "host",
-        *keys,
-        F.concat(F.lit("/"), F.array_join(F.filter(F.array(*made), lambda x: x != ""), "/")).alias("template"),
-        purity.alias("template_purity"),
-        F.when(purity >= threshold, "block").otherwise("allow").alias("template_verdict"),
-    )
-
-
-def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH, **options) -> DataFrame:
+    return df.withColumn("shape", F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), form))
+
+
+_COUNTS = ("n", "blocked", "labelled")
+
+
+def _sums(*columns: str) -> list:
+    return [F.sum(c).alias(c) for c in columns]
+
+
+def _level(active: DataFrame, level: int, scratch: Scratch, support: int, share: float, weight: float, z: float) -> DataFrame:
+    """active with the segment's branch added: template, node, node_n and purity are the branch's."""
+    here = active.withColumn("seg", F.get("shape", F.lit(level)))
+    kids = scratch.written(here.groupBy("host", "node", "seg").agg(*_sums(*_COUNTS)), f"kids{level}")
+    parents = scratch.written(kids.groupBy("host", "node").agg(F.sum("n").alias("pn"), F.sum("blocked").alias("pb"), F.sum("labelled").alias("pm")), f"parents{level}")
+    k = kids.join(parents, ["host", "node"])
+    rest_b, rest_m = F.col("pb") - F.col("blocked"), F.col("pm") - F.col("labelled")
+    pooled = F.col("pb") / F.col("pm")
+    gap = F.abs(F.col("blocked") / F.col("labelled") - rest_b / rest_m)
+    noise = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_m))
+    alike = F.when((F.col("labelled") > 0) & (rest_m > 0), gap <= z * noise).otherwise(False)
+    rare = (F.col("n") < support) | (F.col("n") < share * F.col("pn"))
+    k = scratch.written(k.select("host", "node", "seg", F.when(rare, "*").when(alike, "~").otherwise(F.col("seg")).alias("branch"), (rare | alike).alias("joint"), *_COUNTS), f"branches{level}")
+    sums = scratch.written(k.groupBy("host", "node", "branch", "joint").agg(F.sum("n").alias("bn"), F.sum("blocked").alias("bb"), F.sum("labelled").alias("bm")), f"sums{level}")
+    found = scratch.written(k.drop(*_COUNTS).join(sums, ["host", "node", "branch", "joint"]), f"found{level}")
+    out = here.join(found, ["host", "node", "seg"])
+    return out.select(
+        "host", "shape", *_COUNTS,
+        F.concat("template", F.lit("/"), "branch").alias("template"),
+        F.xxhash64("node", "branch", "joint").alias("node"),
+        F.col("bn").alias("node_n"),
+        ((F.col("bb") + weight * F.col("purity")) / (F.col("bm") + weight)).alias("purity"),
+    )
+
+
+def template_verdicts(judged: DataFrame, support: int = 3, share: float = 0.005, prior: float = 0.2, weight: float = 4.0, z: float = 1.96, threshold: float = 0.8) -> DataFrame:
+    """host, shape, template, template_purity, template_verdict for each shape of each host. judged: host, shape, rule_verdict."""
+    scratch = Scratch(judged.sparkSession, "templates")
+    counts = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("blocked"), F.count("rule_verdict").alias("labelled")]
+    t = scratch.written(judged.groupBy("host", "shape").agg(*counts), "shapes")
+    hosts = scratch.written(t.groupBy("host").agg(F.sum("n").alias("node_n"), F.sum("blocked").alias("bb"), F.sum("labelled").alias("bm")), "hosts")
+    root = ((F.col("bb") + weight * prior) / (F.col("bm") + weight)).alias("purity")
+    at = scratch.written(t.join(hosts, "host").select("host", "shape", *_COUNTS, F.lit("").alias("template"), F.xxhash64("host").alias("node"), "node_n", root), "level0")
+    ended, level = [], 0
+    while True:
+        more = F.size("shape") > level
+        known = F.col("node_n") >= support
+        ended.append(at.where(~more))
+        ended.append(at.where(more & ~known).withColumns({"template": F.concat("template", F.lit("/**")), "node": F.xxhash64("node", F.lit("**"))}))
+        active = at.where(more & known)
+        if active.isEmpty():
+            break
+        at = scratch.written(_level(active, level, scratch, support, share, weight, z), f"level{level + 1}")
+        scratch.drop(*[f"{x}{level}" for x in ("kids", "parents", "branches", "sums", "found")])
+        level += 1
+    every = ended[0]
+    for x in ended[1:]:
+        every = every.unionByName(x)
+    every = scratch.written(every, "ended")
+    leaves = scratch.written(every.groupBy("host", "node", "template").agg(F.sum("blocked").alias("lb"), F.sum("labelled").alias("lm")), "leaves")
+    purity = (F.col("lb") + weight * F.col("purity")) / (F.col("lm") + weight)
+    out = every.join(leaves, ["host", "node", "template"]).select(
+        "host", "shape", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), purity.alias("template_purity"),
+        F.when((purity >= threshold) & (F.col("lm") > 0), "block").otherwise("allow").alias("template_verdict"),
+    )
+    out = written(out, "template-verdicts")
+    scratch.close()
+    return out
+
+
+def judge_urls(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, template, template_purity for each row of pages (page_id, url)."""
-    keys = [f"s{k}" for k in range(1, depth + 1)]
-    judged = with_shape(with_rule(with_host_and_path(pages), rules), depth)
+    judged = with_shape(with_rule(with_host_and_path(pages), rules))
+    templates = template_verdicts(judged, **options)
     ruled = judged.where(F.col("rule").isNotNull())
     ruled = ruled.select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("template_purity"))
-    rest = judged.where(F.col("rule").isNull()).join(template_verdicts(judged, depth, **options), ["host", *keys], "left")
-    rest = rest.select("page_id", "host", "path", "rule", F.coalesce("template_verdict", F.lit("allow")).alias("verdict"), "template", "template_purity")
+    rest = judged.where(F.col("rule").isNull()).join(templates, ["host", "shape"], "left")
+    rest = rest.select("page_id", "host", "path", "rule", F.col("template_verdict").alias("verdict"), "template", "template_purity")
     return ruled.unionByName(rest)
