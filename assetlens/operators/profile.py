@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import normalized_text, split_terms, to_number
+from assetlens.operators.rank import quantile_table
 
 MISSING = "缺失"
 
@@ -62,14 +63,23 @@ def pareto(df: DataFrame, column: str, top: int = 50) -> DataFrame:
 
 
 def summary(df: DataFrame, metrics: list[str], by: tuple[str, ...] = (), stats: tuple[str, ...] = ("count", "mean", "median")) -> DataFrame:
-    """Long form (by, metric, statistics): metrics are unpivoted, so one aggregation serves them all."""
+    """Long form (by, metric, statistics): metrics are unpivoted, so one aggregation serves them all. pNN are exact quantiles, from ranked values."""
     v = F.col("value")
     forms = {
-        "count": F.count(v), "zero_count": F.sum((v == 0).cast("int")), "mean": F.avg(v), "median": F.percentile(v, 0.5), "min": F.min(v), "max": F.max(v),
-        "std_pop": F.stddev_pop(v), "std_samp": F.stddev_samp(v), **{f"p{q}": F.percentile(v, q / 100) for q in (5, 10, 25, 75, 90, 95, 99)},
+        "count": F.count(v), "zero_count": F.coalesce(F.sum((v == 0).cast("int")), F.lit(0)), "mean": F.avg(v), "min": F.min(v), "max": F.max(v),
+        "std_pop": F.stddev_pop(v), "std_samp": F.stddev_samp(v),
     }
+    shares = {s: 0.5 if s == "median" else int(s[1:]) / 100 for s in stats if s not in forms}
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), to_number(m).alias("value")) for m in metrics]))
-    return df.select(*by, cells.alias("c")).select(*by, "c.metric", "c.value").groupBy(*by, "metric").agg(*[forms[s].alias(s) for s in stats])
+    g = df.select(*by, cells.alias("c")).select(*by, "c.metric", "c.value").groupBy(*by, "metric").agg(*[forms[s].alias(s) for s in stats if s in forms])
+    if shares:
+        keys = [f"k{i}" for i in range(len(by))]
+        q = quantile_table(df, metrics, list(shares.values()), by).withColumnRenamed("metric", "_m").drop("n")
+        same = F.col("metric") == F.col("_m")
+        for c, k in zip(by, keys):
+            same = same & F.col(c).eqNullSafe(F.col(k))
+        g = g.join(q, same, "left").withColumns({s: F.get("q", F.lit(i)) for i, s in enumerate(shares)})
+    return g.select(*by, "metric", *stats)
 
 
 def stacked_profile(df: DataFrame, groups: list[str], aggregates: dict[str, Column], keep_null: bool = False) -> DataFrame:
@@ -101,6 +111,59 @@ def binned_counts(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
     return named_counts(df, preds)
 
 
+def mapped_counts(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """Counts of a column's values under their names; values without a name count as missing."""
+    v = normalized_text(column)
+    named = F.coalesce(*[F.when(v == k, F.lit(n)) for k, n in names.items()], F.lit(MISSING))
+    return value_counts(df.select(named.alias("v")), "v")
+
+
+def high_low_counts(df: DataFrame, metrics: list[str], cut: float = 0.5) -> DataFrame:
+    """metric, high_use_count, low_use_count and high_use_share; nulls count as low."""
+    high = {m: F.coalesce(to_number(m) >= cut, F.lit(False)).cast("int") for m in metrics}
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(f"h{i}") for i, h in enumerate(high.values())])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h{i}").alias("high_use_count")) for i, m in enumerate(metrics)])
+    x = one.select("n", F.explode(cells).alias("c")).select("n", "c.*")
+    return x.select("metric", "high_use_count", (F.col("n") - F.col("high_use_count")).alias("low_use_count"), (F.col("high_use_count") / F.nullif(F.col("n"), F.lit(0))).alias("high_use_share"))
+
+
+def candidate_groups(df: DataFrame, groups: list[str], candidate: str, means: list[str], top: int | None = None) -> DataFrame:
+    """Per group value: rows, candidates, their rate and means; null groups stay as missing; the top groups by candidates of each column."""
+    c = F.coalesce(to_number(candidate), F.lit(0.0)).cast("int")
+    g = stacked_profile(df, groups, {"total": F.count(F.lit(1)), "candidates": F.sum(c), "candidate_rate": F.avg(c), **{f"mean_{m}": F.avg(m) for m in means}}, keep_null=True)
+    if top is None:
+        return g
+    order = W.partitionBy("group_col").orderBy(F.desc("candidates"), "group_value")
+    return g.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top).drop("_k")
+
+
+def flat_summary(df: DataFrame, by: list[str], metrics: list[str], stats: dict) -> DataFrame:
+    """One row per key with a column <metric>_<statistic> for each pair. stats: name -> aggregate function."""
+    return df.groupBy(*by).agg(*[f(m).alias(f"{m}_{name}") for m in metrics for name, f in stats.items()])
+
+
+#: Statistics of perturbation runs and of folds, which are few per key.
+PERTURBATION = {"mean": F.avg, "min": F.min, "median": lambda c: F.percentile(c, 0.5), "max": F.max}
+FOLDS = {"mean": F.avg, "std": F.stddev_samp}
+
+
+def perturbation_summary(runs: DataFrame, amplitude: str = "amplitude", metrics=("spearman", "top_10_overlap", "top_30_overlap")) -> DataFrame:
+    return flat_summary(runs, [amplitude], list(metrics), PERTURBATION)
+
+
+def fold_summary(per_fold: DataFrame, model: str = "model", metrics=("r2", "rmse", "mae", "spearman")) -> DataFrame:
+    """Mean and sample standard deviation over folds."""
+    return flat_summary(per_fold, [model], list(metrics), FOLDS)
+
+
+def group_attribution(attributions: DataFrame, groups: DataFrame, key: str, group: str, top: int = 15) -> DataFrame:
+    """Per group value the features of the largest mean absolute attribution. attributions: key, feature, attribution; groups: key, group."""
+    j = attributions.join(groups.select(key, F.coalesce(F.col(group).cast("string"), F.lit(MISSING)).alias("group_value")), key)
+    g = j.groupBy("group_value", "feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), F.countDistinct(key).alias("n"))
+    g = g.withColumn("rank", F.row_number().over(W.partitionBy("group_value").orderBy(F.desc("mean_abs"), "feature")))
+    return g.where(F.col("rank") <= top).select(F.lit(group).alias("group_col"), "group_value", "rank", "feature", "mean_abs", "n")
+
+
 def term_counts(df: DataFrame, column: str) -> DataFrame:
     """How often each term of a multi-valued column occurs."""
     return df.select(F.explode(split_terms(column)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
@@ -120,11 +183,18 @@ def layer_summary(df: DataFrame, layers: list[str], aggregates: dict[str, Column
     return g if by else with_all_groups(g, "layer", layers)
 
 
+def layer_profile(df: DataFrame, layers: list[str], metrics: list[str], stats: tuple[str, ...]) -> DataFrame:
+    """Statistics of metrics over the rows of each layer, in long form (see summary)."""
+    cells = F.explode(F.filter(F.array(*[F.when(to_number(x) == 1, F.lit(x)) for x in layers]), lambda x: x.isNotNull()))
+    return summary(df.withColumn("layer", cells), metrics, ("layer",), stats)
+
+
 def layer_group_profile(df: DataFrame, layers: list[str], groups: list[str], top: int | None = None) -> DataFrame:
     """Counts and shares within each layer of each group column's values."""
     cells = F.explode(F.filter(F.array(*[F.when(to_number(x) == 1, F.lit(x)) for x in layers]), lambda x: x.isNotNull()))
-    g = stacked_profile(df.withColumn("layer", cells).withColumns({c: F.concat_ws("\x1f", "layer", F.coalesce(F.col(c).cast("string"), F.lit(MISSING))) for c in groups}), groups, {"count": F.count(F.lit(1))})
-    g = g.select(F.substring_index("group_value", "\x1f", 1).alias("layer"), "group_col", F.substring_index("group_value", "\x1f", -1).alias("group_value"), "count")
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("group_col"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("group_value")) for c in groups]))
+    d = df.withColumn("layer", cells).select("layer", pair.alias("_p"))
+    g = d.groupBy("layer", F.col("_p.group_col").alias("group_col"), F.col("_p.group_value").alias("group_value")).agg(F.count(F.lit(1)).alias("count"))
     g = g.withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy("layer", "group_col")))
     if top:
         g = g.withColumn("_k", F.row_number().over(W.partitionBy("layer", "group_col").orderBy(F.desc("count"), "group_value"))).where(F.col("_k") <= top).drop("_k")

@@ -1,7 +1,9 @@
-"""Ranks and percentiles. with_ranks() needs no global sort: values are cut into ranges at approximate quantiles.
+"""Ranks, percentiles and running sums without a global window.
 
-Rows are ranked inside their range, each range in a task of its own, and the number of rows in lower ranges comes from
-a table with one row per range and group. No task sees all values, and the plan holds its input once.
+Equal values are counted first, so ties of any number become one row. The distinct values are dealt out by ranges of their
+order; inside a range a window adds up, and what lies in lower ranges comes from a table with one row per range and group.
+No task sees all values, nulls or ties, nothing but plans reaches the driver, and several columns are ranked by one pass.
+The tables of values are written to the shared folder, so nothing before them is computed again; lazy results read them.
 """
 
 from __future__ import annotations
@@ -11,47 +13,51 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import to_number
-
-
-#: Most (range, group) totals that are looked at in the driver; with more groups each group is small enough for a window.
-TOTALS = 20_000
-
-
-def with_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), ranges: int = 64, prefix: str = "") -> DataFrame:
+from assetlens.scratch import Scratch
+
+
+def _match(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct value: metric, k0.. (the values of by), value, lo (rows with a smaller one), ties, n (rows with one)."""
+    scratch = Scratch(df.sparkSession, "ranks")
+    keys = [f"k{i}" for i in range(len(by))]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), to_number(c).alias("value")) for c in columns]))
+    long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], cells.alias("c")).select("c.metric", *keys, "c.value").where("value is not null")
+    counts = scratch.written(long.groupBy("metric", *keys, "value").agg(F.count(F.lit(1)).alias("ties")), "counts")
+    order = ["metric", *keys, "value"]
+    dealt = scratch.written(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "values")
+    scratch.drop("counts")
+    per = dealt.groupBy("metric", *keys, "range").agg(F.sum("ties").alias("s"))
+    group = W.partitionBy("metric", *keys)
+    below = per.select(
+        F.col("metric").alias("_m"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("range").alias("_r"),
+        F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"), F.sum("s").over(group).alias("n"),
+    )
+    inside = W.partitionBy("metric", *keys, "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    out = dealt.withColumn("upto", F.sum("ties").over(inside))
+    out = out.join(below, _match(("metric", *keys, "range"), ("_m", *[f"_{k}" for k in keys], "_r")))
+    return out.select("metric", *keys, "value", (F.col("_below") + F.col("upto") - F.col("ties")).alias("lo"), "ties", "n")
+
+
+def with_ranks_of(df: DataFrame, prefixes: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """prefixes: prefix -> column. Adds <prefix>lo, <prefix>ties and <prefix>n for all of them from one pass; null where the column is."""
+    values = ranked_values(df, list(dict.fromkeys(prefixes.values())), by)
+    keys = [f"k{i}" for i in range(len(by))]
+    for p, c in prefixes.items():
+        one = values.where(F.col("metric") == c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_v"), *[F.col(x).alias(p + x) for x in ("lo", "ties", "n")])
+        df = df.join(one, (to_number(c) == F.col("_v")) & _match(by, tuple(f"_{k}" for k in keys)), "left").drop("_v", *[f"_{k}" for k in keys])
+    return df
+
+
+def with_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Adds, for rows with a value: <prefix>lo (rows with a smaller one), <prefix>ties, <prefix>n (rows with one); null for others."""
-    keyed = df.withColumn("_v", to_number(value))
-    cuts = sorted(set(keyed.approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.01)))
-    bucket = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("_v"))) if cuts else F.lit(0))
-    keyed = keyed.withColumn("_r", bucket)
-    totals = keyed.where("_v is not null").groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_s")).limit(TOTALS + 1).toPandas()
-    has = F.col("_v").isNotNull()
-    if len(totals) > TOTALS:
-        group = W.partitionBy(*by, has)
-        lo, n = F.rank().over(group.orderBy("_v")) - 1, F.count("_v").over(group)
-        out = keyed.withColumns({prefix + "lo": F.when(has, lo), prefix + "n": F.when(has, n)})
-    else:
-        # a constant-size table: the rows in lower ranges of the same group, and the group's rows
-        below: dict[tuple, int] = {}
-        size: dict[tuple, int] = {}
-        for row in totals.sort_values("_r").itertuples(index=False):
-            key = tuple(row[:-2])
-            size[key] = size.get(key, 0) + int(row[-1])
-        rows = []
-        for row in totals.sort_values("_r").itertuples(index=False):
-            key = tuple(row[:-2])
-            rows.append((*[None if x != x else x for x in key], int(row[-2]), below.get(key, 0), size[key]))
-            below[key] = below.get(key, 0) + int(row[-1])
-        kinds = dict(df.dtypes)
-        schema = ", ".join([f"_k{i} {kinds[k]}" for i, k in enumerate(by)] + ["_kr int, _b bigint, _n bigint"])
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-        on = F.col("_r") == F.col("_kr")
-        for i, k in enumerate(by):
-            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        inside = F.rank().over(W.partitionBy(*by, "_r").orderBy("_v")) - 1
-        out = keyed.join(table, on, "left").withColumns({prefix + "lo": F.when(has, F.col("_b") + inside), prefix + "n": F.when(has, F.col("_n"))})
-        out = out.drop("_b", "_n", "_kr", *[f"_k{i}" for i in range(len(by))])
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, "_r", "_v"))
-    return out.withColumn(prefix + "ties", F.when(has, ties)).drop("_v", "_r")
+    return with_ranks_of(df, {prefix: value}, by)
 
 
 def average_rank(prefix: str = "") -> Column:
@@ -73,17 +79,63 @@ def percentile_rank(prefix: str = "") -> Column:
     return average_rank(prefix) / F.col(prefix + "n")
 
 
+#: Forms of a percentile: 01, pct (rank / n), zero (like 01, but 0 for a single value).
+FORMS = {"01": percentile_01, "pct": percentile_rank, "zero": lambda p: percentile_01(p, 0.0)}
+
+
+def add_percentiles(df: DataFrame, made: dict[str, str], by: tuple[str, ...] = (), kind: str = "01") -> DataFrame:
+    """made: new column -> ranked column; all from one pass."""
+    prefixes = {f"_p{i}_": c for i, c in enumerate(made.values())}
+    out = with_ranks_of(df, prefixes, by).withColumns({name: FORMS[kind](p) for name, p in zip(made, prefixes)})
+    return out.drop(*[p + x for p in prefixes for x in ("lo", "ties", "n")])
+
+
 def add_percentile(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), kind: str = "01") -> DataFrame:
-    """kind: 01, pct (rank / n) or zero (like 01, but 0 for a single value)."""
-    form = {"01": lambda: percentile_01("_p"), "pct": lambda: percentile_rank("_p"), "zero": lambda: percentile_01("_p", 0.0)}[kind]
-    return with_ranks(df, value, by, prefix="_p").withColumn(out, form()).drop("_plo", "_pties", "_pn")
+    return add_percentiles(df, {out: value}, by, kind)
+
 
+def quantile_table(df: DataFrame, columns: list[str], shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Per metric and group one row with q: the values at the shares, interpolated between neighbours; exact, from the ranked values.
 
-def first_rank(df: DataFrame, score: str, tie: str, out: str = "rank", ranges: int = 64) -> DataFrame:
-    """1..n by score descending, ties by tie ascending: range offsets, then a count inside each tie group."""
-    ranked = with_ranks(df, score, ranges=ranges, prefix="_f")
-    inside = W.partitionBy(score).orderBy(tie)
-    return ranked.withColumn(out, F.when(F.col("_fn").isNotNull(), F.col("_fn") - F.col("_flo") - F.col("_fties") + F.row_number().over(inside))).drop("_flo", "_fties", "_fn")
+    Columns: metric, k0.. (the values of by), n, q. A metric without values in a group has no row.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    v = ranked_values(df, columns, by)
+    at = lambda place: F.max(F.when((F.col("lo") <= place) & (place < F.col("lo") + F.col("ties")), F.col("value")))
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
+    g = v.groupBy("metric", *keys, "n").agg(*[x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"a{i}"), at(F.ceil(p)).alias(f"b{i}"))])
+    cut = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return g.select("metric", *keys, "n", F.array(*cut).alias("q"))
+
+
+def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: name -> value of a column at a share, null without values. wanted: name -> (column, share)."""
+    columns, shares = list(dict.fromkeys(c for c, _ in wanted.values())), sorted({p for _, p in wanted.values()})
+    q = quantile_table(df, columns, shares)
+    return q.agg(*[F.max(F.when(F.col("metric") == c, F.get("q", F.lit(shares.index(p))))).alias(name) for name, (c, p) in wanted.items()])
+
+
+def in_order(df: DataFrame, *order, sums: tuple[str, ...] = ()) -> DataFrame:
+    """df in a global order, with _no (1..n) and, for each column of sums, _sum_<column> (its running sum).
+
+    Rows are dealt out by ranges of the order, which should end with a distinct column; what lies before a range is a table of one row per range.
+    """
+    scratch = Scratch(df.sparkSession, "order")
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = scratch.written(d.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rows")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    per = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    per = per.select("_range", "_first", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_before{x}") for x in ("_c", *[f"_s_{c}" for c in sums])])
+    d = d.join(F.broadcast(per), "_range")  # one row per range
+    inside = W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    made = {"_no": F.col("_before_c") + F.col("_at") - F.col("_first") + 1} | {f"_sum_{c}": F.col(f"_before_s_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}
+    return d.withColumns(made).drop("_range", "_at", "_first", "_before_c", *[f"_before_s_{c}" for c in sums])
+
+
+def first_rank(df: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:
+    """1..n by score descending, ties by tie ascending; null without a score."""
+    v = to_number(score)
+    return in_order(df, v.desc_nulls_last(), F.asc(tie)).withColumn(out, F.when(v.isNotNull(), F.col("_no"))).drop("_no")
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -94,8 +146,8 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def top_share_flags(df: DataFrame, score: str, tie: str, shares: tuple[float, ...]) -> DataFrame:
     """top_<percent> flags of the ceil(n p) best rows, at least one."""
     r = first_rank(df, score, tie, "_rank")
-    n = df.agg(F.count(to_number(score)).alias("_n"))
-    r = r.crossJoin(F.broadcast(n))
+    n = r.agg(F.count("_rank").alias("_n"))
+    r = r.crossJoin(F.broadcast(n))  # one row
     return r.withColumns({f"top_{round(100 * p)}": F.coalesce(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * p)), F.lit(False)) for p in shares}).drop("_rank", "_n")
 
 
@@ -112,13 +164,18 @@ def per_group_top(df: DataFrame, by: tuple[str, ...], k: int, *order: Column, ou
     return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(out) <= k)
 
 
+def by_size(df: DataFrame, value: str, tie: str, out: str = "place") -> DataFrame:
+    """1..n by the absolute value descending; null without a value."""
+    return first_rank(df.withColumn("_abs", F.abs(to_number(value))), "_abs", tie, out).drop("_abs")
+
+
 def latest(df: DataFrame, time: str, n: int, tie: str) -> DataFrame:
     return top_k(df, n, F.col(time).desc_nulls_last(), F.col(tie).desc())
 
 
 def batches(df: DataFrame, order: str, size: int, out: str = "batch") -> DataFrame:
-    """Number of each block of `size` rows in the order of a column with distinct values."""
-    return with_ranks(df, order, prefix="_b").withColumn(out, F.floor(F.col("_blo") / size)).drop("_blo", "_bties", "_bn")
+    """Number of each block of `size` rows in the order of a column with distinct values; nulls have none."""
+    return in_order(df, F.col(order).asc_nulls_last()).withColumn(out, F.when(F.col(order).isNotNull(), F.floor((F.col("_no") - 1) / size))).drop("_no")
 
 
 def rolling_mean_alert(df: DataFrame, by: tuple[str, ...], order: str, value: str, width: int, threshold: float) -> DataFrame:
@@ -128,6 +185,8 @@ def rolling_mean_alert(df: DataFrame, by: tuple[str, ...], order: str, value: st
 
 
 def cumulative_share(counts: DataFrame, value: str, *order: Column) -> DataFrame:
-    """Running sum and share over a table of groups (bounded by the number of groups)."""
-    w = W.orderBy(*order)
-    return counts.withColumns({"cumulative_count": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)), "cumulative_share": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(value).over(W.partitionBy())})
+    """Running sum and share over a table of groups, in an order that ends with a distinct column."""
+    d = in_order(counts, *order, sums=(value,))
+    total = d.agg(F.sum(value).alias("_t"))
+    d = d.crossJoin(F.broadcast(total))  # one row
+    return d.withColumns({"cumulative_count": F.col(f"_sum_{value}"), "cumulative_share": F.col(f"_sum_{value}") / F.col("_t")}).drop("_no", "_t", f"_sum_{value}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import clip01, to_number
-from assetlens.operators.rank import add_percentile
+from assetlens.operators.rank import add_percentile, add_percentiles, cuts
 
 
 def pca_two(df: DataFrame, a: str, b: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -20,7 +20,7 @@ def pca_two(df: DataFrame, a: str, b: str, out: str, by: tuple[str, ...] = ()) -
         F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_ma"), F.avg(y).alias("_mb"), F.stddev_pop(x).alias("_sa"), F.stddev_pop(y).alias("_sb"), F.corr(x, y).alias("_r")
     )
     keys = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in by]
-    j = df.alias("d").join(F.broadcast(g).alias("g"), keys or F.lit(True), "left")
+    j = df.alias("d").join(g.alias("g"), keys, "left") if by else df.alias("d").crossJoin(F.broadcast(g).alias("g"))
     z1 = (x - F.col("_ma")) / F.nullif(F.col("_sa"), F.lit(0.0))
     z2 = (y - F.col("_mb")) / F.nullif(F.col("_sb"), F.lit(0.0))
     z1, z2 = F.coalesce(z1, F.lit(0.0)), F.coalesce(z2, F.lit(0.0))
@@ -69,15 +69,12 @@ def weighted_score(df: DataFrame, columns: list[str], weights: DataFrame, out: s
 def actual_use(df: DataFrame, kind: str = "resource_type", product: str = "product", view: str = "view_count", download: str = "download_count", api: str = "api_call_count") -> DataFrame:
     """Percentiles of the log counters, their component within each type, and its percentile within the type and overall."""
     d = df.withColumns({f"_log_{c}": F.log1p(to_number(c)) for c in (view, download, api)})
-    for c, out in ((view, "view_score"), (download, "download_score"), (api, "api_score")):
-        d = add_percentile(d, f"_log_{c}", out)
+    d = add_percentiles(d, {out: f"_log_{c}" for c, out in ((view, "view_score"), (download, "download_score"), (api, "api_score"))})
     d = d.withColumn("_second", F.when(F.col(kind) == product, F.col("download_score")).otherwise(F.col("api_score")))
     d = pca_two(d, "view_score", "_second", "actual_raw", (kind,))
-    d = add_percentile(d, "actual_raw", "actual_type_percentile", (kind,))
-    d = add_percentile(d, "actual_raw", "actual_global_percentile")
     d = d.withColumns({"actual_equal": (F.col("view_score") + F.col("_second")) / 2, "actual_depth": F.when(F.col(kind) == product, 0.4 * F.col("view_score") + 0.6 * F.col("_second")).otherwise(0.3 * F.col("view_score") + 0.7 * F.col("_second"))})
-    for c in ("actual_equal", "actual_depth"):
-        d = add_percentile(d, c, c + "_percentile", (kind,))
+    d = add_percentiles(d, {"actual_type_percentile": "actual_raw", "actual_equal_percentile": "actual_equal", "actual_depth_percentile": "actual_depth"}, (kind,))
+    d = add_percentile(d, "actual_raw", "actual_global_percentile")
     return d.drop("_second", *[f"_log_{c}" for c in (view, download, api)])
 
 
@@ -86,9 +83,7 @@ def potential_use(df: DataFrame, dimensions: list[str]) -> DataFrame:
     d = weighted_score(df, dimensions, critic_weights(df, dimensions), "potential_critic")
     d = d.withColumn("potential_equal", sum((clip01(c) for c in dimensions), F.lit(0.0)) / len(dimensions))
     d = weighted_score(d, dimensions, entropy_weights(df, dimensions), "potential_entropy")
-    for c in ("potential_critic", "potential_equal", "potential_entropy"):
-        d = add_percentile(d, c, c + "_percentile")
-    return d
+    return add_percentiles(d, {c + "_percentile": c for c in ("potential_critic", "potential_equal", "potential_entropy")})
 
 
 def is_candidate(potential, actual, high: float = 0.70, low: float = 0.50, gap: float = 0.30) -> Column:
@@ -110,6 +105,7 @@ def recomputation_mismatches(df: DataFrame, stored: str, again: Column) -> DataF
     return df.agg(F.coalesce(F.sum((~F.col(stored).cast("int").eqNullSafe(again.cast("int"))).cast("int")), F.lit(0)).alias("mismatches"))
 
 
+#: The weights, caps and factors in the seven dimension scores below must be these.
 def seven_dimensions(df: DataFrame, exact: bool = True) -> DataFrame:
     """The seven dimension scores of potential use, each in [0, 1], from the clean catalog's columns (see README)."""
     from assetlens.functions.catalog import DOMAIN_SCORE, FREQUENCY_SCORE, OTHER_SCORE, SPATIAL_SCORE, lookup_score
@@ -121,7 +117,7 @@ def seven_dimensions(df: DataFrame, exact: bool = True) -> DataFrame:
         "_fields": {"column": "field_count", "high": 0.99, "log": True}, "_described": {"column": "field_description_count", "high": 0.99, "log": True},
         "_records": {"column": "record_count_log", "high": 0.99}, "_size": {"column": "data_size_log", "high": 0.99},
     }, exact)
-    cap = df.agg(F.percentile(to_number("update_recency_days"), 0.95).alias("_cap"))
+    cap = cuts(df, {"_cap": ("update_recency_days", 0.95)})
     d = d.crossJoin(F.broadcast(cap))
     days = to_number("update_recency_days")
     recency = F.when(F.col("_cap").isNull() | (F.col("_cap") <= 0) | days.isNull(), 0.5).otherwise(1 - F.least(F.greatest(days, F.lit(0.0)), F.col("_cap")) / F.col("_cap"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import clip01, to_number
-from assetlens.operators.rank import TOTALS, add_percentile, min_rank, with_ranks
+from assetlens.operators.rank import add_percentile, add_percentiles, cuts, min_rank, with_ranks
 from assetlens.operators.scores import is_candidate
 
 Scenario = tuple[str, float, float, float]
@@ -67,7 +67,7 @@ def weight_scenarios(df: DataFrame, key: str, base: dict[str, float], draws: lis
     table = df.sparkSession.createDataFrame([(n, *[float(w[c]) if c in w else None for c in used]) for n, w in draws], ", ".join(["draw string", *[f"_w{k} double" for k in at.values()]]))
     parts = [F.when(F.col(f"_w{k}").isNull(), 0.0).otherwise(F.col(f"_c{k}") * F.col(f"_w{k}")) for k in at.values()]
     d = own.crossJoin(F.broadcast(table)).select(key, "draw", "base", "b_lo", "b_ties", "b_n", sum(parts, F.lit(0.0)).alias("score"))
-    d = with_ranks(d, "score", ("draw",), ranges=max(1, min(64, TOTALS // max(len(draws), 1))), prefix="s_")
+    d = with_ranks(d, "score", ("draw",), prefix="s_")
     rs, rb = F.col("s_lo") + (F.col("s_ties") + 1) / 2, F.col("b_lo") + (F.col("b_ties") + 1) / 2
     aggs = [F.corr(rs, rb).alias("spearman")]
     for p in shares:
@@ -96,8 +96,8 @@ def neighbours(base: tuple[float, float, float], step: float) -> list[Scenario]:
 
 def residual_columns(df: DataFrame, predictions: dict[str, str], actual: str, high: float = 0.70, low: float = 0.50, gap: float = 0.30) -> DataFrame:
     """Per model: percentile of its prediction, residual score and strict candidate flag."""
-    for m, c in predictions.items():
-        df = add_percentile(df, c, f"expected_{m}_percentile")
+    df = add_percentiles(df, {f"expected_{m}_percentile": c for m, c in predictions.items()})
+    for m in predictions:
         df = df.withColumns({f"dormant_score_{m}": F.col(f"expected_{m}_percentile") - F.col(actual), f"strict_{m}": is_candidate(f"expected_{m}_percentile", actual, high, low, gap).cast("int")})
     return df
 
@@ -105,11 +105,12 @@ def residual_columns(df: DataFrame, predictions: dict[str, str], actual: str, hi
 def quantile_layers(df: DataFrame, score: str, low_use: Column, rule: Column, all_shares=(0.95, 0.9, 0.8, 0.7), rule_shares=(0.9, 0.8, 0.7)) -> DataFrame:
     """Low-use rows above quantiles of all scores, rule rows above quantiles of the rule rows; no rule rows: no layer, no error."""
     s = to_number(score)
-    cuts = df.agg(F.percentile(s, list(all_shares)).alias("_a"), F.percentile(F.when(rule, s), list(rule_shares)).alias("_b"))
-    d = df.crossJoin(F.broadcast(cuts))
-    made = {f"low_use_p{round(100 * p)}": F.coalesce(low_use & (s >= F.get("_a", F.lit(k))), F.lit(False)).cast("int") for k, p in enumerate(all_shares)}
-    made |= {f"rule_p{round(100 * p)}": F.coalesce(rule & (s >= F.get("_b", F.lit(k))), F.lit(False)).cast("int") for k, p in enumerate(rule_shares)}
-    return d.withColumns(made).drop("_a", "_b")
+    both = df.select(s.alias("all"), F.when(rule, s).alias("rule"))
+    at = {f"_a{k}": ("all", p) for k, p in enumerate(all_shares)} | {f"_b{k}": ("rule", p) for k, p in enumerate(rule_shares)}
+    d = df.crossJoin(F.broadcast(cuts(both, at)))  # one row
+    made = {f"low_use_p{round(100 * p)}": F.coalesce(low_use & (s >= F.col(f"_a{k}")), F.lit(False)).cast("int") for k, p in enumerate(all_shares)}
+    made |= {f"rule_p{round(100 * p)}": F.coalesce(rule & (s >= F.col(f"_b{k}")), F.lit(False)).cast("int") for k, p in enumerate(rule_shares)}
+    return d.withColumns(made).drop(*at)
 
 
 def votes(df: DataFrame, flags: list[str]) -> DataFrame:
@@ -127,6 +128,59 @@ def layer_overlap(df: DataFrame, layers: list[str], rule: str) -> DataFrame:
     return d.select("layer", "count", (F.col("count") / F.col("n")).alias("share"), "common", F.coalesce(F.expr("try_divide(common, count + r - common)"), F.lit(0.0)).alias("jaccard"))
 
 
+def vote_counts(df: DataFrame, vote: str = "votes") -> DataFrame:
+    """Rows per number of votes."""
+    return df.groupBy(vote).agg(F.count(F.lit(1)).alias("count"))
+
+
+def scheme_comparison(df: DataFrame, schemes: dict[str, str], actual: str, base: str, thresholds: tuple[float, float, float] = (0.70, 0.50, 0.30)) -> DataFrame:
+    """Candidates under each scheme's potential percentile (scheme -> column), and their overlap with the base scheme's. One pass."""
+    flag = {s: is_candidate(c, actual, *thresholds).cast("int") for s, c in schemes.items()}
+    one = df.agg(F.coalesce(F.sum(flag[base]), F.lit(0)).alias("b"), *[x for i, f in enumerate(flag.values()) for x in (F.coalesce(F.sum(f), F.lit(0)).alias(f"c{i}"), F.coalesce(F.sum(f * flag[base]), F.lit(0)).alias(f"o{i}"))])
+    cells = F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(f"c{i}").alias("candidates"), F.col(f"o{i}").alias("overlap")) for i, s in enumerate(schemes)])
+    x = one.select("b", F.explode(cells).alias("x")).select("x.*", "b")
+    return x.select("scheme", "candidates", "overlap", F.coalesce(F.expr("try_divide(overlap, candidates + b - overlap)"), F.lit(0.0)).alias("jaccard"))
+
+
+def high_confidence(rule: str, model: str) -> Column:
+    """1 where both the rule and the model name a row."""
+    return ((F.coalesce(to_number(rule), F.lit(0.0)) == 1) & (F.coalesce(to_number(model), F.lit(0.0)) == 1)).cast("int")
+
+
+def high_potential(df: DataFrame, potential: str, tie: str, columns: list[str], least: float = 0.70) -> DataFrame:
+    """The columns of rows of high potential, the highest first."""
+    return df.where(to_number(potential) >= least).select(*columns).orderBy(F.desc(potential), tie)
+
+
+def _flag(df: DataFrame, c: str) -> Column:
+    return F.coalesce(to_number(c) == 1, F.lit(False)) if c in df.columns else F.lit(False)
+
+
+def extreme_cases(df: DataFrame, strict: str, any_vote: str, others: list[str], votes: str, score: str, tie: str) -> DataFrame:
+    """Rows that the strict rule, any vote or one of the other flags names; most votes first, then the highest score. Absent flags name none."""
+    cond = _flag(df, strict) | _flag(df, any_vote)
+    for c in others:
+        cond = cond | _flag(df, c)
+    return df.where(cond).orderBy(F.desc(votes), F.desc(score), tie)
+
+
+def candidate_pools(df: DataFrame, pools: dict[str, str], columns: list[str], scores: tuple[str, ...], tie: str) -> dict[str, DataFrame]:
+    """Pool -> its rows (flag column is 1) with the columns that exist, the highest scores first."""
+    have = [c for c in columns if c in df.columns]
+    order = [F.desc(c) for c in scores if c in df.columns]
+    return {name: df.where(_flag(df, flag)).orderBy(*order, tie).select(*have) for name, flag in pools.items()}
+
+
+def model_candidates(df: DataFrame, flags: dict[str, str], rule: str, selected: str) -> DataFrame:
+    """Per model (model -> flag column): candidates, share, how many the rule names too, and whether it is the selected model. One pass."""
+    r = F.coalesce(to_number(rule), F.lit(0.0)).cast("int")
+    f = {m: F.coalesce(to_number(c), F.lit(0.0)).cast("int") for m, c in flags.items()}
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(f.values()) for x in (F.coalesce(F.sum(c), F.lit(0)).alias(f"c{i}"), F.coalesce(F.sum(c * r), F.lit(0)).alias(f"o{i}"))])
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"c{i}").alias("candidates"), F.col(f"o{i}").alias("with_rule"), F.lit(int(m == selected)).alias("is_selected")) for i, m in enumerate(f)])
+    x = one.select("n", F.explode(cells).alias("x")).select("x.*", "n")
+    return x.select("model", "candidates", (F.col("candidates") / F.col("n")).alias("share"), "with_rule", "is_selected")
+
+
 def model_selection(metrics: DataFrame) -> DataFrame:
     """Models by the sum of their ranks by Spearman, RMSE and MAE; a table of one row per model."""
     every = W.partitionBy()

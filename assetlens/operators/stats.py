@@ -9,49 +9,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import to_number
-from assetlens.operators.rank import average_rank, with_ranks
+from assetlens.operators.rank import average_rank, cuts, quantile_table, ranked_values, with_ranks_of
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
     """gini: 2 sum(i x) / (n sum x) - (n + 1) / n over values clipped at 0; 0 for none or a zero sum. Ties share their average rank."""
-    r = with_ranks(df.select(F.when(to_number(value).isNotNull(), F.greatest(to_number(value), F.lit(0.0))).alias("x")), "x").where("n is not null")
-    s = r.agg(F.sum(average_rank() * F.col("x")).alias("ix"), F.sum("x").alias("sx"), F.count(F.lit(1)).alias("n"))
+    x = df.select(F.when(to_number(value).isNotNull(), F.greatest(to_number(value), F.lit(0.0))).alias("x"))
+    r = ranked_values(x, ["x"])
+    s = r.agg(F.sum(average_rank() * F.col("value") * F.col("ties")).alias("ix"), F.sum(F.col("value") * F.col("ties")).alias("sx"), F.sum("ties").alias("n"))
     return s.select(F.when(F.col("sx") > 0, 2 * F.col("ix") / (F.col("n") * F.col("sx")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0).alias("gini"))
 
 
 def top_share(df: DataFrame, value: str, share: float) -> DataFrame:
     """Share of the sum that the ceil(n p) largest values hold; tied values at the border count in part."""
-    r = with_ranks(df.select(F.col(value)), value).where("n is not null")
-    v = to_number(value)
+    r = ranked_values(df, [value])
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
     above = F.col("n") - F.col("lo") - F.col("ties")
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (k - above) / F.col("ties")))
-    s = r.agg(F.sum(v * part).alias("t"), F.sum(v).alias("s"))
+    taken = F.least(F.col("ties"), F.greatest(F.lit(0), k - above))
+    s = r.agg(F.sum(F.col("value") * taken).alias("t"), F.sum(F.col("value") * F.col("ties")).alias("s"))
     return s.select(F.coalesce(F.expr("try_divide(t, s)"), F.lit(0.0)).alias("top_share"))
 
 
 def lorenz(df: DataFrame, value: str, points: int = 20) -> DataFrame:
     """population_share and value_share at a bounded number of points, with the origin."""
-    r = with_ranks(df.select(F.col(value)), value).where("n is not null")
+    r = ranked_values(df, [value])
     slot = F.ceil((F.col("lo") + F.col("ties")) * points / F.col("n"))
-    g = r.groupBy(slot.alias("slot")).agg(F.sum(to_number(value)).alias("s"), F.count(F.lit(1)).alias("c"))
-    w = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    g = r.groupBy(slot.alias("slot")).agg(F.sum(F.col("value") * F.col("ties")).alias("s"), F.sum("ties").alias("c"))
+    w = W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)  # over `points` rows at most
     g = g.select((F.sum("c").over(w) / F.sum("c").over(W.partitionBy())).alias("population_share"), (F.sum("s").over(w) / F.sum("s").over(W.partitionBy())).alias("value_share"))
     origin = g.sparkSession.range(1).select(F.lit(0.0).alias("population_share"), F.lit(0.0).alias("value_share"))
     return origin.unionByName(g)
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float], exact: bool = True) -> DataFrame:
-    """Long form (metric, share, value); all cuts of all columns come from one aggregation."""
-    f = (lambda c: F.percentile(to_number(c), shares)) if exact else (lambda c: F.percentile_approx(to_number(c), shares, 10_000))
-    one = df.agg(*[f(c).alias(c) for c in columns])
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(p).cast("double").alias("share"), F.get(c, F.lit(k)).cast("double").alias("value")) for c in columns for k, p in enumerate(shares)]))
+    """Long form (metric, share, value) of all columns from one pass; value is null for a column without values."""
+    if exact:
+        one = cuts(df, {f"{c}/{k}": (c, p) for c in columns for k, p in enumerate(shares)})
+        at = lambda c, k: F.col(f"`{c}/{k}`")
+    else:
+        one = df.agg(*[F.percentile_approx(to_number(c), shares, 10_000).alias(c) for c in columns])
+        at = lambda c, k: F.get(c, F.lit(k))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(p).cast("double").alias("share"), at(c, k).cast("double").alias("value")) for c in columns for k, p in enumerate(shares)]))
     return one.select(cells.alias("q")).select("q.*")
 
 
 def winsorize(df: DataFrame, column: str, share: float = 0.99, out: str | None = None, exact: bool = True) -> DataFrame:
     """Values above the quantile become the quantile; nulls stay."""
-    cut = df.agg((F.percentile(to_number(column), share) if exact else F.percentile_approx(to_number(column), share, 10_000)).alias("_cut"))
+    cut = cuts(df, {"_cut": (column, share)}) if exact else df.agg(F.percentile_approx(to_number(column), share, 10_000).alias("_cut"))
     v = to_number(column)
     return df.crossJoin(F.broadcast(cut)).withColumn(out or column + "_winsor", F.when(v > F.col("_cut"), F.col("_cut")).otherwise(v)).drop("_cut")
 
@@ -66,9 +70,12 @@ def normalize_01(df: DataFrame, specs: dict[str, dict], exact: bool = True) -> D
         v = to_number(s["column"])
         return F.log1p(F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)))) if s.get("log") else v
 
-    pct = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-    bounds = df.agg(*[x for k, s in specs.items() for x in (pct(value(s), float(s.get("low", 0.0))).alias(f"_lo_{k}"), pct(value(s), float(s.get("high", 1.0))).alias(f"_hi_{k}"))])
-    out = df.crossJoin(F.broadcast(bounds))
+    if exact:
+        made = df.select(*[value(s).alias(k) for k, s in specs.items()])
+        bounds = cuts(made, {f"_lo_{k}": (k, float(s.get("low", 0.0))) for k, s in specs.items()} | {f"_hi_{k}": (k, float(s.get("high", 1.0))) for k, s in specs.items()})
+    else:
+        bounds = df.agg(*[F.percentile_approx(value(s), float(s.get(w, d)), 10_000).alias(f"{p}{k}") for k, s in specs.items() for p, w, d in (("_lo_", "low", 0.0), ("_hi_", "high", 1.0))])
+    out = df.crossJoin(F.broadcast(bounds))  # one row
     made = {}
     for k, s in specs.items():
         lo, hi, v, fill = F.col(f"_lo_{k}"), F.col(f"_hi_{k}"), value(s), F.lit(float(s.get("fill", 0.0)))
@@ -87,17 +94,20 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson of average ranks. Columns must be free of nulls or share them; else use spearman() for the pair."""
-    for c in columns:
-        df = with_ranks(df, c, prefix=f"_{c}_").withColumn(f"_r_{c}", average_rank(f"_{c}_")).drop(f"_{c}_lo", f"_{c}_ties", f"_{c}_n")
-    m = pearson_matrix(df, [f"_r_{c}" for c in columns])
-    return m.select(F.expr("substr(a, 4)").alias("a"), F.expr("substr(b, 4)").alias("b"), "r")
+    """Long form (a, b, r) of all pairs: Pearson of average ranks over the rows that have both values; all pairs from one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), to_number(a).alias("x"), to_number(b).alias("y")) for k, (a, b) in enumerate(pairs)]))
+    both = df.select(cells.alias("c")).select("c.*").where("x is not null and y is not null")
+    r = with_ranks_of(both, {"x_": "x", "y_": "y"}, ("pair",)).groupBy("pair").agg(F.corr(average_rank("x_"), average_rank("y_")).alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"), F.get(names, F.col("id").cast("int")).alias("n"))
+    return every.join(r, "pair", "left").select("n.a", "n.b", "r")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """rho and n over rows with both values."""
     both = df.select(to_number(a).alias("x"), to_number(b).alias("y")).where("x is not null and y is not null")
-    r = with_ranks(with_ranks(both, "x", prefix="x_"), "y", prefix="y_")
+    r = with_ranks_of(both, {"x_": "x", "y_": "y"})
     return r.agg(F.corr(average_rank("x_"), average_rank("y_")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -158,11 +168,18 @@ def chi2_sf(x: float, k: int) -> float:
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, rank_sum; with the total n and sum(t^3 - t) of ties. Null groups are a group."""
-    r = with_ranks(df.select(F.col(group).alias("g"), F.col(value).alias("v")), "v").where("n is not null")
-    per = r.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(average_rank()).alias("rank_sum"), F.percentile(to_number("v"), 0.5).alias("median"))
-    ties = r.agg(F.sum(F.col("ties") * F.col("ties") - 1.0).alias("tie_sum"), F.count(F.lit(1)).alias("total"))
-    return per.crossJoin(F.broadcast(ties))
+    """Per group: m, rank_sum and median; with the total n and sum(t^3 - t) of ties. Null groups are a group.
+
+    Everything comes from counts by (value, group), so no row is joined with its rank.
+    """
+    d = df.select(F.col(group).alias("g"), to_number(value).alias("v")).where("v is not null")
+    values = ranked_values(d, ["v"])
+    by_group = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    r = by_group.join(values.select(F.col("value").alias("v"), "lo", "ties"), "v")
+    per = r.groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * average_rank()).alias("rank_sum"))
+    median = quantile_table(d, ["v"], [0.5], ("g",)).select(F.col("k0").alias("_g"), F.get("q", F.lit(0)).alias("median"))
+    ties = values.agg(F.sum(F.col("ties") * (F.col("ties") * F.col("ties") - 1.0)).alias("tie_sum"), F.sum("ties").alias("total"))
+    return per.join(median, F.col("g").eqNullSafe(F.col("_g"))).drop("_g").crossJoin(F.broadcast(ties))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -193,22 +210,27 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """cramers_v and n from the crosstab of non-null pairs; Yates correction for two by two."""
+    """cramers_v and n from the counts of non-null pairs: chi2 = n (sum o^2 / (row column) - 1); Yates correction for two by two."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
     rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
-    total = cells.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-    grid = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(total))
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    gap = F.abs(F.coalesce("o", F.lit(0)) - e)
-    gap = F.when((F.col("r") == 2) & (F.col("c") == 2), F.greatest(F.lit(0.0), gap - F.least(F.lit(0.5), gap))).otherwise(gap)
-    s = grid.agg(F.sum(gap * gap / e).alias("chi2"), F.max("n").alias("n"), F.max("r").alias("r"), F.max("c").alias("c"))
-    return s.select(F.sqrt(F.col("chi2") / F.col("n") / F.greatest(F.lit(1), F.least(F.col("r") - 1, F.col("c") - 1))).alias("cramers_v"), "n")
+    j = cells.join(rows, "a").join(cols, "b")
+    s = j.agg(F.sum(F.col("o") * F.col("o") / (F.col("ra").cast("double") * F.col("cb"))).alias("q"), F.sum("o").alias("n"), F.max("ra").alias("r1"), F.max("cb").alias("c1"), F.max(F.struct("ra", "cb", "o")).alias("x"))
+    levels = cells.agg(F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
+    s = s.crossJoin(F.broadcast(levels))  # one row
+    n = F.col("n").cast("double")
+    # in a two by two table |o - e| is the same in all cells, and chi2 = gap^2 n^3 / (r1 r2 c1 c2)
+    e = F.col("x.ra") * F.col("x.cb") / n
+    gap = F.abs(F.col("x.o") - e)
+    gap = gap - F.least(F.lit(0.5), gap)
+    yates = gap * gap * F.pow(n, F.lit(3)) / (F.col("r1") * (n - F.col("r1")) * F.col("c1") * (n - F.col("c1")))
+    chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), yates).otherwise(n * (F.col("q") - 1))
+    return s.select(F.sqrt(F.greatest(chi2, F.lit(0.0)) / n / F.greatest(F.lit(1), F.least(F.col("r") - 1, F.col("c") - 1))).alias("cramers_v"), "n")
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, r2, mae, rmse, pearson and spearman over rows with both values, per key of `by`."""
     d = df.select(*by, to_number(actual).alias("y"), to_number(predicted).alias("p")).where("y is not null and p is not null")
-    r = with_ranks(with_ranks(d, "y", by, prefix="y_"), "p", by, prefix="p_")
+    r = with_ranks_of(d, {"y_": "y", "p_": "p"}, by)
     err = F.col("y") - F.col("p")
     g = r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("sse"), (F.var_pop("y") * F.count(F.lit(1))).alias("sst"), F.avg(F.abs(err)).alias("mae"),
