@@ -12,7 +12,14 @@ DOMAIN_SCORE = {"民生服务": 0.95, "卫生健康": 0.95, "公共安全": 0.90
 FREQUENCY_SCORE = {"即时": 1.00, "每天": 0.95, "每周": 0.85, "每月": 0.75, "每季度": 0.65, "每半年": 0.55, "每年": 0.45, "不定期更新": 0.35, "静态数据": 0.25}
 SPATIAL_SCORE = {"跨区域/国家级": 1.00, "市级": 0.85, "区级": 0.75, "其他/不确定": 0.30}
 OTHER_SCORE = {"domain": 0.60, "frequency": 0.40, "spatial": 0.50}
-FIELD_HINT = "字段|主要包含|包含了|包括"
+#: Codes of the resource types, words of a spatial level, and districts by list order.
+TYPE_CODES = {"数据产品": "cp", "数据接口": "jk"}
+DETAIL_URL = "https://data.sh.gov.cn/view/detail/index.html?type=%s&&id=%s&&companyFlag=0"
+DISTRICTS = ("黄浦区", "徐汇区", "长宁区", "静安区", "普陀区", "虹口区", "杨浦区", "闵行区", "宝山区", "嘉定区", "浦东新区", "金山区", "松江区", "青浦区", "奉贤区", "崇明区")
+LEVEL_RULES = [("街镇级", ("街道", "镇人民政府", "乡人民政府")), ("区级", DISTRICTS), ("市级", ("上海市",)), ("跨区域/国家级", ("长三角", "国家", "中国"))]
+LEVEL_BLANK, LEVEL_OTHER, CITY = "未知", "其他/不确定", "上海市"
+#: Weights of the three counters' percentiles in the first version of actual use.
+USE_V0 = {"view_count": 0.45, "download_count": 0.35, "api_call_count": 0.20}
 
 
 def lookup_score(x, scores: dict[str, float], other: float) -> Column:
@@ -21,13 +28,18 @@ def lookup_score(x, scores: dict[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), T.normalized_text(x)), F.lit(other))
 
 
-def resource_type_code(x, codes: dict[str, str]) -> Column:
+def resource_type_code(x, codes: dict[str, str] = TYPE_CODES) -> Column:
     t = T.normalize_space(x)
-    return F.coalesce(*[F.when(F.contains(t, F.lit(k)), v) for k, v in codes.items()], F.lit(""))
+    return F.coalesce(*[F.when(t == k, v) for k, v in codes.items()], F.lit(""))
 
 
 def build_url(template: str, *columns) -> Column:
-    return F.format_string(template, *[T.col(c) for c in columns])
+    """The template with the columns' values; empty where one of them is."""
+    parts = [F.coalesce(T.col(c).cast("string"), F.lit("")) for c in columns]
+    blank = F.lit(False)
+    for c in parts:
+        blank = blank | (c == "")
+    return F.when(blank, "").otherwise(F.format_string(template, *parts))
 
 
 def id_from_url(x, name: str = "id") -> Column:
@@ -35,7 +47,7 @@ def id_from_url(x, name: str = "id") -> Column:
     return F.regexp_extract(F.coalesce(T.col(x), F.lit("")), rf"[?&]{name}=([^&#]*)", 1)
 
 
-def admin_level(x, rules: list[tuple[str, tuple[str, ...]]], blank: str, other: str) -> Column:
+def admin_level(x, rules: list[tuple[str, tuple[str, ...]]] = LEVEL_RULES, blank: str = LEVEL_BLANK, other: str = LEVEL_OTHER) -> Column:
     """The first rule one of whose words the text holds."""
     t = T.normalize_space(x)
     out = F.when(t == "", blank)
@@ -44,11 +56,11 @@ def admin_level(x, rules: list[tuple[str, tuple[str, ...]]], blank: str, other:
     return out.otherwise(other)
 
 
-def places_found(x, places: tuple[str, ...], fallback: tuple[str, ...] = (), default: str = "") -> Column:
-    """Places that the text holds, in list order, joined by semicolons; else the default if a fallback word occurs."""
+def places_found(x, places: tuple[str, ...] = DISTRICTS, fallback: tuple[str, ...] = (CITY,), default: str = CITY, starts: str = "市") -> Column:
+    """Places that the text holds, in list order, joined by semicolons; else the default if a fallback word occurs or the text starts so."""
     t = T.normalize_space(x)
     found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(p)), p) for p in places]))
-    alone = F.when(T.contains_any(t, fallback), default).otherwise("") if fallback else F.lit("")
+    alone = F.when(T.contains_any(t, fallback) | F.startswith(t, F.lit(starts)), default).otherwise("")
     return F.when(F.size(found) > 0, F.array_join(found, ";")).otherwise(alone)
 
 

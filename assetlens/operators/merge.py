@@ -90,6 +90,24 @@ def selective_update(old: DataFrame, new: DataFrame, key: str, formats: str, fie
     return j.withColumn("changed", changed).withColumns(out).drop(*[c for c in j.columns if c.startswith("_n_")])
 
 
+def full_update(new: DataFrame, key: str, asset_id) -> DataFrame:
+    """The new record as it is, under the id that it was collected for."""
+    return new.withColumn(key, asset_id)
+
+
+def with_row_no(df: DataFrame, master: DataFrame, key: str, order: str, out: str = "row_no") -> DataFrame:
+    """df with the place (1..n) of each key in master's order; null where master has no such key. Of a key that master has twice the last place counts."""
+    from assetlens.operators.rank import in_order
+
+    places = in_order(master.select(key, order), F.asc(order)).groupBy(F.col(key).alias("_k")).agg(F.max("_no").alias(out))
+    return df.join(places, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def done_difference(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Distinct ids that aren't among the done ones."""
+    return ids.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
 def recollect_action(old_status: str, new_status: str, changed: Column, error: str) -> Column:
     """What a recollection does with a record."""
     o, n = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in (old_status, new_status))

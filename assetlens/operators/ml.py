@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, ImputerModel, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import to_number
 from assetlens.operators.profile import MISSING, seeded_sample
+from assetlens.scratch import Scratch, written
+
+
+#: Suffixes of columns made from a source column: filled numbers and one-hot levels.
+FILLED, HOT = "__f", "__h"
 
 
 def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -43,11 +48,11 @@ def feature_stages(numeric: list[str], categorical: list[str], grams: str | None
     """Median imputation and scaling, one-hot levels with unknown ones kept apart, TF-IDF of n-grams (idf + 1, unit length)."""
     stages, parts = [], []
     if numeric:
-        filled = [f"{c}__f" for c in numeric]
+        filled = [f"{c}{FILLED}" for c in numeric]
         stages += [Imputer(inputCols=numeric, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__num", handleInvalid="keep"), StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True)]
         parts.append("__scaled")
     if categorical:
-        index, hot = [f"{c}__i" for c in categorical], [f"{c}__h" for c in categorical]
+        index, hot = [f"{c}__i" for c in categorical], [f"{c}{HOT}" for c in categorical]
         stages += [StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False)]
         parts += hot
     if grams:
@@ -56,8 +61,15 @@ def feature_stages(numeric: list[str], categorical: list[str], grams: str | None
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
-def ridge(alpha: float, rows: int, target: str = "label") -> LinearRegression:
-    return LinearRegression(labelCol=target, elasticNetParam=0.0, regParam=alpha / max(rows, 1), standardization=False)
+def ridge(alpha: float, rows: float, target: str = "label", spread: float = 1.0) -> LinearRegression:
+    """Least squares plus alpha times the sum of squared weights. Spark divides its penalty by the label's spread (population standard deviation), so that comes in here."""
+    return LinearRegression(labelCol=target, elasticNetParam=0.0, regParam=alpha * spread / max(rows, 1), standardization=False)
+
+
+def ridge_for(df: DataFrame, alpha: float, target: str = "label", share: float = 1.0) -> LinearRegression:
+    """ridge() for fitting on a share of df's rows."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
+    return ridge(alpha, share * r["n"], target, r["s"] or 1.0)
 
 
 def random_forest(target: str = "label", trees: int = 450, leaf: int = 2, depth: int = 12, seed: int = 42) -> RandomForestRegressor:
@@ -83,12 +95,15 @@ def out_of_fold(df: DataFrame, key: str, make, k: int = 5, seed: int = 42, inner
     folded = with_folds(df, key, k, seed)
     if inner:
         folded = folded.withColumn("validation", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1000)) < int(1000 * inner))
-    folded = folded.persist()
+    scratch = Scratch(df.sparkSession, "folds")
+    folded = scratch.written(folded, "rows")
     out = None
     for f in range(k):
         model = make().fit(folded.where(F.col("fold") != f))
         part = model.transform(folded.where(F.col("fold") == f)).select(key, "fold", "prediction")
         out = part if out is None else out.unionByName(part)
+    out = written(out, "out-of-fold")
+    scratch.close()
     return out
 
 
@@ -97,7 +112,14 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     attrs = model.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
     values = model.stages[-1].featureImportances.toArray()
-    source = lambda n: n.split("__")[0]
+    hot = [c.removesuffix("__i") for s in model.stages if hasattr(s, "labelsArray") for c in s.getOutputCols()]
+    filled = [c.removesuffix(FILLED) for s in model.stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
+    # slots of scaled numbers are numbered in the order of the columns; a level's slot starts with its column's name, the longest that fits
+    sources = {f"__scaled_{i}": c for i, c in enumerate(filled)}
+
+    def source(n: str) -> str:
+        return sources.get(n) or max((c for c in hot if n.startswith(c + HOT)), key=len, default="text" if n.startswith("__text") else n)
+
     spark = df.sparkSession
     rows = [(source(names.get(i, str(i))), float(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("encoded"))
@@ -107,9 +129,13 @@ def importance_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"))
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, key: str, sample: int = 1800, points: int = 21, top: int = 12, seed: int = 42) -> DataFrame:
-    """feature, value and mean prediction over a sample whose feature is set to each grid value. The grid has at most max(points, top) rows."""
-    s = seeded_sample(df, key, sample, seed)
+def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, key: str, sample: int | None = 1800, points: int = 21, top: int = 12, seed: int = 42) -> DataFrame:
+    """feature, value and mean prediction over rows whose feature is set to each grid value: a seeded sample, or all rows for None.
+
+    The grid is part of the contract: the two values of a column that has no more, else quantiles from 5 to 95 % at `points` places; of a text
+    column its `top` most frequent values. So it has at most max(points, top) rows, whatever the table's size, and is broadcast.
+    """
+    s = seeded_sample(df, key, sample, seed) if sample is not None else df
     kind = dict(df.dtypes)[feature]
     if kind == "string":
         grid = df.groupBy(feature).count().orderBy(F.desc("count"), feature).limit(top).select(F.col(feature).alias("_g"))
@@ -148,6 +174,49 @@ def shapley(model: PipelineModel, df: DataFrame, features: list[str], key: str,
     return gain.groupBy(key, name.alias("feature")).agg(F.avg(F.col("prediction") - F.col("without")).alias("attribution"))
 
 
+def model_comparison(predictions: DataFrame, actual: str, predicted: str, model: str = "model", fold: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Metrics per model and fold, and per model with its place (see model_selection). predictions: model, fold, actual and predicted values."""
+    from assetlens.operators.sensitivity import model_selection
+    from assetlens.operators.stats import regression_metrics
+
+    return regression_metrics(predictions, actual, predicted, (model, fold)), model_selection(regression_metrics(predictions, actual, predicted, (model,)))
+
+
+def ablation(df: DataFrame, key: str, features: tuple[list[str], list[str]], dropped: tuple[str, ...], models: dict, k: int = 5, seed: int = 42) -> DataFrame:
+    """key, model, fold and prediction of each model without the dropped features. features: numeric and categorical; models: name -> function that returns an unfitted estimator."""
+    numeric, categorical = ([c for c in part if c not in dropped] for part in features)
+    out = None
+    for name, make in models.items():
+        p = out_of_fold(df, key, lambda make=make: Pipeline(stages=[*feature_stages(numeric, categorical), make()]), k, seed).withColumn("model", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def potential_model(df: DataFrame, key: str, texts: list[str], categorical: list[str], numeric: list[str], target: str = "actual_use_v0", alpha: float = 1.0, vocabulary: int = 5000, tops: tuple[int, ...] = (100, 300), potential: float = 0.70, actual: float = 0.50) -> tuple[DataFrame, DataFrame]:
+    """The first model: out-of-fold ridge on n-grams, levels and numbers predicts use; what is predicted high and used little is dormant.
+
+    Returns df with potential_ml, its percentile, dormant_score, dormant_rank, top flags, quadrant and dormant_candidate; and one row of metrics.
+    """
+    from assetlens.operators.quality import prepared
+    from assetlens.operators.rank import add_percentiles, first_rank
+    from assetlens.operators.scores import quadrant
+    from assetlens.operators.stats import regression_metrics
+
+    d = prepared(df, categorical, numeric, texts).withColumns({"label": F.coalesce(to_number(target), F.lit(0.0)), **{c: F.coalesce(to_number(c), F.lit(0.0)) for c in numeric}})
+    d = written(d.withColumn("_grams", char_grams("combined_text")), "model-frame")
+    model = ridge_for(d, alpha, share=0.8)
+    stages = lambda: [*feature_stages(numeric, categorical, "_grams", vocabulary), model.copy()]
+    p = out_of_fold(d.select(key, "label", "_grams", *categorical, *numeric), key, lambda: Pipeline(stages=stages()))
+    d = d.drop("_grams").join(p.select(key, F.col("prediction").alias("potential_ml"), "fold"), key)
+    metrics = regression_metrics(d, "label", "potential_ml")
+    d = add_percentiles(d, {"potential_ml_percentile": "potential_ml", "actual_use_percentile": "label"}, kind="pct")
+    d = d.withColumn("dormant_score", F.col("potential_ml_percentile") - F.col("actual_use_percentile"))
+    d = first_rank(d, "dormant_score", key, "dormant_rank")
+    made = {f"dormant_top{k}": (F.col("dormant_rank") <= k).cast("int") for k in tops}
+    made |= {"quadrant": quadrant("potential_ml_percentile", "actual_use_percentile"), "dormant_candidate": F.coalesce((F.col("potential_ml_percentile") >= potential) & (F.col("actual_use_percentile") <= actual), F.lit(False)).cast("int")}
+    return d.withColumns(made), metrics
+
+
 def direction(df: DataFrame, value: str, attribution: str) -> DataFrame:
     """How attribution moves with a value: for two values the difference of means, else the rank correlation, with its sign if beyond 0.05."""
     from assetlens.operators.stats import spearman

@@ -181,5 +181,48 @@ def detail_record(pages: DataFrame, key: str = "page_id", gone_markers: tuple[st
     return d.select(key, "scrape_status", *[F.when(F.col("scrape_status") == "success", F.col(c)).alias(c) for c in nulls])
 
 
+def unavailable_record(key: str, url: str, at: Column) -> dict[str, Column]:
+    """The typed record of a page that says its data set is gone: a final state, so nothing is tried again."""
+    text = ("download_formats", "data_size", "field_names", "sample_field_headers", "recommended_dataset_names", "detail_spatial_scope", "detail_time_scope")
+    numbers = ("api_need_apply", "record_count", "rating_score", "comment_count")
+    counts = ("format_count", "field_count", "has_time_field", "has_geo_field", "field_description_count", "has_standard_field_description", "has_data_sample", "recommended_dataset_count")
+    return {
+        "asset_id": T.normalize_id(key), "detail_url": F.col(url), **{c: F.lit("") for c in text}, **{c: F.lit(None).cast("double") for c in numbers}, **{c: F.lit(0) for c in counts},
+        "scrape_status": F.lit("unavailable"), "scrape_error": F.lit("the page says that the data set's id is wrong or removed"), "scraped_at": at,
+    }
+
+
+def gone_records(pages: DataFrame, key: str, url: str, text: str, at: Column, markers: tuple[str, ...] = T.GONE_MARKERS) -> DataFrame:
+    """unavailable_record() of each page whose text holds a marker."""
+    return pages.where(T.contains_any(text, markers)).select(*[c.alias(n) for n, c in unavailable_record(key, url, at).items()])
+
+
+#: The labels of a detail page's table, in its order, by what they are called here.
+AUDIT_LABELS = {
+    "tags": "数据标签", "keywords": "关键词", "update_frequency": "更新频率", "theme_category": "国家主题分类", "data_quantity": "数据量（条）", "data_size": "数据大小", "first_publish_date": "首次发布日期",
+    "update_date": "更新日期", "spatial_scope": "空间范围", "time_scope": "时间范围", "contact": "联系方式", "latest_dataset": "最新数据集", "open_condition": "开放条件", "open_condition_supplement": "开放条件补充", "data_agreement": "数据协议",
+}
+
+
+def audit_record(parsed: DataFrame, key: str) -> DataFrame:
+    """One audit record per parsed page: title, department, summary, table values (the last of a label counts), formats, fields, counters, services and scores."""
+    body = F.col("body")
+    d = parsed.withColumns({"_meta": table_metadata(F.col("tables"), tuple(AUDIT_LABELS.values()), last_wins=True), "_fields": field_info(F.col("tables")), "_formats": T.format_words(body), "_usage": T.usage_counts(body)})
+    made = {**T.title_and_department(body), "summary": T.summary_text(body), **{n: F.coalesce(F.try_element_at("_meta", F.lit(k)), F.lit("")) for n, k in AUDIT_LABELS.items()}}
+    made |= {"download_formats": F.array_join("_formats", ";"), "download_format_count": F.size("_formats"), "field_names": F.array_join("_fields.names", ";"), "field_count": F.size("_fields.names"), **T.field_flags("_fields.names", body)}
+    made |= {c: F.col(f"_usage.{c}") for c in ("view_count", "download_count", "api_call_count")} | T.api_info(body) | {"recommended_dataset_count": T.recommendations(body)["recommended_dataset_count"]}
+    d = d.select(key, *[v.alias(n) for n, v in made.items()])
+    return d.withColumns(simple_scores())
+
+
+def simple_scores() -> dict[str, Column]:
+    """Counters that are known, the sum of their logarithms, and how many of eleven things an audit record has."""
+    counters = [T.to_number(c) for c in ("view_count", "download_count", "api_call_count")]
+    has = {c: F.col(c) != "" for c in ("summary", "theme_category", "keywords", "update_frequency", "update_date")}
+    has |= {"fields": F.col("field_count") >= 5, "formats": F.col("download_format_count") >= 2, "recommended": F.col("recommended_dataset_count") >= 1, **{c: F.col(c) == 1 for c in ("has_time_field", "has_geo_field", "has_api_doc")}}
+    known = sum((c.isNotNull().cast("int") for c in counters), F.lit(0))
+    return {"actual_use_channels": known, "actual_use_log_sum": sum((F.coalesce(F.log1p(c), F.lit(0.0)) for c in counters), F.lit(0.0)), "audit_score": completeness_score(has)}
+
+
 def completeness_score(conditions: dict[str, Column]) -> Column:
     return sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions.values()), F.lit(0))

@@ -53,6 +53,11 @@ def range_flags(rating: str, comments: str, most: int = 100_000) -> dict[str, Co
     return {"rating_score_invalid_flag": F.coalesce(~r.between(0, 5), F.lit(False)).cast("int"), "comment_count_invalid_flag": F.coalesce(c > most, F.lit(False)).cast("int")}
 
 
+def disabled(columns: dict[str, str]) -> dict[str, Column]:
+    """Columns that are out of use, as typed nulls."""
+    return {c: F.lit(None).cast(kind) for c, kind in columns.items()}
+
+
 def class_indicators(column: str, values: dict[str, str]) -> dict[str, Column]:
     return {name: F.coalesce(F.trim(column) == v, F.lit(False)).cast("int") for name, v in values.items()}
 
@@ -75,11 +80,21 @@ def quality_issues(core: list[str], status: str, text_columns: list[str], names:
     return F.when(ok, names_where(flags)).otherwise(F.array(F.coalesce(F.nullif(F.trim(status), F.lit("")), F.lit("non_success"))))
 
 
+#: Points of a record's status, of each thing that is missing or broken, and of fields and formats with their limits.
+STATUS_POINTS = {"success": 10_000, "unavailable": -1_000, None: -2_000}
+LOST_POINTS = {"missing": 600, "mojibake": 800, "suspicious": 300, "few": 250}
+GAINED_POINTS = {"fields": (8, 200), "formats": (5, 50)}
+
+
 def quality_score(status: str, missing: Column, mojibake: Column, suspicious: Column, few: Column, fields: Column, formats: Column) -> Column:
     s = F.lower(F.trim(F.coalesce(status, F.lit(""))))
-    base = F.when(s == "success", 10_000).when(s == "unavailable", -1_000).otherwise(-2_000)
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return base - 600 * n(missing) - 800 * n(mojibake.cast("int")) - 300 * n(suspicious.cast("int")) - 250 * n(few.cast("int")) + F.least(F.lit(200), 8 * n(fields)) + F.least(F.lit(50), 5 * n(formats))
+    out = F.when(s == "success", STATUS_POINTS["success"]).when(s == "unavailable", STATUS_POINTS["unavailable"]).otherwise(STATUS_POINTS[None])
+    for name, c in {"missing": missing, "mojibake": mojibake, "suspicious": suspicious, "few": few}.items():
+        out = out - LOST_POINTS[name] * F.coalesce(c.cast("int"), F.lit(0))
+    for name, c in {"fields": fields, "formats": formats}.items():
+        each, most = GAINED_POINTS[name]
+        out = out + F.least(F.lit(most), each * F.coalesce(c, F.lit(0)))
+    return out
 
 
 def bool_mask(df: DataFrame, column: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from assetlens.functions.text import MOJIBAKE_MONITOR, has_mojibake, is_blank_raw, to_number
 from assetlens.operators.merge import upsert
 from assetlens.operators.rank import batches, latest
+from assetlens.scratch import remove
 
 
 def growing_table(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 8) -> DataFrame:
@@ -75,11 +76,14 @@ def count_windows(stream: DataFrame, key: str, size: int, good: str) -> DataFram
         window, n, ok = state.get if state.exists else (0, 0, 0)
         out = []
         for f in frames:
-            for g in f[good].fillna(0).astype(int):
-                n, ok = n + 1, ok + int(g)
-                if n == size:
-                    out.append((k[0], window, n, ok))
-                    window, n, ok = window + 1, 0, 0
+            total = ok + f[good].fillna(0).astype("int64").cumsum().to_numpy()  # good rows since the open window began, by row
+            ends = range(size - n - 1, len(total), size)  # rows that fill a window
+            before = 0
+            for e in ends:
+                out.append((k[0], window, size, int(total[e]) - before))
+                window, before = window + 1, int(total[e])
+            n = (n + len(total)) % size
+            ok = int(total[-1]) - before if len(total) else ok
         state.update((window, n, ok))
         yield pd.DataFrame(out, columns=[key, "window", "rows", "good_rows"])
 
@@ -87,19 +91,31 @@ def count_windows(stream: DataFrame, key: str, size: int, good: str) -> DataFram
 
 
 def upsert_stream(stream: DataFrame, table_path: str, key: str, seq: str, latest_columns: list[str], checkpoint: str, available_now: bool = True):
-    """Merges each micro-batch into a versioned Parquet table; replaying a batch gives the same version again."""
+    """Merges each micro-batch into a versioned Parquet table (v=0, v=1, ..); replaying a batch gives the same version again.
+
+    A version is as large as the table, so only two are kept: the one before is what a replay needs.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{table_path}/v={number - 1}") if number else batch.limit(0)
         upsert(old, batch, key, seq, latest_columns).write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        if number > 1:
+            remove(spark, f"{table_path}/v={number - 2}")
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def upserted(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest version that upsert_stream() has written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    return spark.read.parquet(f"{table_path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+
+
 def run_until_done(step, progress, most: int = 1000) -> int:
-    """Repeats step() while progress() grows; returns the number of steps."""
+    """Repeats step(), one availableNow run or any other batch, while progress() grows; returns the number of steps."""
     before = progress()
     for k in range(most):
         step()
