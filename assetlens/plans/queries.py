@@ -5,43 +5,28 @@ Floats are rounded on both sides, so that the order of summing can't matter. A q
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.functions import catalog as C
 from assetlens.functions import text as T
-from assetlens.operators import merge, pages, profile, quality, rank, scores, sensitivity, stats
+from assetlens.operators import merge, profile, quality, rank, scores, sensitivity, stats
+from assetlens.plans.registry import ORACLES, QUERIES, query, rounded
 from assetlens.plans.views import ASSET, DIMENSIONS, DIMS, SCORED, asset_dimensions, asset_usage, p01, scored_assets, table
 from assetlens.scratch import written
 from assetlens.streaming import monitor
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # ---- flagship and scores
 
 
 @query("flagship_candidates", f"""{SCORED} SELECT asset_id, resource_type, round(potential,6) AS potential, round(actual,6) AS actual, round(potential-actual,6) AS dormant_score,
  row_number() OVER (ORDER BY round(potential-actual,9) DESC, asset_id) AS rank FROM pot WHERE potential>=0.7 AND actual<=0.5 AND potential-actual>=0.3""")
 def flagship_candidates(spark, sf):
-    d = scored_assets(spark, sf).withColumn("gap", F.round(F.col("potential") - F.col("actual"), 9))
+    return flagship_from(scored_assets(spark, sf))
+
+
+def flagship_from(scored):
+    """Ranked candidates of scored assets."""
+    d = scored.withColumn("gap", F.round(F.col("potential") - F.col("actual"), 9))
     d = d.where(scores.is_candidate("potential", "actual"))
     d = rank.first_rank(d, "gap", "asset_id")
     return rounded(d.select("asset_id", "resource_type", "potential", "actual", F.col("gap").alias("dormant_score"), "rank"))
@@ -86,13 +71,6 @@ def j7_potential_equal(spark, sf):
     return rounded(scores.potential_use(asset_dimensions(spark, sf), list(DIMENSIONS)).select("asset_id", "potential_equal"))
 
 
-@query("j13_recomputation", f"{SCORED} SELECT 0::BIGINT AS mismatches FROM (SELECT 1)")
-def j13_recomputation(spark, sf):
-    stored = written(flagship_candidates(spark, sf).select("asset_id", F.lit(1).alias("stored")), "flagship")
-    d = scored_assets(spark, sf).join(stored, "asset_id", "full").withColumn("stored", F.coalesce("stored", F.lit(0)))
-    return scores.recomputation_mismatches(d, "stored", scores.is_candidate("potential", "actual"))
-
-
 # ---- ranks
 
 
@@ -278,7 +256,8 @@ def g9_long_tail(spark, sf):
 @query("g10_conversion", f"WITH {ASSET} SELECT resource_type, round(avg(download_count/(view_count+1)),6) AS mean, round(quantile_cont(download_count/(view_count+1),0.5),6) AS median, round(max((download_count+api_call_count)/(view_count+1)),6) AS most FROM asset GROUP BY 1")
 def g10_conversion(spark, sf):
     d = asset_usage(spark, sf).withColumns(C.conversion_ratios("view_count", "download_count", "api_call_count"))
-    return rounded(d.groupBy("resource_type").agg(F.avg("download_conversion").alias("mean"), F.percentile("download_conversion", 0.5).alias("median"), F.max("overall_conversion").alias("most")))
+    median = profile.summary(d, ["download_conversion"], ("resource_type",), ("mean", "median")).drop("metric")
+    return rounded(median.join(d.groupBy("resource_type").agg(F.max("overall_conversion").alias("most")), "resource_type"))
 
 
 @query("g12_summary_by_type", f"WITH {ASSET}, l AS (SELECT resource_type, 'price' AS metric, price AS value FROM asset UNION ALL SELECT resource_type, 'size', size FROM asset) SELECT resource_type, metric, count(*) AS count, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.1),6) AS p10, round(quantile_cont(value,0.9),6) AS p90, round(stddev_pop(value),6) AS std_pop, round(stddev_samp(value),6) AS std_samp FROM l GROUP BY 1,2")
@@ -352,15 +331,9 @@ def k3_selection_frequency(spark, sf):
     return sensitivity.selection_frequency(scored_assets(spark, sf), _GRID, "potential", "actual").select("asset_id", "times_selected")
 
 
-@query("k6_leave_one_out", None)
-def k6_leave_one_out(spark, sf):
-    base = {c: 1 / 3 for c in DIMENSIONS}
-    return rounded(sensitivity.weight_scenarios(asset_dimensions(spark, sf), "asset_id", base, sensitivity.leave_one_out(base)))
-
-
 @query("k4_weight_perturbation", None)
 def k4_weight_perturbation(spark, sf):
-    d = asset_dimensions(spark, sf)
+    d = written(asset_dimensions(spark, sf), "dimensions")
     base = {r.dimension: r.weight for r in scores.critic_weights(d, list(DIMENSIONS)).collect()}
     base = {c: base[c] for c in DIMENSIONS}
     return rounded(sensitivity.weight_scenarios(d, "asset_id", base, sensitivity.perturbed_weights(base, [0.1, 0.2], 200, 42)))
@@ -429,12 +402,6 @@ def f9_best_attempt(spark, sf):
     return merge.best_attempt(d, "id", "attempt", "issues", "value").select("id", "attempt", "value")
 
 
-@query("l3_done_difference", "SELECT user_id FROM events WHERE event_type='view' EXCEPT SELECT user_id FROM events WHERE event_type='purchase' AND value>30")
-def l3_done_difference(spark, sf):
-    e = table(spark, sf, "events")
-    return e.where("event_type = 'view'").select("user_id").distinct().join(e.where("event_type = 'purchase' and value > 30").select("user_id"), "user_id", "left_anti")
-
-
 @query("l6_retry_queue", "SELECT conv_id, turn, 'missing_role' AS retry_reason FROM conversations WHERE role='user'")
 def l6_retry_queue(spark, sf):
     d = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") != "user", F.col("role")).alias("role"))
@@ -454,11 +421,6 @@ def b7_parse_number(spark, sf):
     return table(spark, sf, "events").select("event_id", T.parse_number("props").alias("k"))
 
 
-@query("b8_parse_size", "SELECT p_partkey, (p_size*1024.0*1024.0)::DOUBLE AS bytes FROM part")
-def b8_parse_size(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.parse_size_bytes(F.concat(F.col("p_size").cast("string"), F.lit(" mb"))).alias("bytes"))
-
-
 @query("b18_split_terms", "SELECT doc_id, len([x for x in regexp_split_to_array(text,'[;；|,\\n\\r\\t]') if trim(x)<>''])::INT AS terms FROM documents")
 def b18_split_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.split_terms("text")).alias("terms"))
@@ -469,11 +431,6 @@ def b24_keyword_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.distinct_keyword_count("text", ("the", "de", "und", "que")).alias("n"))
 
 
-@query("b32_lookup_score", "SELECT doc_id, CASE lang WHEN 'en' THEN 0.9 WHEN 'de' THEN 0.7 ELSE 0.4 END::DOUBLE AS s FROM documents")
-def b32_lookup_score(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", C.lookup_score("lang", {"en": 0.9, "de": 0.7}, 0.4).alias("s"))
-
-
 @query("b31_date_features", f"WITH {ASSET} SELECT asset_id, date_diff('day',first_date::DATE,DATE '2025-01-01')::INT AS publication_age_days, date_diff('day',last_date::DATE,DATE '2025-01-01')::INT AS update_recency_days, date_diff('day',first_date::DATE,last_date::DATE)::INT AS maintenance_span_days FROM asset")
 def b31_date_features(spark, sf):
     d = asset_usage(spark, sf)
@@ -491,19 +448,6 @@ def g25_missing_report(spark, sf):
     return profile.missing_report(table(spark, sf, "conversations"), ["text"], F.col("role") == "user")
 
 
-# ---- pages
-
-
-@query("c22_page_links", None)
-def c22_page_links(spark, sf):
-    return pages.detail_links(pages.parse_pages(table(spark, sf, "pages")), "/")
-
-
-@query("c19_page_records", None)
-def c19_page_records(spark, sf):
-    return pages.detail_record(table(spark, sf, "pages"), gone_markers=("404 Not Found",))
-
-
 # ---- monitoring
 
 
@@ -537,8 +481,8 @@ def p2_out_of_fold_ridge(spark, sf):
     from assetlens.operators import ml
 
     d = _model_frame(spark, sf)
-    n = d.count()
-    return ml.out_of_fold(d, "asset_id", lambda: Pipeline(stages=[*ml.feature_stages(["size", "price", "name_length"], ["domain", "department"]), ml.ridge(5.0, n)]))
+    model = ml.ridge_for(d, 5.0, share=0.8)
+    return ml.out_of_fold(d, "asset_id", lambda: Pipeline(stages=[*ml.feature_stages(["size", "price", "name_length"], ["domain", "department"]), model.copy()]))
 
 
 @query("p17_partial_dependence", None)
@@ -547,4 +491,10 @@ def p17_partial_dependence(spark, sf):
 
     d = _model_frame(spark, sf)
     model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.random_forest(trees=20, depth=5))
-    return ml.partial_dependence(model, d, "price", "asset_id")
+    return ml.partial_dependence(model, d, "price", "asset_id", sample=None)
+
+
+# ---- the other modules of entries register themselves
+from assetlens.plans import entries_models, entries_pages, entries_quality, entries_tables, entries_text  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -122,14 +122,14 @@ def test_sensitivity_queries_are_the_whole_job(spark, data, monkeypatch):
 
 
 def test_recomputation_reads_the_written_table(spark, data, monkeypatch):
-    from assetlens.plans import queries
-
-    small = spark.createDataFrame([(1, "product", 0.9, 0.1), (2, "product", 0.8, 0.4), (3, "product", 0.2, 0.1), (4, "product", None, 0.1)], "asset_id bigint, resource_type string, potential double, actual double")
-    monkeypatch.setattr(queries, "scored_assets", lambda *a: small)
-    assert queries.j13_recomputation(spark, data).first().mismatches == 0
-    whole = queries.flagship_candidates
-    monkeypatch.setattr(queries, "flagship_candidates", lambda *a: whole(*a).where("rank > 1").unionByName(whole(*a).where("rank = 1").withColumn("asset_id", F.lit(-1).cast("bigint"))))
-    assert queries.j13_recomputation(spark, data).first().mismatches == 2
+    from assetlens.plans import entries_models, queries
+
+    small = spark.createDataFrame([(1, "product", 0.9, 0.1), (2, "product", 0.8, 0.4), (3, "product", 0.2, 0.1), (97, "product", None, 0.1)], "asset_id bigint, resource_type string, potential double, actual double")
+    monkeypatch.setattr(entries_models, "scored_assets", lambda *a: small)
+    assert tuple(entries_models.j13_recomputation(spark, data).first()) == (0, 1)
+    whole = queries.flagship_from
+    monkeypatch.setattr(queries, "flagship_from", lambda d: whole(d).where("rank > 1").unionByName(whole(d).where("rank = 1").withColumn("asset_id", F.lit(-1).cast("bigint"))))
+    assert entries_models.j13_recomputation(spark, data).first().mismatches == 2
 
 
 def test_weight_scenarios_against_plain_ranks(spark):
