@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,39 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("assetlens.scratch", None):
-            spark.conf.set("assetlens.scratch", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        root = spark.conf.get("assetlens.scratch")
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = folder or new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that new_folder() named."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 #: Most ids that are sent to every executor; beyond it both sides are dealt out by id.
 BROADCAST_IDS = 1_000_000
 
 
-def rows_with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids (one column, distinct, written). Broadcast if there are at most BROADCAST_IDS ids, else a shuffle join."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def rows_with_ids(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose key is in ids (one column, distinct, written). Broadcast if there are at most `most` ids, else a shuffle join."""
+    few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")

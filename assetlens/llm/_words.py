@@ -6,13 +6,13 @@ taken as a difference of running sums, then mixed. Windows of words are hashed t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; a longer text is taken alone.
-CHUNK = 1 << 20
+#: Bytes of text that make a slice of a batch (a longer text is taken alone), and that are hashed at once.
+CHUNK, BLOCK = 1 << 19, 1 << 17
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
@@ -61,11 +61,18 @@ class Words:
     def __init__(self, texts: list[bytes], lower: bool = False, separators: np.ndarray = _SPACE):
         self.buffer = b" ".join(texts)
         raw = np.frombuffer(self.buffer, np.uint8)
-        inside = ~separators[raw]
-        edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        value = _BYTE[_LOWER[raw]] if lower else _BYTE[raw]
-        self.hash = sums_of_runs(value, self.start, self.end)
+        inside = np.zeros(len(raw) + 2, bool)
+        np.logical_not(separators[raw], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
+        value = _BYTE[_LOWER] if lower else _BYTE
+        self.hash = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):  # whole words, about a block of bytes at a time: eight bytes are held for each
+            a = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, a + BLOCK, "right")))
+            self.hash[i:j] = sums_of_runs(value[raw[a : self.end[j - 1]]], self.start[i:j] - a, self.end[i:j] - a)
+            i = j
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, at)
         self.of = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -78,8 +85,14 @@ class Words:
         return starts, sums_of_runs(self.hash, starts, starts + n)
 
 
+#: What other operators keep in a worker process between tasks: functions that let it go.
+KEPT: list[Callable[[], None]] = []
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty."""
+    """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty. A worker that comes from another operator lets go of what that kept."""
+    for forget in KEPT:
+        forget()
     for batch in batches:
         texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
         at, size = 0, 0

@@ -1,10 +1,10 @@
 """Quality classifier by co-training of two views, a text's content and its page's metadata.
 
-Fitting looks at a bounded sample of the labelled documents (``sample`` of those in the table, by the order of a hash of their ids).
+Fitting looks at a bounded sample of the labelled documents (``sample`` of those in the table, by the order of a hash of their ids, and as many of their distinct rows at most).
 Spark makes their features, the driver fits two logistic models. In each round Spark scores every unlabelled document with
 both, and either model labels those that it is surest of, if it is surer than ``confidence``; they join the other model's
-training rows. The surest are found by a distributed top-k; only their features reach the driver (``added`` of the training rows per view and round, none twice). A third of the labelled rows is held back: on it each view is calibrated (a logistic
-map of its margin), the calibrated views are combined, and the threshold is set where the share of good documents kept plus the share of
+training rows. The surest are found by a distributed top-k; only their features reach the driver (``added`` of the training rows per view and round, none twice). A third of the labelled rows, by the order of a hash of the row, is held back: on one half of it each view is calibrated (a logistic
+map of its margin) and the calibrated views are combined, on the other the threshold is set where the share of good documents kept plus the share of
 bad ones rejected is largest. The models are a few hundred thousand numbers at most; all documents are scored in one pass with them.
 
 A document is good if its quality is 1 and it isn't toxic. Content: which words of letters occur, by hash, and shares of symbols, capitals,
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm._shared import new_folder, remove, written
-from assetlens.llm._words import NOT_LETTERS, Words, mixed, text_chunks
+from assetlens.llm._words import NOT_LETTERS, Words, text_chunks
+from assetlens.scratch import Scratch
 
 #: Most labelled documents that are looked at to fit.
 SAMPLE = 12_000
@@ -52,7 +52,7 @@ def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     words = np.maximum(np.diff(w.first), 1)
     out = np.zeros((len(texts), SHARES))
     for k, table in enumerate((_SYMBOL, _UPPER, _MARK, _DIGIT)):
-        out[:, k] = np.log1p(100 * np.add.reduceat(table[raw].astype(np.int64), at[:-1]) / size)
+        out[:, k] = np.log1p(100 * np.add.reduceat(table[raw], at[:-1], dtype=np.int64) / size)
     out[:, 4] = 2 * np.bincount(of, minlength=len(texts)) / words
     out[:, 5] = np.log1p(words) / 4
     return of, col, out
@@ -184,13 +184,18 @@ def co_train(pool: Sample, good: np.ndarray, surest: Surest, rounds: int = 3, ad
             rows, y = known[1 - view]
             known[1 - view] = (np.append(rows, np.array([place[h] for h in named[view]], rows.dtype)), np.append(y, list(named[view].values())))
         views = pool.views()
-    y = good[held].astype(float)
-    margins = [x.take(held).margins(m) for x, m in zip(views, models)]
+    # one half of the held rows calibrates and mixes the views, the other sets the threshold
+    halves = held[::2], held[1::2]
+    if any(len(set(good[part].tolist())) < 2 for part in halves):
+        halves = held, held
+    y = good[halves[0]].astype(float)
+    margins = [x.take(halves[0]).margins(m) for x, m in zip(views, models)]
     maps = np.array([_dense_fit(m[:, None], y) for m in margins])
     both = np.stack([m * a + b for m, (a, b) in zip(margins, maps)], axis=1)
     mix = _dense_fit(both, y)
     model = CoModel(models[0], models[1], maps, mix, 0.5)
-    p = model.scores(*margins)[2]
+    y = good[halves[1]].astype(float)
+    p = model.scores(*[x.take(halves[1]).margins(m) for x, m in zip(views, models)])[2]
     cuts = np.unique(np.quantile(p, np.linspace(0, 1, 201)))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     gain = [(p[y == 1] >= c).mean() + (p[y == 0] < c).mean() for c in cuts]
@@ -226,33 +231,34 @@ def _features(rows: DataFrame, extra: str) -> tuple[Sample, np.ndarray]:
 
 def surest_unlabelled(docs: DataFrame, judged: DataFrame, models: list[np.ndarray], most: int, known: list[np.ndarray], confidence: float) -> tuple[list[dict[int, float]], Sample]:
     """Per view the keys and labels of its `most` surest documents outside judged and known, and the features of all of them."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sure")
     plain = CoModel(models[0], models[1], np.array([[1.0, 0.0], [1.0, 0.0]]), np.zeros(3), 0.0)
     sure = lambda c: F.abs(F.col(c) - 0.5)
     columns = ("text_score", "meta_score")
     s = score(_keyed(docs), plain, ("doc_id", "_h")).where((sure(columns[0]) > confidence - 0.5) | (sure(columns[1]) > confidence - 0.5))
-    folder = new_folder(spark, "sure")
-    s = written(s.join(judged.select("doc_id"), "doc_id", "left_anti").select("_h", *columns).distinct(), "sure", folder)
+    s = scratch.written(s.join(judged.select("doc_id"), "doc_id", "left_anti").select("_h", *columns).distinct(), "scores")
     named: list[dict[int, float]] = []
     for c, before in zip(columns, known):
         seen = set(before.tolist())
         top = s.where(sure(c) > confidence - 0.5).orderBy(sure(c).desc(), "_h").select("_h", c).limit(most + len(seen)).collect()
         named.append(dict([(r[0], float(r[1] > 0.5)) for r in top if r[0] not in seen][:most]))
-    remove(spark, folder)
+    scratch.close()
     chosen = spark.createDataFrame([(h,) for h in sorted({*named[0], *named[1]})], "_h bigint")
-    return named, _features(_keyed(docs).join(F.broadcast(chosen), "_h").withColumn("good", F.lit(-1)), "good")[0]
+    return named, _features(_keyed(docs).join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).withColumn("good", F.lit(-1)), "good")[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, confidence: float = 0.97, **options) -> CoModel | None:
     """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality, toxic. Labels without a document in docs take no place in the sample."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "judged")
     judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    folder = new_folder(spark, "judged")
-    judged = written(judged.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "judged", folder)
+    judged = scratch.written(judged.join(docs.select("doc_id"), "doc_id", "left_semi"), "judged")
     some = judged.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    pool, good = _features(_keyed(docs).join(F.broadcast(some), "doc_id"), "good")
+    # an id may stand for many rows: equal ones count once, and no more than `sample` rows are looked at
+    rows = _keyed(docs).join(F.broadcast(some), "doc_id").dropDuplicates(["_h"])
+    keys = rows.select("_h").orderBy("_h").limit(sample)
+    pool, good = _features(rows.join(F.broadcast(keys), "_h"), "good")
     model = co_train(pool, good, lambda models, most, known: surest_unlabelled(docs, judged, models, most, known, confidence), **options)
-    remove(spark, folder)
+    scratch.close()
     return model
 
 

@@ -3,12 +3,12 @@
 text_stats() computes the statistics of every whole text in one projection, without a shuffle: the repeated 3-word
 windows of a text come from sorting its own hashes. learn_rules() is sequential covering over a
 bounded sample of labelled statistics: a rule is a conjunction of thresholds, grown condition by condition on two
-thirds of the sample and pruned on the rest; the rows it covers leave, and the next rule is learned. Each step asks
+thirds of the sample and pruned on the rest, where it must cover a row; the rows it covers leave, and the next rule is learned. Each step asks
 Spark for the label counts by statistic and bin. as_column() turns the list into one ordered CASE expression.
 
 Edge cases: a null text counts as empty; texts without words have zero statistics and fail the base rule; an empty or
-unlabelled training table gives an empty list, which keeps everything that passes the base rule; rows with equal ids are
-each judged; other columns stay as they are in judge(), and clashing names of statistics are replaced.
+unlabelled training table, or one with one kind of label good only, gives an empty list, which keeps everything that passes the base rule; rows with equal ids are
+each judged, and equal rows count once to learn; other columns stay as they are in judge(), and clashing names of statistics are replaced.
 """
 
 from __future__ import annotations
@@ -110,13 +110,15 @@ def _places_by_sorting(hashes: str) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """docs that are in a bounded sample of labels, with good (1 or 0). The sample is small enough to broadcast."""
+    """docs (doc_id, text) that are in a bounded sample of labels, with good (1 or 0). Equal rows count once, and an id of many rows counts with as many as the bound leaves."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.min(label).alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")
+    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"])
+    keys = rows.select("_row").orderBy("_row").limit(sample)
+    return rows.join(F.broadcast(keys), "_row").drop("_row")
 
 
 def learn_rules(stats: DataFrame, bins: int = 24, max_rules: int = 8, max_conditions: int = 3, min_rows: int = 5, precision: float = 0.95) -> list[Rule]:
@@ -124,7 +126,8 @@ def learn_rules(stats: DataFrame, bins: int = 24, max_rules: int = 8, max_condit
     stats = stats.select("doc_id", "good", *MEASURES).where(F.col("good").isNotNull()).persist()
     rows = None
     try:
-        cuts = stats.agg(*[F.percentile_approx(m, [i / bins for i in range(1, bins)], 2000).alias(m) for m in MEASURES]).first()
+        # exact, so that the rules don't hang on the order of rows; the sample is bounded
+        cuts = stats.agg(*[F.percentile(m, [i / bins for i in range(1, bins)]).alias(m) for m in MEASURES]).first()
         edges = {m: sorted(set(cuts[m] or [])) for m in MEASURES}
         if not any(edges.values()):
             return []
@@ -189,7 +192,7 @@ def _pruned(rows: DataFrame, rule: Rule, precision: float) -> Rule | None:
     """The shortest leading part of the rule that is about as pure on the rows held back; None if even the whole isn't pure."""
     parts = [Rule(rule.conditions[:k], True, 0.0) for k in range(1, len(rule.conditions) + 1)]
     got = rows.agg(*[x for k, p in enumerate(parts) for x in (F.count(F.when(p.column() & (F.col("good") == 0), 1)).alias(f"b{k}"), F.count(F.when(p.column(), 1)).alias(f"n{k}"))]).first()
-    purity = [(got[f"b{k}"] + 1) / (got[f"n{k}"] + 1) if got[f"n{k}"] else rule.precision for k in range(len(parts))]
+    purity = [(got[f"b{k}"] + 1) / (got[f"n{k}"] + 1) if got[f"n{k}"] else 0.0 for k in range(len(parts))]  # a part that covers no row held back has no evidence
     if max(purity) < precision:
         return None
     k = next(k for k, v in enumerate(purity) if v >= max(precision, max(purity) - 0.01))

@@ -22,13 +22,14 @@ joins on shingles may be split by size.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a text with fewer words than a shingle has its
 whole sequence as one; equal sets link; rows with a null id link with nothing and come back as their own component (null); repeated rows
-come back each; ids are taken to name one text; an empty table gives no rows; texts of any length count whole.
+come back each; of rows with one id and unlike texts, the least text counts for links and the others are joined with equal sets only, and each row has its own n_shingles; an empty table gives no rows; texts of any length count whole.
 Sets hold 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlens.llm._components import components
-from assetlens.llm._shared import new_folder, remove, rows_with_ids, written
+from assetlens.llm._shared import BROADCAST_IDS, rows_with_ids
 from assetlens.llm._words import Words, mixed, sums_of_runs, text_chunks
+from assetlens.scratch import Scratch, written
 
-#: Counters of the shingle table, how many of them make a row while they are added up, and shingles that leads must have in common.
-COUNTERS, ROW, SHARED = 1 << 22, 1 << 15, 8
+#: Counters of the shingle table (a bounded broadcast of 16 MB), how many of them make a row while they are added up, and shingles that leads must have in common.
+#: Any order of shingles gives right leads. On a large corpus each counter holds many shingles; the table then sets the frequent ones apart, which is what keeps leads selective.
+COUNTERS, ROW, SHARED = 1 << 22, 1 << 13, 8
 PLACE = np.uint64(64 - COUNTERS.bit_length() + 1)
-#: Pivots of a min-hash pair that more than LARGE documents have.
-PIVOTS, LARGE = 8, 64
-#: Most members of a group and most queries that meet one group in one task, on average.
-MEMBERS, QUERIES = 48, 1500
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes of the work that one task gets; the links found don't depend on them."""
+
+    pivots: int = 8  # of a min-hash pair that more than `large` documents have
+    large: int = 64
+    members: int = 48  # most members of a group, and most queries that meet one group in one task, on average
+    queries: int = 1500
+    ids: int = BROADCAST_IDS  # most ids that are broadcast
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +91,13 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
-        cells = [np.minimum(x, 65535).astype("<u2").tobytes() for x in sums.values()]
+        cells = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(cells, pa.binary())], names=["row", "counts"])
 
     schema = "row int, counts binary"
-    out = np.zeros(COUNTERS, np.uint16)
+    out = np.zeros(COUNTERS, np.uint32)
     for r in docs.select("text").mapInArrow(count, schema).repartition(COUNTERS // ROW, "row").mapInArrow(add, schema).collect():
-        out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], "<u2")
+        out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], "<u4")
     return out
 
 
@@ -133,10 +143,12 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set array<bigint>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int, folder: str | None = None) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, scratch: Scratch, name: str, limits: Limits) -> DataFrame:
     """The whole sets of the documents in ids (doc_id), written."""
-    ids = written(ids.distinct(), "ids")
-    return written(whole_sets(rows_with_ids(docs, ids, "doc_id"), n), "sets", folder)
+    ids = scratch.written(ids.distinct(), f"{name}-ids")
+    out = scratch.written(whole_sets(rows_with_ids(docs, ids, "doc_id", limits.ids), n), name)
+    scratch.drop(f"{name}-ids")
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,17 +160,19 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, folder: str | None = None) -> DataFrame:
+def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, limits: Limits) -> DataFrame:
     """Links (a, b) between a document and the pivots of its min-hash pairs: the smallest ids that have the pair."""
     key = F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("t"), F.col("m2").alias("m"))))
     keyed = sigs.select("doc_id", "n", key.alias("key"))
-    # the smallest id of each of PIVOTS parts of a key's documents; a small key has one pivot, a large one all of them
-    parts = keyed.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"), F.count(F.lit(1)).alias("c"))
+    # the smallest id of each of a few parts of a key's documents; a small key has one pivot, a large one all of them
+    parts = keyed.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(limits.pivots)).alias("part")).agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("p"), F.count(F.lit(1)).alias("c"))
     pivots = parts.groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.sum("c").alias("c")).where("c > 1")
-    pivots = pivots.select("key", F.explode(F.when(F.col("c") > LARGE, F.col("ps")).otherwise(F.slice("ps", 1, 1))).alias("p"))
+    pivots = pivots.select("key", F.explode(F.when(F.col("c") > limits.large, F.col("ps")).otherwise(F.slice("ps", 1, 1))).alias("p"))
+    pivots = scratch.written(pivots, "pivots")  # a table: so the join may split a key that very many documents have
     pairs = keyed.join(pivots, "key").where(f"doc_id <> p.doc_id and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    pairs = written(pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pivots")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words, folder)
+    pairs = scratch.written(pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    scratch.drop("pivots")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words, scratch, "pivot-sets", limits)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +184,12 @@ def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, fold
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    out = scratch.written(pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    scratch.drop("pairs", "pivot-sets")
+    return out
 
 
-def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
+def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words: int, percent: int, scratch: Scratch, limits: Limits) -> DataFrame:
     """Links (a, b) between components of first (node, component) by the token-group matrix. leads: t, doc_id, n."""
     docs = leads.groupBy("doc_id").agg(F.first("n").alias("n"), F.min_by("t", "at").alias("rarest"), F.max_by("t", "at").alias("commonest"))
     docs = docs.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
@@ -184,13 +200,14 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
     near = docs.groupBy("family", "rarest").agg(F.count(F.lit(1)).alias("near"))
     families = near.groupBy("family").agg(F.sum("near").alias("c"))
     # documents with the same rarest shingle share a block of their family, unless they alone fill one
-    dealt = F.xxhash64(F.when(F.col("near") > MEMBERS, F.col("doc_id")).otherwise(F.col("rarest")))
-    docs = docs.join(near, ["family", "rarest"]).join(families, "family").withColumn("block", F.xxhash64("family", F.pmod(dealt, F.ceil(F.col("c") / MEMBERS))))
-    docs = written(docs.select("doc_id", "n", "comp", "comp_size", F.col("family.linked").alias("linked"), "block"), "grouped")
+    dealt = F.xxhash64(F.when(F.col("near") > limits.members, F.col("doc_id")).otherwise(F.col("rarest")))
+    docs = docs.join(near, ["family", "rarest"]).join(families, "family").withColumn("block", F.xxhash64("family", F.pmod(dealt, F.ceil(F.col("c") / limits.members))))
+    docs = scratch.written(docs.select("doc_id", "n", "comp", "comp_size", F.col("family.linked").alias("linked"), "block"), "grouped")
     rows = leads.select("t", "doc_id").join(docs, "doc_id")
     # shingles of one component only can't lead to a new link
     open_tokens = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    rows = written(rows.join(open_tokens, "t"), "matrix")
+    rows = scratch.written(rows.join(scratch.written(open_tokens, "open"), "t"), "matrix")
+    scratch.drop("open")
     matrix = rows.groupBy("t", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"), F.max("comp_size").alias("c_size"))
     q = rows.select("t", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.col("comp_size").alias("qs"))
     met = q.join(matrix, "t").where(
@@ -199,10 +216,11 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
     )
     least = F.least(F.lit(SHARED), F.ceil(F.col("qn") * percent / 100), F.ceil(F.col("bn") * percent / 100))
     pairs = met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc"), F.min("n_min").alias("bn"), F.count(F.lit(1)).alias("common"))
-    pairs = written(pairs.where(F.col("common") >= least).select("block", "q", "qn", "qc"), "met")
+    pairs = scratch.written(pairs.where(F.col("common") >= least).select("block", "q", "qn", "qc"), "met")
+    scratch.drop("matrix")
     open_blocks = docs.join(pairs.select("block").distinct(), "block")
-    sets = sets_of(docs_text, open_blocks.select("doc_id").unionByName(pairs.select(F.col("q").alias("doc_id"))), words)
-    load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
+    sets = sets_of(docs_text, open_blocks.select("doc_id").unionByName(pairs.select(F.col("q").alias("doc_id"))), words, scratch, "group-sets", limits)
+    load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / limits.queries).alias("parts"))
     queries = pairs.join(load, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
     queries = queries.join(sets.select(F.col("doc_id").alias("q"), "set"), "q").select("block", "part", F.lit(1).alias("asks"), F.col("q").alias("id"), F.col("qc").alias("comp"), "set")
     members = docs.join(load, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -235,38 +253,46 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
                             out.append((i, ids[k]))
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    out = scratch.written(dealt.mapInArrow(run, "a bigint, b bigint"), "group-links")
+    scratch.drop("grouped", "met", "group-sets")
+    return out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked id) for each row of docs (doc_id: long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, scratch = docs.sparkSession, [new_folder(docs.sparkSession, "signatures"), new_folder(docs.sparkSession, "sets")]
-    whole = written(signatures(docs, words, percent, shingle_counts(docs, words)), "signatures", scratch[0])
-    sigs = written(whole.select("doc_id", "n", "k1", "k2"), "keys")
-    if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    counts = shingle_counts(docs, words)
+    whole = scratch.written(signatures(docs, words, percent, counts), "signatures")
+    sigs = scratch.written(whole.select("doc_id", "n", "k1", "k2"), "keys")
     sound = whole.where("n > 0 and doc_id is not null")
+    if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+        sound = signatures(docs, words, percent, counts).where("n > 0 and doc_id is not null")
     classes = sound.groupBy("n", "k1", "k2").agg(F.min_by(F.struct("doc_id", "m1", "m2", "lead"), "doc_id").alias("r"))
-    reps = written(classes.select("n", "k1", "k2", "r.doc_id", "r.m1", "r.m2", "r.lead"), "classes")
-    remove(spark, scratch[0])
+    reps = scratch.written(classes.select("n", "k1", "k2", "r.doc_id", "r.m1", "r.m2", "r.lead"), "classes")
+    scratch.drop("signatures")
     lead = reps.select("doc_id", "n", F.posexplode("lead").alias("at", "t"))
-    common = lead.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    leads = written(lead.join(common, "t"), "leads")
+    common = scratch.written(lead.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "common")
+    leads = scratch.written(lead.join(common, "t"), "leads")
+    keys = scratch.written(reps.select("n", "k1", "k2", "doc_id", "m1", "m2"), "reps")
+    scratch.drop("common", "classes")
     near = leads.select("doc_id").distinct()
-    links = written(pivot_links(reps.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch[1]), "links")
-    remove(spark, scratch[1])
-    first = written(components(links), "components")
-    more = group_links(leads, docs, first, words, percent)
-    last = components(links.unionByName(more))
-    members = reps.join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    links = pivot_links(keys.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch, limits)
+    first = components(links, scratch, "first")
+    more = group_links(leads, docs, first, words, percent, scratch, limits)
+    scratch.drop("leads")
+    last = components(links.unionByName(more), scratch, "last")
+    members = keys.join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = members.select("n", "k1", "k2", F.coalesce("component", "doc_id").alias("component"))
     out = sigs.join(members.withColumnsRenamed({"n": "rn", "k1": "r1", "k2": "r2"}), (F.col("n") == F.col("rn")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "ngram-components")
+    scratch.close()
+    return out
 
 
-def keep_one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def keep_one_per_component(docs: DataFrame, words: int = 5, percent: int = 80, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs whose id is their component's smallest; rows with a null id stay."""
-    found = written(jaccard_components(docs, words, percent), "component")
+    found = jaccard_components(docs, words, percent, limits)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from assetlens.llm._words import KEPT
+
 #: Words and stems kept per worker in each of two generations, and the longest that is kept.
 CACHE, LONG = 400_000, 64
 #: A word of letters, and one of letters and then other signs that the tokenizer treats as a second part.
@@ -257,6 +259,9 @@ def pack_partition(batches: Iterator[pa.RecordBatch], tokenizer_file: str, closi
 _encoders: dict[str, WordEncoder] = {}
 
 
+KEPT.append(lambda: _encoders.clear())
+
+
 def _encoder(tokenizer_file: str) -> WordEncoder:
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = WordEncoder(tokenizer_file)

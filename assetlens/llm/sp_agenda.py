@@ -5,8 +5,9 @@ concatenation is a piece; the best-scored pair, the leftmost among equals, is me
 are no piece become byte pieces. No piece has U+2581 after another character, so a text's segments (a run of U+2581
 and what follows up to the next) are encoded independently, and equal segments once per worker while they stay in a
 bounded cache. Short segments run in lockstep: each round takes the top of every segment's agenda at once; long ones
-use a heap. The sentencepiece library encodes each new segment of an Arrow batch too; where the two differ the
-library's ids count and the difference is reported by ``on_difference``.
+use a heap. The sentencepiece library encodes each new segment of an Arrow batch too. Where the two differ the
+library's ids count, and encode_digests() returns the number of such segments in n_differences, at the first row of the slice of rows in which
+they were new: its sum over all rows is 0 unless the agenda is wrong.
 
 Edge cases: a null text is empty and has only the begin and end ids; empty tables give no rows; repeated rows are
 encoded each; texts of any length are encoded whole; the output has only the columns named, so others can't clash.
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from assetlens.llm._words import KEPT
+
 MARK = "▁"
 #: Segments kept per worker in each of two generations, and the longest that is kept or runs in lockstep.
 CACHE, LONG = 400_000, 48
@@ -223,6 +226,9 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
+KEPT.append(lambda: _encoders.clear())
+
+
 def encoder(model_file: str) -> PieceEncoder:
     """One per worker process."""
     if model_file not in _encoders:
@@ -251,13 +257,15 @@ def encode_ids(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
 
 
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256; the ids stay in the worker, which decodes them with the library."""
+    """id_col, n_tokens, ids_sha256, decoded_sha256 and n_differences; the ids stay in the worker, which decodes them with the library."""
 
     def run(batches):
         e = encoder(model_file)
         bos, eos = (np.array([x], "<u4").tobytes() for x in (e.library.bos_id(), e.library.eos_id()))
         for keys, texts in _slices(batches):
+            before = e.differences
             ids = [bos + x + eos for x in e.encode(texts)]
+            differ = [e.differences - before] + [0] * (len(ids) - 1)
             decoded = [e.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -265,11 +273,12 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+                    pa.array(differ, pa.int64()),
                 ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_differences"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_differences bigint")
 
 
 def decode_ids(encoded: DataFrame, model_file: str, id_col: str = "doc_id") -> DataFrame:

@@ -232,8 +232,8 @@ def _with_repeats(docs: DataFrame, window: int, **options) -> DataFrame:
     """docs with the column repeats: where repeated windows start in the row's text."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     found = repeated_windows(_keyed(docs), window, **options)
-    found = found.groupBy("row").agg(F.collect_set(F.struct("start", "repeats")).alias("_repeats"))
-    return keyed.join(found, F.col("_row") == F.col("row"), "left").drop("row", "_row")
+    found = found.groupBy(F.col("row").alias("_of")).agg(F.collect_set(F.struct("start", "repeats")).alias("_repeats"))
+    return keyed.join(found, F.col("_row") == F.col("_of"), "left").drop("_of", "_row")
 
 
 def repeat_digests(docs: DataFrame, window: int = 35, **options) -> DataFrame:
