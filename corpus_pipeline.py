@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.llm import cotrain, decision_list, ngram_join, packing, substring_dedup
-from assetlens.llm._shared import table, written
+from assetlens.llm._shared import table
+from assetlens.scratch import new_folder, remove, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The stages learn from labels and hash words; SQL can't express them, so tests hold each against a plain version.
@@ -57,8 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of a folder; each stage is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the documents of a folder; each stage is written and read again, and its input removed then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        folder = new_folder(spark, name)
+        docs = written(stage(spark, docs, sf_dir), name, folder)
+        if before is not None:
+            remove(spark, before)
+        before = folder
     return docs
