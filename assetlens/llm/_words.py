@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that make a slice of a batch (a longer text is taken alone), and that are hashed at once.
-CHUNK, BLOCK = 1 << 19, 1 << 17
+#: Bytes of text that make a slice of a batch (a longer text is taken alone), most rows of one, and bytes that are hashed at once.
+CHUNK, ROWS, BLOCK = 1 << 19, 512, 1 << 17
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
@@ -93,11 +93,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tu
     """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty. A worker that comes from another operator lets go of what that kept."""
     for forget in KEPT:
         forget()
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-        at, size = 0, 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK or k == len(texts) - 1:
-                yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-                at, size = k + 1, 0
+    for whole in batches:
+        for row in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(row, ROWS)
+            texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            at, size = 0, 0
+            for k, t in enumerate(texts):
+                size += len(t)
+                if size >= CHUNK or k == len(texts) - 1:
+                    yield batch.slice(at, k + 1 - at), texts[at : k + 1]
+                    at, size = k + 1, 0

@@ -4,9 +4,9 @@
    counters) order the shingles from rare to frequent, ties by hash. A document's lead is its first
    n - ceil(percent n / 100) + 8 shingles in that order; two linked documents share 8 shingles of their leads, or as
    many as the smaller one needs for a link if those are fewer.
-2. Documents with equal sets are one class. Classes that share no lead shingle with another one link with nothing.
-   Whole sets
-   are made again from the texts for the documents that a later step compares, and only for those.
+2. Documents with equal sets are one class. Classes that share no lead shingle with another one link with nothing: lead
+   shingles are shuffled once, but for those whose counter is so high that one may be in very many leads; these are counted first and joined.
+   Whole sets are made again from the texts for the documents that a later step compares, and only for those.
 3. Each class is checked against one pivot for each of two pairs of min-hashes (a few where very many classes have the
    pair); what links makes the first components.
 4. Classes are put into groups of similar ones, of bounded number and about equal set size: those of a component,
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.llm._components import components
@@ -45,6 +46,8 @@ from assetlens.scratch import Scratch, written
 #: Any order of shingles gives right leads. On a large corpus each counter holds many shingles; the table then sets the frequent ones apart, which is what keeps leads selective.
 COUNTERS, ROW, SHARED = 1 << 22, 1 << 13, 8
 PLACE = np.uint64(64 - COUNTERS.bit_length() + 1)
+#: A shingle whose counter is higher may be in so many leads that its rows should be split; a counter is never too low.
+HEAVY = 100_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,7 @@ class Limits:
     members: int = 48  # most members of a group, and most queries that meet one group in one task, on average
     queries: int = 1500
     ids: int = BROADCAST_IDS  # most ids that are broadcast
+    heavy: int = HEAVY  # a shingle's counter beyond which its rows may be split
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +105,8 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, k1 and k2 (a hash of the set), m1 and m2 (hashes of pairs of min-hashes) and lead, in order."""
+def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray, most: int = HEAVY) -> DataFrame:
+    """doc_id, n, k1 and k2 (a hash of the set), m1 and m2 (hashes of pairs of min-hashes), lead in order, and heavy (from which place on its shingles are heavy)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     salts = np.random.default_rng(5).integers(1, 1 << 63, 4).astype(np.uint64)
 
@@ -119,14 +123,16 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
                 low = [np.minimum.reduceat(mixed(h ^ s), first[some]) for s in salts]
                 keys[2, some] = mixed(low[0] + mixed(low[1])).astype(np.int64)
                 keys[3, some] = mixed(low[2] + mixed(low[3])).astype(np.int64)
-            order = np.lexsort((h, shared.value[(h >> PLACE).astype(np.int64)], of))
+            often = shared.value[(h >> PLACE).astype(np.int64)]
+            order = np.lexsort((h, often, of))
+            heavy = np.bincount(of, often <= most, len(texts)).astype(np.int32)
             lead = np.minimum(size, size - (-(-percent * size // 100)) + SHARED)
             place = np.arange(len(h)) - np.repeat(first, size)
             taken = h[order][place < np.repeat(lead, size)].astype(np.int64)
-            cols = [pa.array(size, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lead)), pa.int32()), pa.array(taken))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "k1", "k2", "m1", "m2", "lead"])
+            cols = [pa.array(size, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lead)), pa.int32()), pa.array(taken)), pa.array(heavy)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "k1", "k2", "m1", "m2", "lead", "heavy"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, m1 bigint, m2 bigint, lead array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, m1 bigint, m2 bigint, lead array<bigint>, heavy int")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -263,20 +269,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, limit
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "ngram-join")
     counts = shingle_counts(docs, words)
-    whole = scratch.written(signatures(docs, words, percent, counts), "signatures")
+    whole = scratch.written(signatures(docs, words, percent, counts, limits.heavy), "signatures")
     sigs = scratch.written(whole.select("doc_id", "n", "k1", "k2"), "keys")
     sound = whole.where("n > 0 and doc_id is not null")
     if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        sound = signatures(docs, words, percent, counts).where("n > 0 and doc_id is not null")
-    classes = sound.groupBy("n", "k1", "k2").agg(F.min_by(F.struct("doc_id", "m1", "m2", "lead"), "doc_id").alias("r"))
-    reps = scratch.written(classes.select("n", "k1", "k2", "r.doc_id", "r.m1", "r.m2", "r.lead"), "classes")
-    scratch.drop("signatures")
-    lead = reps.select("doc_id", "n", F.posexplode("lead").alias("at", "t"))
-    common = scratch.written(lead.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "common")
-    leads = scratch.written(lead.join(common, "t"), "leads")
+        sound = scratch.written(signatures(docs, words, percent, counts, limits.heavy).where("n > 0 and doc_id is not null"), "distinct")
+    # of each class its smallest id; the leads stay where they are
+    first_ids = scratch.written(sound.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-ids")
+    reps = scratch.written(rows_with_ids(sound, first_ids, "doc_id", limits.ids), "classes")
+    scratch.drop("signatures", "distinct", "first-ids")
     keys = scratch.written(reps.select("n", "k1", "k2", "doc_id", "m1", "m2"), "reps")
-    scratch.drop("common", "classes")
+    lead = reps.select("doc_id", "n", "heavy", F.posexplode("lead").alias("at", "t")).withColumn("heavy", F.col("at") >= F.col("heavy"))
+    # rows of a shingle that few leads can hold meet in one task, and one shuffle tells which are shared; the others are counted and joined
+    light = lead.where("not heavy").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("t"))).where("c > 1")
+    heavy = lead.where("heavy")
+    common = scratch.written(heavy.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "common")
+    columns = ["t", "doc_id", "n", "at"]
+    leads = scratch.written(light.select(*columns).unionByName(heavy.join(common, "t").select(*columns)), "leads")
+    scratch.drop("classes", "common")
     near = leads.select("doc_id").distinct()
     links = pivot_links(keys.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch, limits)
     first = components(links, scratch, "first")
