@@ -15,7 +15,7 @@ OTHER_SCORE = {"domain": 0.60, "frequency": 0.40, "spatial": 0.50}
 #: Codes of the resource types, words of a spatial level, and districts by list order.
 TYPE_CODES = {"数据产品": "cp", "数据接口": "jk"}
 DETAIL_URL = "https://data.sh.gov.cn/view/detail/index.html?type=%s&&id=%s&&companyFlag=0"
-DISTRICTS = ("黄浦区", "徐汇区", "长宁区", "静安区", "普陀区", "虹口区", "杨浦区", "闵行区", "宝山区", "嘉定区", "浦东新区", "金山区", "松江区", "青浦区", "奉贤区", "崇明区")
+DISTRICTS = ("浦东新区", "黄浦区", "徐汇区", "长宁区", "静安区", "普陀区", "虹口区", "杨浦区", "闵行区", "宝山区", "嘉定区", "金山区", "松江区", "青浦区", "奉贤区", "崇明区")
 LEVEL_RULES = [("街镇级", ("街道", "镇人民政府", "乡人民政府")), ("区级", DISTRICTS), ("市级", ("上海市",)), ("跨区域/国家级", ("长三角", "国家", "中国"))]
 LEVEL_BLANK, LEVEL_OTHER, CITY = "未知", "其他/不确定", "上海市"
 #: Weights of the three counters' percentiles in the first version of actual use.

@@ -104,12 +104,11 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def table_metadata(tables: Column, labels: tuple[str, ...] = (), last_wins: bool = False, most: int = 30) -> Column:
-    """Map of label to value from neighbouring cells; of a label's values the first counts, or the last for given labels."""
-    rows = F.flatten(tables)
-    pairs = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: F.struct(F.get(r, i - 1).alias("k"), F.get(r, i).alias("v")))))
-    pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != "") & (F.char_length(p["k"]) <= most))
-    if labels:
-        pairs = F.filter(pairs, lambda p: p["k"].isin(*labels))
+    """Map of label to value from cells that follow each other, in a row or over its end. Of a label's values that aren't empty the first counts; or, for given labels, the last."""
+    cells = F.flatten(F.flatten(tables))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cells) - 1, F.lit(1))), lambda i: F.struct((F.get(cells, i - 1) if labels else F.regexp_replace(F.get(cells, i - 1), "[:：]+$", "")).alias("k"), F.get(cells, i).alias("v")))
+    pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != ""))
+    pairs = F.filter(pairs, lambda p: p["k"].isin(*labels)) if labels else F.filter(pairs, lambda p: (F.char_length(p["k"]) <= most) & (p["v"] != ""))
     ordered = F.reverse(pairs) if last_wins else pairs
     keys = F.array_distinct(F.transform(ordered, lambda p: p["k"]))
     values = F.transform(keys, lambda k: F.element_at(F.filter(ordered, lambda p: p["k"] == k), 1)["v"])
@@ -148,7 +147,7 @@ def detail_links(parsed: DataFrame, keyword: str, host: str | None = None) -> Da
     return href.distinct()
 
 
-def field_info(tables: Column, name_words=("name", "field", "字段名称", "参数名"), text_words=("description", "说明", "字段描述"), banned=(), hints=()) -> Column:
+def field_info(tables: Column, name_words=("name", "field", "字段名称", "参数名"), text_words=("description", "说明", "字段描述"), banned=T.FIELD_BANNED, hints=T.FIELD_HINTS) -> Column:
     """names, described and headers from the first table with a name column; a table that is only a header lends it to the next one."""
     sized = F.filter(tables, lambda t: F.size(t) > 0)
     joined = F.transform(sized, lambda t, i: F.when((i > 0) & (F.size(F.get(sized, i - 1)) == 1), F.concat(F.get(sized, i - 1), t)).otherwise(t))
@@ -199,7 +198,7 @@ def gone_records(pages: DataFrame, key: str, url: str, text: str, at: Column, ma
 
 #: The labels of a detail page's table, in its order, by what they are called here.
 AUDIT_LABELS = {
-    "tags": "数据标签", "keywords": "关键词", "update_frequency": "更新频率", "theme_category": "国家主题分类", "data_quantity": "数据量（条）", "data_size": "数据大小", "first_publish_date": "首次发布日期",
+    "tags": "数据标签", "keywords": "关键词", "update_frequency": "更新频率", "theme_category": "国家主题分类", "data_quantity": "数据量（条）", "data_quantity_plain": "数据量(条)", "data_size": "数据大小", "first_publish_date": "首次发布日期",
     "update_date": "更新日期", "spatial_scope": "空间范围", "time_scope": "时间范围", "contact": "联系方式", "latest_dataset": "最新数据集", "open_condition": "开放条件", "open_condition_supplement": "开放条件补充", "data_agreement": "数据协议",
 }
 
@@ -208,7 +207,9 @@ def audit_record(parsed: DataFrame, key: str) -> DataFrame:
     """One audit record per parsed page: title, department, summary, table values (the last of a label counts), formats, fields, counters, services and scores."""
     body = F.col("body")
     d = parsed.withColumns({"_meta": table_metadata(F.col("tables"), tuple(AUDIT_LABELS.values()), last_wins=True), "_fields": field_info(F.col("tables")), "_formats": T.format_words(body), "_usage": T.usage_counts(body)})
-    made = {**T.title_and_department(body), "summary": T.summary_text(body), **{n: F.coalesce(F.try_element_at("_meta", F.lit(k)), F.lit("")) for n, k in AUDIT_LABELS.items()}}
+    values = {n: F.coalesce(F.try_element_at("_meta", F.lit(k)), F.lit("")) for n, k in AUDIT_LABELS.items()}
+    values["data_quantity"] = F.coalesce(F.nullif(values["data_quantity"], F.lit("")), values.pop("data_quantity_plain"))
+    made = {**T.title_and_department(body), "summary": T.summary_text(body), **values}
     made |= {"download_formats": F.array_join("_formats", ";"), "download_format_count": F.size("_formats"), "field_names": F.array_join("_fields.names", ";"), "field_count": F.size("_fields.names"), **T.field_flags("_fields.names", body)}
     made |= {c: F.col(f"_usage.{c}") for c in ("view_count", "download_count", "api_call_count")} | T.api_info(body) | {"recommended_dataset_count": T.recommendations(body)["recommended_dataset_count"]}
     d = d.select(key, *[v.alias(n) for n, v in made.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetlens.functions import catalog as C
 from assetlens.functions import text as T
 from assetlens.operators import contract, merge, profile, quality
-from assetlens.plans.entries_text import _CELLS, _CLEAN, _CODE, _ID, _LEVEL, _URL, emptyish, number, places, placeholder, plain, scored, spaced, terms
+from assetlens.plans.entries_text import _CELLS, _CLEAN, _CODE, _ID, _LEVEL, _URL, _WEAK, emptyish, number, places, placeholder, plain, scored, spaced, terms
 from assetlens.plans.registry import query, rounded
 from assetlens.plans.views import RAW_SQL, raw_assets, table
 
@@ -113,7 +113,7 @@ def d13_warnings(spark, sf):
     return raw_assets(spark, sf).select("row_no", F.array_join(names, ";").alias("w"))
 
 
-_SUSPICIOUS = f"""sus AS (SELECT row_no, coalesce(bool_or(regexp_matches(v,'^\\d{{4}}[./-]\\d{{1,2}}([./-]\\d{{1,2}})?$')) OR (count(v)>=4 AND sum((regexp_matches(v,'[一-鿿]') AND NOT regexp_matches(v,'[A-Za-z_]'))::INT)>=greatest(3,ceil(count(v)/2))),false) AS s FROM raw LEFT JOIN cell USING (row_no) GROUP BY 1)"""
+_SUSPICIOUS = f"""sus AS (SELECT row_no, coalesce(bool_or(regexp_matches(v,'^\\d{{4}}[./-]\\d{{1,2}}([./-]\\d{{1,2}})?$')) OR (count(v)>=4 AND sum({_WEAK}::INT)>=greatest(3,ceil(count(v)/2))),false) AS s FROM raw LEFT JOIN cell USING (row_no) GROUP BY 1)"""
 _FEW = f"coalesce({_PLAIN_NUMBER}<3,true)"
 
 

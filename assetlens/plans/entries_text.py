@@ -240,7 +240,7 @@ def page_texts(spark, sf):
 
 _LABELS = ("RDF", "XML", "CSV", "JSON", "XLSX")
 _FORMATS = "list_filter([" + ",".join(f"CASE WHEN regexp_matches(upper({_T}),'(^|[^A-Z]){k}($|[^A-Z])') THEN '{k}' END" for k in _LABELS) + "], lambda f: f IS NOT NULL)"
-_FORMAT_WORDS = "list_filter([" + ",".join(f"CASE WHEN regexp_matches(lower({_T}),'\\b{k}\\b') THEN '{k}' END" for k in ("csv", "json", "pdf", "rdf", "xls", "xlsx", "xml")) + "], lambda f: f IS NOT NULL)"
+_FORMAT_WORDS = "list_filter([" + ",".join(f"CASE WHEN regexp_matches(lower({_T}),'\\b{k}\\b') THEN '{k}' END" for k in sorted(T.FORMAT_WORDS)) + "], lambda f: f IS NOT NULL)"
 
 
 @query("c1_formats", f"{_PAGES} SELECT row_no, array_to_string({_FORMATS},';') AS labels, array_to_string({_FORMAT_WORDS},';') AS words FROM page")
@@ -260,12 +260,13 @@ def c3_format_record(spark, sf):
 
 @query("c6_value_after_label", f"{_PAGES} SELECT row_no, trim(regexp_replace(regexp_extract({_T},'数据大小[ \\t]*[:：]?[ \\t]*([^\\n\\r]{{1,80}})',1),'更新频率.*$','')) AS size, CASE WHEN contains({_T},'数据来源部门') THEN trim(regexp_extract({_T},'数据来源部门[:：]([^\\n]*)',1)) ELSE trim(regexp_extract({_T},'摘要[:：]([^\\n]*)',1)) END AS source FROM page")
 def c6_value_after_label(spark, sf):
-    return page_texts(spark, sf).select("row_no", F.coalesce(T.value_after_label("text", ("数据大小",), ("更新频率",)), F.lit("")).alias("size"), T.value_after_label("text", ("数据来源部门", "摘要")).alias("source"))
+    return page_texts(spark, sf).select("row_no", F.coalesce(T.value_after_label("text", ("数据大小",)), F.lit("")).alias("size"), T.value_after_label("text", ("数据来源部门", "摘要")).alias("source"))
 
 
 _CELLS = f"cell AS (SELECT row_no, unnest({terms('field_names', '[;；,，\\n\\r]')}) AS v FROM raw)"
-_WEAK = "(regexp_matches(v,'[一-鿿]') AND NOT regexp_matches(v,'[A-Za-z_]'))"
-_FIELD = f"""(regexp_matches(v,'^[A-Za-z_][A-Za-z0-9_]*$|^[一-鿿A-Za-z0-9_（）()、/.-]+$') AND NOT (lower(v) IN ('','nan','none','null') OR starts_with(lower(v),'unnamed') OR regexp_matches(v,'标签|標籤|关键|關鍵|下载|下載')
+_WEAK = f"(regexp_matches(v,'[一-鿿]') AND NOT regexp_matches(v,'[A-Za-z_]') AND NOT regexp_matches(v,'{_words(T.FIELD_HINTS)}'))"
+_BANNED = "v IN (" + ",".join(f"'{w}'" for w in T.FIELD_BANNED) + ")"
+_FIELD = f"""(regexp_matches(v,'^[A-Za-z_][A-Za-z0-9_]*$|^[一-鿿A-Za-z0-9_（）()、/.-]+$') AND NOT ({_BANNED} OR lower(v) IN ('','nan','none','null') OR starts_with(lower(v),'unnamed') OR regexp_matches(v,'标签|標籤|关键|關鍵|下载|下載')
  OR regexp_matches(v,'^\\d+$') OR regexp_matches(v,'^\\d{{4}}[./-]\\d{{1,2}}([./-]\\d{{1,2}})?$') OR regexp_matches(v,'^[\\d./:： -]+$') OR regexp_matches(v,'\\d+(米|号|號|年|月|日|:|：)')
  OR (contains(v,'路') AND regexp_matches(v,'约|進|进|出|侧|側|段|隧道')) OR length(v)>30 OR ({_WEAK} AND length(v)>12)))"""
 
@@ -276,7 +277,7 @@ def c8_field_names(spark, sf):
     return d.select("row_no", "v", T.looks_like_field_name("v").alias("ok"), T.is_weak_label("v").alias("weak"))
 
 
-@query("c9_weak_label_counts", f"WITH {RAW_SQL}, {_CELLS} SELECT {_WEAK} AND NOT regexp_matches(v,'名称|地址') AS weak, count(*) AS rows FROM cell GROUP BY 1")
+@query("c9_weak_label_counts", f"WITH {RAW_SQL}, {_CELLS} SELECT regexp_matches(v,'[一-鿿]') AND NOT regexp_matches(v,'[A-Za-z_]') AND NOT regexp_matches(v,'名称|地址') AS weak, count(*) AS rows FROM cell GROUP BY 1")
 def c9_weak_label_counts(spark, sf):
     d = raw_assets(spark, sf).select(F.explode(T.split_terms("field_names", T.FIELD_DELIMITERS)).alias("v"))
     return d.groupBy(T.is_weak_label("v", ("名称", "地址")).alias("weak")).agg(F.count(F.lit(1)).alias("rows"))

@@ -315,7 +315,7 @@ def n1_melt(spark, sf):
 # ---- sensitivity
 
 
-#: The reference's two sets of 27; 0.50 is in both, so some scenarios count twice in K3.
+#: Two sets of 27; 0.50 is in both, so some scenarios count twice in K3.
 _GRID = sensitivity.scenarios({"three_points": ([0.2, 0.5, 0.8],) * 3, "quartiles": ([0.25, 0.5, 0.75],) * 3})
 _GRID_SQL = "VALUES " + ", ".join(f"('{s}',{p},{a},{g})" for s, p, a, g in _GRID)
 

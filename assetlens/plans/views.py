@@ -38,7 +38,7 @@ RAW = """SELECT p_partkey AS row_no, p_partkey, p_size, p_name, p_brand, p_type,
  CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN ' NaN ' WHEN 4 THEN 'null' WHEN 5 THEN '--' WHEN 6 THEN '暂无' WHEN 7 THEN '  ' || p_name || '   x ' WHEN 8 THEN '　' || p_brand || '　 y' WHEN 9 THEN '不详' WHEN 10 THEN '<NA>' WHEN 11 THEN 'None' ELSE '无' END AS note,
  CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '1,' || CAST(100 + p_size AS STRING) || ' 条' WHEN 2 THEN '-' || CAST(p_size AS STRING) || '.5' WHEN 3 THEN '--' WHEN 4 THEN 'abc' WHEN 5 THEN ',' WHEN 6 THEN 'nan' WHEN 7 THEN ' ' || CAST(p_size AS STRING) || ' ' WHEN 8 THEN '12' || CAST(p_size AS STRING) || '/' || CAST(p_partkey AS STRING) ELSE CAST(p_size AS STRING) || '.25' END AS number,
  CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS STRING) || ' KB' WHEN 2 THEN CAST(p_size AS STRING) || '.5mb' WHEN 3 THEN '1,' || CAST(100 + p_size AS STRING) || ' 字节' WHEN 4 THEN CAST(p_size AS STRING) || ' g' WHEN 5 THEN CAST(p_size AS STRING) WHEN 6 THEN '--' WHEN 7 THEN CAST(p_size AS STRING) || 'T' ELSE 'size ' || CAST(p_size AS STRING) || 'B' END AS data_size,
- CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '更新日期；' || p_name || ';地址' WHEN 2 THEN p_name || '|' || p_brand || ', ,code' WHEN 3 THEN '2024-05-01;名称' WHEN 4 THEN '名称甲;名称乙;名称丙;name' WHEN 5 THEN 'DATE_OF;lng;lat;名称' WHEN 6 THEN '关键词;12;unnamed_3;a_b;约10米路' ELSE '' END AS field_names,
+ CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '更新日期；' || p_name || ';地址' WHEN 2 THEN p_name || '|' || p_brand || ', ,code' WHEN 3 THEN '2024-05-01;名称' WHEN 4 THEN '甲乙;丙丁;戊己庚;name_1' WHEN 5 THEN 'DATE_OF;lng;lat;名称' WHEN 6 THEN '关键词;12;unnamed_3;a_b;约10米路' ELSE '' END AS field_names,
  CASE p_partkey % 7 WHEN 0 THEN '上海市浦东新区' || p_name || '街道' WHEN 1 THEN '黄浦区、浦东新区' || p_name WHEN 2 THEN '上海市' || p_name WHEN 3 THEN '国家' || p_name WHEN 4 THEN ' ' WHEN 5 THEN p_name ELSE '市' || p_brand END AS department,
  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '主要包含' || p_name || '的地址、时间和金额' WHEN 2 THEN '包括医疗、教育、交通' WHEN 3 THEN '字段说明：' || p_brand WHEN 4 THEN '下载格式 DATA SAMPLE' ELSE '城市道路 ' || p_name END AS description,
  CASE p_partkey % 4 WHEN 0 THEN '数据产品' WHEN 1 THEN ' 数据接口 ' WHEN 2 THEN '其他' ELSE '数据接口' END AS resource_type,
