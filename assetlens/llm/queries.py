@@ -76,6 +76,19 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.spelling_variants import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.hard_negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    return mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -87,12 +100,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_lsh": op9_embedding_lsh,
     "op10_chat_windows": op10_chat_windows,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 #: Words of a text in DuckDB, as they are or with A-Z lowered.
 _WORD_LIST = "regexp_extract_all(coalesce({x},''),'[^\\x20\\x09-\\x0D]+')"
 _LOWERED = "translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
 _REACHED = """reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b=l.a)"""
-#: SQL where it can say what a query returns: op1, op3, op7 and op9. The others learn, hash into windows or use a vocabulary.
+#: SQL where it can say what a query returns: op1, op3, op7, op9 and op12. The others learn, take checksums that DuckDB lacks, hash into windows or use a vocabulary.
 ORACLES: dict[str, str] = {
     "op1_warc_index": """WITH p AS (SELECT page_id, url, encode(coalesce(html,'')) AS payload FROM pages), d AS (SELECT page_id, url, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
  f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes>=100 GROUP BY 1), u AS (SELECT *, regexp_replace(coalesce(url,''),'^[^/?#]*://','') AS rest FROM d), h AS (SELECT *, regexp_extract(rest,'^[^/?#]*') AS host FROM u)
@@ -111,4 +126,7 @@ ORACLES: dict[str, str] = {
  link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label=y.label AND len(x.e)=len(y.e) AND x.vec_id<>y.vec_id WHERE list_cosine_similarity(x.e,y.e)>=0.98), {_REACHED},
  n AS (SELECT a, count(*) AS n FROM link GROUP BY 1), c AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
  SELECT vec_id, coalesce(n,0)::BIGINT AS n_links, least(vec_id,coalesce(b,vec_id)) AS component_id, vec_id<=coalesce(b,vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a=vec_id LEFT JOIN c ON c.a=vec_id""",
+    "op12_hard_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256*x::DOUBLE)) AS z FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label=b.label AS alike, list_dot_product(a.z,b.z)::BIGINT AS score FROM r a JOIN r b ON a.vec_id<>b.vec_id WHERE a.vec_id%100=0), p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id)<=5)
+ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30*positive_score<=100*score AND 100*score<=90*positive_score QUALIFY rank<=10""",
 }
