@@ -89,6 +89,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlens.llm.class_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -102,6 +108,7 @@ QUERIES = {
     "op10_chat_windows": op10_chat_windows,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_class_lm": op13_class_lm,
 }
 #: Words of a text in DuckDB, as they are or with A-Z lowered.
 _WORD_LIST = "regexp_extract_all(coalesce({x},''),'[^\\x20\\x09-\\x0D]+')"
