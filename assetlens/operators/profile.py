@@ -216,6 +216,12 @@ def long_to_wide(df: DataFrame, key: str, name: str, value: str, names: list[str
     return df.groupBy(key).pivot(name, names).agg(F.first(value))
 
 
+def symmetric_matrix(long: DataFrame, names: list[str], a: str = "a", b: str = "b", value: str = "r") -> DataFrame:
+    """Wide form of a table of pairs, each pair once: one row per name in a, one column per name. names are the columns, so no pass over the data finds them."""
+    mirrored = long.select(a, b, value).unionByName(long.where(F.col(a) != F.col(b)).select(F.col(b).alias(a), F.col(a).alias(b), value))
+    return long_to_wide(mirrored, a, b, value, names)
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The n rows with the least hash of key and seed: the same rows in every run."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

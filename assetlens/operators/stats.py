@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assetlens.functions.tails import chi2_p, correlation_p, normal_p
 from assetlens.functions.text import to_number
 from assetlens.operators.rank import average_rank, cuts, quantile_table, ranked_values, with_ranks_of
 
@@ -105,10 +106,11 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """rho and n over rows with both values."""
+    """rho, n and two-sided p over rows with both values."""
     both = df.select(to_number(a).alias("x"), to_number(b).alias("y")).where("x is not null and y is not null")
     r = with_ranks_of(both, {"x_": "x", "y_": "y"})
-    return r.agg(F.corr(average_rank("x_"), average_rank("y_")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    one = r.agg(F.corr(average_rank("x_"), average_rank("y_")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return one.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def correlation_p_value(r: float | None, n: int) -> float | None:
@@ -183,7 +185,7 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """u, z, delta, medians and sizes of the two groups in the order of their keys; null u unless there are exactly two groups."""
+    """u, z, its two-sided normal p, delta, medians and sizes of the two groups in the order of their keys; null u unless there are exactly two groups."""
     s = rank_sums(df, group, value)
     two = s.agg(F.sort_array(F.collect_list(F.struct("g", "m", "rank_sum", "median", "tie_sum", "total"))).alias("a"))
     a, b = F.get("a", F.lit(0)), F.get("a", F.lit(1))
@@ -193,7 +195,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (F.col("n") + 1 - F.col("ts") / (F.col("n") * (F.col("n") - 1))))
     ok = F.col("k") == 2
     z = (F.abs(u - mean) - 0.5) / F.nullif(sd, F.lit(0.0))
-    return two.select("n1", "n2", "median1", "median2", F.when(ok, u).alias("u"), F.when(ok, z).alias("z"), F.when(ok, 2 * u / (F.col("n1") * F.col("n2")) - 1).alias("delta"))
+    return two.select("n1", "n2", "median1", "median2", F.when(ok, u).alias("u"), F.when(ok, z).alias("z"), F.when(ok, normal_p(z)).alias("p"), F.when(ok, 2 * u / (F.col("n1") * F.col("n2")) - 1).alias("delta"))
 
 
 def mann_whitney_p(z: float | None) -> float | None:
@@ -201,12 +203,12 @@ def mann_whitney_p(z: float | None) -> float | None:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """h (tie-corrected), k, n and epsilon_squared."""
+    """h (tie-corrected), its chi-square p with k - 1 degrees of freedom, k, n and epsilon_squared."""
     s = rank_sums(df, group, value)
     t = s.agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("m")).alias("q"), F.count(F.lit(1)).alias("k"), F.max("total").cast("double").alias("n"), F.max("tie_sum").alias("ts"))
     h = (12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)) / (1 - F.col("ts") / (F.pow("n", F.lit(3)) - F.col("n")))
     t = t.withColumn("h", F.when(F.col("k") > 1, h))
-    return t.select("h", "k", F.col("n").cast("long").alias("n"), F.when(F.col("n") > F.col("k"), F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")))).alias("epsilon_squared"))
+    return t.select("h", chi2_p(F.col("h"), F.col("k") - 1).alias("p"), "k", F.col("n").cast("long").alias("n"), F.when(F.col("n") > F.col("k"), F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")))).alias("epsilon_squared"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -247,9 +247,9 @@ _ENTROPY = """ew AS (SELECT (1-e1)/(3-e1-e2-e3) AS v1, (1-e2)/(3-e1-e2-e3) AS v2
 _THREE = f"{_A}, {DIMS}, {WEIGHTS}, {_ENTROPY}, pots AS (SELECT asset_id, view_count, round(size_score*w1+price_score*w2+name_score*w3,9) AS pc, round((size_score+price_score+name_score)/3,9) AS pe, round(size_score*v1+price_score*v2+name_score*v3,9) AS pn FROM dims, wt, ew)"
 
 
-@query("j7_three_composites", f"{_THREE} SELECT asset_id, round(pc,6) AS potential_critic, round(pe,6) AS potential_equal, round(pn,6) AS potential_entropy FROM pots")
+@query("j7_three_composites", f"{_THREE} SELECT asset_id, pc AS potential_critic, pe AS potential_equal, pn AS potential_entropy FROM pots")
 def j7_three_composites(spark, sf):
-    return rounded(scores.potential_use(asset_dimensions(spark, sf), list(DIMENSIONS)).select("asset_id", "potential_critic", "potential_equal", "potential_entropy"))
+    return rounded(scores.potential_use(asset_dimensions(spark, sf), list(DIMENSIONS)).select("asset_id", "potential_critic", "potential_equal", "potential_entropy"), 9)
 
 
 @query("j8_dormancy", f"{_A}, {_SHARES} SELECT asset_id, round(potential-actual,6) AS dormant_score, (potential>=0.7 AND actual<=0.5 AND potential-actual>=0.3)::INT AS candidate, CASE WHEN potential>=0.5 AND actual>=0.5 THEN 'high_high' WHEN potential>=0.5 THEN 'high_low' WHEN actual<0.5 THEN 'low_low' ELSE 'low_high' END AS quadrant FROM s")
@@ -464,47 +464,6 @@ def p18_direction(spark, sf):
     return rounded(ml.direction(d, "size", "a"))
 
 
-# ---- streams: run to their end over a copy of the log in several files, then compared with the batch form
-
-
-def _log_files(spark, sf) -> str:
-    folder = new_folder(spark, "log")
-    table(spark, sf, "events").repartition(3, "user_id").write.parquet(f"{folder}/in")
-    return folder
-
-
-def _ended(query) -> None:
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
-
-
-@query("m1_growing_table", "SELECT event_type, count(*) AS rows FROM events GROUP BY 1")
-def m1_growing_table(spark, sf):
-    folder = _log_files(spark, sf)
-    s = monitor.growing_table(spark, f"{folder}/in", table(spark, sf, "events").schema, 1)
-    _ended(s.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out"))
-    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("m2_count_windows", "SELECT user_id, floor(count(*)/20)::BIGINT AS windows, (floor(count(*)/20)*20)::BIGINT AS rows FROM events GROUP BY 1 HAVING count(*)>=20")
-def m2_count_windows(spark, sf):
-    folder = _log_files(spark, sf)
-    s = monitor.growing_table(spark, f"{folder}/in", table(spark, sf, "events").schema, 1).withColumn("good", (F.col("event_type") != "error").cast("int"))
-    out = monitor.count_windows(s, "user_id", 20, "good")
-    _ended(out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out"))
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("rows").alias("rows"))
-
-
-@query("m6_upsert_stream", "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type,event_id) AS status, arg_max(value,event_id) FILTER (event_type<>'error') AS amount FROM events GROUP BY 1")
-def m6_upsert_stream(spark, sf):
-    folder = _log_files(spark, sf)
-    s = monitor.growing_table(spark, f"{folder}/in", table(spark, sf, "events").schema, 1)
-    s = s.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.when(F.col("event_type") != "error", F.col("value").cast("string")).otherwise("").alias("amount"))
-    _ended(monitor.upsert_stream(s, f"{folder}/table", "id", "seq", ["status"], f"{folder}/state"))
-    return monitor.upserted(spark, f"{folder}/table").withColumn("amount", F.col("amount").cast("double"))
-
-
 @query("m8_sample_missing", "SELECT event_id FROM events WHERE event_type='error' ORDER BY event_id LIMIT 20")
 def m8_sample_missing(spark, sf):
     d = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("  ").alias("kind"))

@@ -31,11 +31,11 @@ _PUBLISHED = "(CASE WHEN row_no%3>0 THEN DATE '2020-01-01'+(row_no%900)::INT END
 @query("d1_catalog_features", f"""{_WITH}, n AS (SELECT *, p_size*3.0 AS v, CASE WHEN row_no%4>0 THEN p_size ELSE 0 END::DOUBLE AS d, 0.0 AS a FROM raw), p AS (SELECT *, {_PCT.format(x='ln(1+v)')} AS pv, {_PCT.format(x='ln(1+d)')} AS pd, {_PCT.format(x='ln(1+a)')} AS pa FROM n),
  u AS (SELECT *, round(0.45*pv+0.35*pd+0.2*pa,12) AS use FROM p) SELECT row_no, {_CODE} AS type_code, {_URL} AS detail_url, {_LEVEL} AS spatial_admin_level, {places(spaced("coalesce(p_name,'')||' '||coalesce(department,'')||' '||coalesce(description,'')"))} AS inferred_spatial_scope,
  date_diff('day',{_PUBLISHED},DATE '2024-01-01')::INT AS publication_age_days, date_diff('day',DATE '2023-05-06',DATE '2024-01-01')::INT AS update_recency_days, date_diff('day',{_PUBLISHED},DATE '2023-05-06')::INT AS maintenance_span_days, length(p_name)::INT AS title_len, length(coalesce(description,''))::INT AS description_len,
- regexp_matches(coalesce(description,''),'{T.FIELD_HINT}')::INT AS description_has_field_hint, ({'+'.join(f"contains(coalesce(description,''),'{k}')::INT" for k in T.SCENE_KEYWORDS)})::INT AS scene_keyword_count, round(use,6) AS actual_use_v0, round({_PCT.format(x='use')},6) AS actual_use_percentile, true AS empty_supplement FROM u""")
+ regexp_matches(coalesce(description,''),'{T.FIELD_HINT}')::INT AS description_has_field_hint, ({'+'.join(f"contains(coalesce(description,''),'{k}')::INT" for k in T.SCENE_KEYWORDS)})::INT AS scene_keyword_count, round(use,9) AS actual_use_v0, round({_PCT.format(x='use')},9) AS actual_use_percentile, true AS empty_supplement FROM u""")
 def d1_catalog_features(spark, sf):
     d = _features(spark, sf)
     kept = ("row_no", "type_code", "detail_url", "spatial_admin_level", "inferred_spatial_scope", "publication_age_days", "update_recency_days", "maintenance_span_days", "title_len", "description_len", "description_has_field_hint", "scene_keyword_count", "actual_use_v0", "actual_use_percentile")
-    return rounded(d.select(*kept, ((F.col("download_formats") == "") & F.col("record_count").isNull() & F.col("has_csv").isNull()).alias("empty_supplement")))
+    return rounded(d.select(*kept, ((F.col("download_formats") == "") & F.col("record_count").isNull() & F.col("has_csv").isNull()).alias("empty_supplement")), 9)
 
 
 @query("d2_minimum_required", f"""WITH {RAW_SQL}, {_CELLS}, {_CLEAN} SELECT asset_id, p_name AS name, {_URL} AS dataset_url, (coalesce(resource_type,'')='数据接口')::INT AS has_api_doc, {spaced('data_size')} AS data_size, {places(spaced("coalesce(p_name,'')||' '||coalesce(department,'')||' '||coalesce(description,'')"))} AS spatial_scope,
@@ -151,11 +151,11 @@ def d19_prepared(spark, sf):
     return quality.prepared(d, ["update_frequency"], ["number", "none"], ["description", "p_name"]).select("row_no", "update_frequency", "number", "none", "combined_text")
 
 
-@query("d20_model_frame", f"{_WITH}, n AS (SELECT row_no, p_size*2.0 AS v, CASE WHEN row_no%3>0 THEN p_size END AS d FROM raw), p AS (SELECT row_no, 0.45*{_PCT.format(x='ln(1+v)')}+0.35*{_PCT.format(x='ln(1+coalesce(d,0))')}+0.2*{_PCT.format(x='0')} AS u FROM n) SELECT row_no, round(u,6) AS actual_use_v0 FROM p")
+@query("d20_model_frame", f"{_WITH}, n AS (SELECT row_no, p_size*2.0 AS v, CASE WHEN row_no%3>0 THEN p_size END AS d FROM raw), p AS (SELECT row_no, 0.45*{_PCT.format(x='ln(1+v)')}+0.35*{_PCT.format(x='ln(1+coalesce(d,0))')}+0.2*{_PCT.format(x='0')} AS u FROM n) SELECT row_no, round(u,9) AS actual_use_v0 FROM p")
 def d20_model_frame(spark, sf):
     k = F.col("row_no")
     d = raw_assets(spark, sf).select("row_no", (F.col("p_size") * 2).alias("view_count"), F.when(k % 3 > 0, F.col("p_size")).alias("download_count"), F.lit(None).cast("string").alias("api_call_count"))
-    return rounded(contract.actual_use_v0(d).select("row_no", "actual_use_v0"))
+    return rounded(contract.actual_use_v0(d).select("row_no", "actual_use_v0"), 9)
 
 
 @query("d21_existing_first", "SELECT p_name, p_partkey, p_brand FROM part")

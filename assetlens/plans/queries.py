@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetlens.functions import catalog as C
+from assetlens.functions import hooks
 from assetlens.functions import text as T
 from assetlens.operators import merge, profile, quality, rank, scores, sensitivity, stats
 from assetlens.plans.registry import ORACLES, QUERIES, query, rounded
@@ -165,26 +166,59 @@ def i8_pearson_matrix(spark, sf):
     return rounded(stats.pearson_matrix(asset_usage(spark, sf), ["size", "price", "view_count"]))
 
 
+#: Simpson's rule in SQL: the integral of a function of s from 0 to an end, over 4001 nodes.
+NODES = "(SELECT i, CASE WHEN i IN (0,4000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END AS w FROM range(4001) t(i)) nodes"
+
+
+def simpson(f: str, end: str) -> str:
+    return f"(sum(w*({f.replace('s*s', f'pow({end}*i/4000.0,2)')}))*max({end})/12000.0)"
+
+
+@query("n3_correlation_matrix", f"""WITH {ASSET} SELECT 'size' AS a, 1.0::DOUBLE AS size, round(corr(size,price),6) AS price, round(corr(size,view_count),6) AS view_count FROM asset UNION ALL SELECT 'price', round(corr(size,price),6), 1.0, round(corr(price,view_count),6) FROM asset
+ UNION ALL SELECT 'view_count', round(corr(size,view_count),6), round(corr(price,view_count),6), 1.0 FROM asset""")
+def n3_correlation_matrix(spark, sf):
+    names = ["size", "price", "view_count"]
+    return rounded(profile.symmetric_matrix(stats.pearson_matrix(asset_usage(spark, sf), names), names))
+
+
+@query("s1_sql_functions", """SELECT p_partkey, round(least(greatest(p_size/10.0-1,0),1),6) AS clipped, trim(p_brand)='' AS blank FROM part""")
+def s1_sql_functions(spark, sf):
+    """Two of the library's column functions, called by name from SQL text."""
+    hooks.register(spark, "clip_share", T.clip01, x="double")
+    hooks.register(spark, "blank_text", T.is_blank, x="string")
+    return rounded(spark.sql("SELECT p_partkey, clip_share(p_size / 10.0D - 1) AS clipped, blank_text(p_brand) AS blank FROM {part}", part=table(spark, sf, "part")))
+
+
+@query("s2_terms_table", """WITH t AS (SELECT p_partkey, unnest(string_split(p_name||'; '||p_brand||' ;;'||p_type,';')) AS t, unnest(range(3+1)) AS position FROM part) SELECT p_partkey, position::INT AS position, trim(t) AS term FROM t WHERE trim(t)<>''""")
+def s2_terms_table(spark, sf):
+    hooks.register_terms(spark)
+    return spark.sql("SELECT p_partkey, t.position, t.term FROM {part} p, LATERAL terms(concat(p_name, '; ', p_brand, ' ;;', p_type)) t", part=table(spark, sf, "part"))
+
+
 @query("i9_spearman", f"""WITH {ASSET}, r AS (SELECT rank() OVER (ORDER BY view_count)+(count(*) OVER (PARTITION BY view_count)-1)/2.0 AS x, rank() OVER (ORDER BY download_count)+(count(*) OVER (PARTITION BY download_count)-1)/2.0 AS y FROM asset)
- SELECT round(corr(x,y),6) AS rho, count(*) AS n FROM r""")
+, s AS (SELECT corr(x,y) AS rho, count(*) AS n FROM r)
+ SELECT round(rho,9) AS rho, n, round(1-2*{simpson('pow(1-s*s,n/2.0-2)', 'abs(rho)')}/exp(lgamma(0.5)+lgamma(n/2.0-1)-lgamma(n/2.0-0.5)),9) AS p FROM s, {NODES} GROUP BY rho, n""")
 def i9_spearman(spark, sf):
-    return rounded(stats.spearman(asset_usage(spark, sf), "view_count", "download_count"))
+    return rounded(stats.spearman(asset_usage(spark, sf), "view_count", "download_count"), 9)
 
 
+#: Statistics in SQL get their p from the integral of the density.
 _RANKED = "r AS (SELECT g, v, rank() OVER (ORDER BY v)+(count(*) OVER (PARTITION BY v)-1)/2.0 AS k, count(*) OVER (PARTITION BY v) AS t, count(*) OVER () AS n FROM s)"
 
 
 @query("i10_mann_whitney", f"""WITH {ASSET}, s AS (SELECT resource_type AS g, view_count AS v FROM asset), {_RANKED}, p AS (SELECT g, count(*) AS m, sum(k) AS rs, quantile_cont(v,0.5) AS med FROM r GROUP BY 1), t AS (SELECT sum(t*t-1.0) AS ts, max(n)::DOUBLE AS n FROM r),
  u AS (SELECT a.m AS n1, b.m AS n2, a.med AS median1, b.med AS median2, a.rs-a.m*(a.m+1)/2 AS u, ts, n FROM p a, p b, t WHERE a.g<b.g)
- SELECT n1, n2, round(median1,6) AS median1, round(median2,6) AS median2, round(u,6) AS u, round((abs(u-n1*n2/2)-0.5)/sqrt(n1*n2/12.0*(n+1-ts/(n*(n-1)))),6) AS z, round(2*u/(n1*n2)-1,6) AS delta FROM u""")
+, z AS (SELECT *, (abs(u-n1*n2/2)-0.5)/sqrt(n1*n2/12.0*(n+1-ts/(n*(n-1)))) AS z FROM u)
+ SELECT n1, n2, median1, median2, u, round(z,9) AS z, CASE WHEN z<=0 THEN 1 ELSE round(1-2*{simpson('exp(-s*s/2)/sqrt(2*pi())', 'z')},9) END AS p, round(2*u/(n1*n2)-1,9) AS delta FROM z, {NODES} GROUP BY n1, n2, median1, median2, u, z""")
 def i10_mann_whitney(spark, sf):
-    return rounded(stats.mann_whitney(asset_usage(spark, sf), "resource_type", "view_count"))
+    return rounded(stats.mann_whitney(asset_usage(spark, sf), "resource_type", "view_count"), 9)
 
 
 @query("i12_kruskal", f"""WITH s AS (SELECT c_mktsegment AS g, c_acctbal AS v FROM customer), {_RANKED}, q AS (SELECT sum(rs*rs/m) AS q, count(*) AS k FROM (SELECT g, sum(k) AS rs, count(*) AS m FROM r GROUP BY 1)), t AS (SELECT sum(t*t-1.0) AS ts, max(n)::DOUBLE AS n FROM r),
- h AS (SELECT (12/(n*(n+1))*q-3*(n+1))/(1-ts/(n*n*n-n)) AS h, k, n FROM q, t) SELECT round(h,6) AS h, k, n::BIGINT AS n, round(greatest(0,(h-k+1)/(n-k)),6) AS epsilon_squared FROM h""")
+ h AS (SELECT (12/(n*(n+1))*q-3*(n+1))/(1-ts/(n*n*n-n)) AS h, k, n FROM q, t)
+ SELECT round(h,9) AS h, round(1-{simpson('2*pow(s*s,(k-2)/2.0)*exp(-s*s/2)', 'sqrt(h)')}/(pow(2,(k-1)/2.0)*gamma((k-1)/2.0)),9) AS p, k, n::BIGINT AS n, round(greatest(0,(h-k+1)/(n-k)),9) AS epsilon_squared FROM h, {NODES} GROUP BY h, k, n""")
 def i12_kruskal(spark, sf):
-    return rounded(stats.kruskal(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal"))
+    return rounded(stats.kruskal(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal"), 9)
 
 
 @query("i13_cramers_v", """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1,2), ra AS (SELECT a, sum(o) AS x FROM c GROUP BY 1), cb AS (SELECT b, sum(o) AS y FROM c GROUP BY 1), n AS (SELECT sum(o) AS n FROM c)
@@ -495,6 +529,6 @@ def p17_partial_dependence(spark, sf):
 
 
 # ---- the other modules of entries register themselves
-from assetlens.plans import entries_models, entries_pages, entries_quality, entries_tables, entries_text  # noqa: E402, F401
+from assetlens.plans import entries_models, entries_pages, entries_quality, entries_streams, entries_tables, entries_text  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

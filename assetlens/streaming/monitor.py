@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetlens.functions.text import MOJIBAKE_MONITOR, has_mojibake, is_blank_raw, to_number
-from assetlens.operators.merge import upsert
 from assetlens.operators.rank import batches, latest
-from assetlens.scratch import remove
 
 
 def growing_table(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 8) -> DataFrame:
@@ -41,15 +39,20 @@ def qa_by_count(df: DataFrame, order: str, size: int, aggregates: dict[str, Colu
     return batches(df, order, size).groupBy("batch").agg(*[a.alias(k) for k, a in aggregates.items()])
 
 
+def _watermarked(df: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which Spark wants on a timestamp with time zone; a batch as it is."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if df.isStreaming else df
+
+
 def qa_by_time(df: DataFrame, time: str, width: str, aggregates: dict[str, Column], slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Event-time windows; on a stream rows later than the watermark are dropped, in a batch there are none."""
-    d = df.withWatermark(time, late) if df.isStreaming else df
+    d = _watermarked(df, time, late)
     g = d.groupBy(F.window(time, width, slide) if slide else F.window(time, width)).agg(*[a.alias(k) for k, a in aggregates.items()])
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *aggregates)
 
 
 def qa_by_session(df: DataFrame, time: str, gap: str, keys: list[str], aggregates: dict[str, Column], late: str = "10 minutes") -> DataFrame:
-    d = df.withWatermark(time, late) if df.isStreaming else df
+    d = _watermarked(df, time, late)
     g = d.groupBy(*keys, F.session_window(time, gap).alias("session")).agg(*[a.alias(k) for k, a in aggregates.items()])
     return g.select(*keys, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), *aggregates)
 
@@ -90,42 +93,6 @@ def count_windows(stream: DataFrame, key: str, size: int, good: str) -> DataFram
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, window bigint, rows bigint, good_rows bigint", "window bigint, n bigint, ok bigint", "append", "NoTimeout")
 
 
-def upsert_stream(stream: DataFrame, table_path: str, key: str, seq: str, latest_columns: list[str], checkpoint: str, available_now: bool = True):
-    """Merges each micro-batch into a versioned Parquet table (v=0, v=1, ..); replaying a batch gives the same version again.
-
-    A version is as large as the table, so only two are kept: the one before is what a replay needs.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{table_path}/v={number - 1}") if number else batch.limit(0)
-        upsert(old, batch, key, seq, latest_columns).write.mode("overwrite").parquet(f"{table_path}/v={number}")
-        if number > 1:
-            remove(spark, f"{table_path}/v={number - 2}")
-
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
-
-
-def upserted(spark: SparkSession, table_path: str) -> DataFrame:
-    """The newest version that upsert_stream() has written."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
-    return spark.read.parquet(f"{table_path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
-
-
-def run_until_done(step, progress, most: int = 1000) -> int:
-    """Repeats step(), one availableNow run or any other batch, while progress() grows; returns the number of steps."""
-    before = progress()
-    for k in range(most):
-        step()
-        now = progress()
-        if now <= before:
-            return k + 1
-        before = now
-    return most
-
-
 def sample_missing(df: DataFrame, core: list[str], order: str, n: int = 20) -> DataFrame:
     cond = F.lit(False)
     for c in core:

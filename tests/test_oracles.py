@@ -2,6 +2,7 @@
 
 import glob
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -14,7 +15,7 @@ def plain(v):
         return ""
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, Decimal)):
         return f"{float(v):.5f}".replace("-0.00000", "0.00000")
     return str(v)
 
