@@ -33,9 +33,9 @@ from assetlens.llm._words import _LOWER, Words, text_chunks
 from assetlens.scratch import Scratch, written
 
 #: The hash that stands for the end of a text, endings that rare words can have, and tokens that a task holds before it sums them.
-END, ENDINGS, HELD = -1, 1 << 16, 1 << 21
-#: Rows of a neighbour table that are taken together.
-ROWS = 2048
+END, ENDINGS, HELD = -1, 1 << 16, 1 << 20
+#: Rows of a neighbour table, and entries of their lists, that are taken together.
+ROWS, ENTRIES = 512, 1 << 18
 
 
 def held_out(doc_id: object, folds: int = 7, fold: int = 2) -> bool:
@@ -164,6 +164,15 @@ def _lists(key: np.ndarray, value: np.ndarray, n: np.ndarray, names: tuple[str,
     return pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int32)), *(pa.array(m[key[first]]) for m in more), *lists], names=list(names))
 
 
+def _counted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, value and count of each distinct number key << 32 | value; sorts its argument."""
+    both.sort()
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    n = np.diff(np.r_[first, len(both)])
+    both = both[first]
+    return both >> 32, both & 0xFFFFFFFF, n
+
+
 def _summed(key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = key << 32 | value
     order = np.argsort(both, kind="stable")
@@ -185,8 +194,8 @@ def _merged(rows: DataFrame, *keys: str) -> DataFrame:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("unit", "at", "n")
         key = value = n = np.zeros(0, np.int64)
-        for batch in batches:
-            k, v, c = _flat(batch)
+        for part in (batch.slice(s, ROWS) for batch in batches for s in range(0, batch.num_rows, ROWS)):
+            k, v, c = _flat(part)
             if not len(k):
                 continue
             key, value, n = _summed(np.r_[key, k], np.r_[value, v], np.r_[n, c])
@@ -213,9 +222,8 @@ def neighbours(docs: DataFrame, u: Units, scratch: Scratch, folds: int = 7, fold
         size = 0
 
         def summed() -> Iterator[pa.RecordBatch]:
-            a, b = (np.concatenate(x) for x in zip(*held))
-            one = np.ones(len(a), np.int64)
-            key, value, n = _summed(np.r_[a, b], np.r_[2 * b, 2 * a + 1], np.r_[one, one])
+            key, value, n = _counted(np.concatenate(held))
+            held.clear()
             yield _lists(key, value, n, ("unit", "salt", "at", "n"), np.where(hot, rng.integers(0, salts), -1).astype(np.int32))
 
         for texts in _trained(batches, folds, fold):
@@ -223,11 +231,12 @@ def neighbours(docs: DataFrame, u: Units, scratch: Scratch, folds: int = 7, fold
             at, found = _found(h, words)
             unit = np.where(found, ids[at] if len(ids) else 0, ending + n_words + 1)
             seq, _ = with_ends(unit, first, 0)
-            held.append((np.r_[0, seq[:-1]], seq))
+            before = np.r_[0, seq[:-1]]
+            held += [before << 32 | 2 * seq, seq << 32 | 2 * before + 1]
             size += len(seq)
             if size >= HELD:
                 yield from summed()
-                held, size = [], 0
+                size = 0
         if held:
             yield from summed()
 
@@ -240,8 +249,12 @@ def neighbours(docs: DataFrame, u: Units, scratch: Scratch, folds: int = 7, fold
 
 def _profiles(batch: pa.RecordBatch, cls: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of rows: units, counts of the classes after and before each (rows, 2, k), and how often each follows itself."""
-    for s in range(0, batch.num_rows, ROWS):
-        part = batch.slice(s, ROWS)
+    entries = batch.column(1).offsets.to_numpy()
+    s = 0
+    while s < batch.num_rows:  # a row's list alone may be longer: it has two entries per unit at most
+        e = int(np.clip(np.searchsorted(entries, entries[s] + ENTRIES, "right") - 1, s + 1, s + ROWS))
+        part = batch.slice(s, min(e, batch.num_rows) - s)
+        s += part.num_rows
         own = part.column(0).to_numpy()
         size = np.diff(part.column(1).offsets.to_numpy())
         row = np.repeat(np.arange(len(own)), size)
