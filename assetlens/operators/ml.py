@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, ImputerModel, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Imputer, ImputerModel, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +49,18 @@ def _grams(p, n: int):
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(n)))
 
 
+class TermWeights(Estimator):
+    """Term counts times idf + 1, idf being ln((1 + rows) / (1 + rows with the term)): a term of all rows keeps its count. Fits to a plain product, so it can be saved."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self.columns = {"inputCol": inputCol, "outputCol": outputCol}
+
+    def _fit(self, df: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol=self.columns["inputCol"], outputCol="__idf").fit(df).idf.toArray()
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf + 1), **self.columns)
+
+
 def feature_stages(numeric: list[str], categorical: list[str], grams: str | None = None, vocabulary: int = 5000) -> list:
     """Median imputation and scaling, one-hot levels with unknown ones kept apart, TF-IDF of n-grams (idf + 1, unit length)."""
     stages, parts = [], []
@@ -56,7 +73,7 @@ def feature_stages(numeric: list[str], categorical: list[str], grams: str | None
         stages += [StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False)]
         parts += hot
     if grams:
-        stages += [CountVectorizer(inputCol=grams, outputCol="__tf", vocabSize=vocabulary), IDF(inputCol="__tf", outputCol="__idf"), VectorAssembler(inputCols=["__idf"], outputCol="__sum"), Normalizer(inputCol="__sum", outputCol="__text", p=2.0)]
+        stages += [CountVectorizer(inputCol=grams, outputCol="__tf", vocabSize=vocabulary), TermWeights("__tf", "__weights"), Normalizer(inputCol="__weights", outputCol="__text", p=2.0)]
         parts.append("__text")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
@@ -76,35 +93,80 @@ def random_forest(target: str = "label", trees: int = 450, leaf: int = 2, depth:
     return RandomForestRegressor(labelCol=target, numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=depth, seed=seed)
 
 
-def boosted_trees(target: str = "label", rounds: int = 350, rate: float = 0.04, depth: int = 5, sample: float = 0.85, leaf: int = 2, seed: int = 42, validation: str | None = None) -> GBTRegressor:
-    """validation: a boolean column that marks rows held out of the training rows to stop early."""
-    g = GBTRegressor(labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample, minInstancesPerNode=leaf, seed=seed)
-    return g.setValidationIndicatorCol(validation) if validation else g
+def boosted_trees(target: str = "label", rounds: int = 350, rate: float = 0.04, depth: int = 5, sample: float = 0.85, leaf: int = 2, seed: int = 42) -> GBTRegressor:
+    return GBTRegressor(labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample, minInstancesPerNode=leaf, seed=seed)
+
+
+class EarlyStopped(Estimator):
+    """Boosted trees with as many rounds as are best for held-out training rows.
+
+    A first fit leaves out the rows that the boolean column `validation` marks and is measured on them after each round; the model is fitted again on all rows, up to the best
+    round. Its number of trees is that round. Without marked rows all rounds are taken.
+    """
+
+    def __init__(self, model: GBTRegressor, validation: str = "validation"):
+        super().__init__()
+        self.model, self.validation = model, validation
+
+    def errors(self, df: DataFrame) -> list[float]:
+        """Squared error on the marked rows after each round."""
+        held = df.where(self.validation)
+        if held.isEmpty():
+            return []
+        return self.model.fit(df.where(~F.col(self.validation))).evaluateEachIteration(held, "squared")
+
+    def _fit(self, df: DataFrame) -> GBTRegressionModel:
+        errors = self.errors(df)
+        best = errors.index(min(errors)) + 1 if errors else self.model.getMaxIter()
+        return self.model.copy({self.model.maxIter: best}).fit(df)
 
 
 def fit_pipeline(df: DataFrame, stages: list, model) -> PipelineModel:
     return Pipeline(stages=[*stages, model]).fit(df)
 
 
-def out_of_fold(df: DataFrame, key: str, make, k: int = 5, seed: int = 42, inner: float = 0.0) -> DataFrame:
-    """key, fold and prediction: every row is predicted once, by a pipeline fitted without its fold.
+def feature_frame(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """df with the column `features`, encoded on df itself."""
+    return Pipeline(stages=feature_stages(numeric, categorical)).fit(df).transform(df)
+
+
+def full_fit(df: DataFrame, stages: list, model, path: str, target: str = "label") -> DataFrame:
+    """Fits on all rows, saves the pipeline at path (PipelineModel.load() reads it) and returns in-sample metrics, which say nothing of new rows."""
+    from assetlens.operators.stats import regression_metrics
+
+    fitted = fit_pipeline(df, stages, model)
+    fitted.write().overwrite().save(path)
+    return regression_metrics(fitted.transform(df), target, "prediction")
 
-    make() returns an unfitted Pipeline; encoders are inside it, so they see training rows only. inner > 0 marks that share
+
+def fold_models(df: DataFrame, key: str, makes: dict[str, Callable[[], Pipeline]], k: int = 5, seed: int = 42, inner: float = 0.0, threads: int = 4) -> tuple[DataFrame, dict[tuple[str, int], PipelineModel]]:
+    """key, model, fold and prediction, every row once per model by a pipeline fitted without its fold; and the fitted pipelines by model and fold.
+
+    A make returns an unfitted Pipeline; encoders are inside it, so they see training rows only. inner > 0 marks that share
     of the training rows in the column `validation`, by a hash of the id: early stopping never looks at the scored fold.
+    The folds are written once; models and folds are fitted side by side from a few threads.
     """
     folded = with_folds(df, key, k, seed)
     if inner:
         folded = folded.withColumn("validation", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1000)) < int(1000 * inner))
     scratch = Scratch(df.sparkSession, "folds")
     folded = scratch.written(folded, "rows")
+    jobs = [(name, f) for name in makes for f in range(k)]
+    with ThreadPoolExecutor(threads) as pool:
+        waiting = [pool.submit(inheritable_thread_target(lambda name=name, f=f: makes[name]().fit(folded.where(F.col("fold") != f)))) for name, f in jobs]
+        models = {job: w.result() for job, w in zip(jobs, waiting)}
     out = None
-    for f in range(k):
-        model = make().fit(folded.where(F.col("fold") != f))
-        part = model.transform(folded.where(F.col("fold") == f)).select(key, "fold", "prediction")
+    for (name, f), model in models.items():
+        part = model.transform(folded.where(F.col("fold") == f)).select(key, F.lit(name).alias("model"), "fold", "prediction")
         out = part if out is None else out.unionByName(part)
     out = written(out, "out-of-fold")
     scratch.close()
-    return out
+    return out, models
+
+
+def out_of_fold(df: DataFrame, key: str, make: Callable[[], Pipeline], k: int = 5, seed: int = 42, inner: float = 0.0) -> DataFrame:
+    """key, fold and prediction of one model; see fold_models()."""
+    return fold_models(df, key, {"": make}, k, seed, inner)[0].drop("model")
 
 
 def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -125,6 +187,15 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("encoded"))
 
 
+def fold_importances(models: dict[tuple[str, int], PipelineModel], df: DataFrame) -> DataFrame:
+    """model, fold, feature, importance and encoded of fitted trees; a fold's importances add up to one."""
+    out = None
+    for (name, fold), model in models.items():
+        part = importances(model, df).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "feature", "importance", "encoded")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def importance_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"))
 
@@ -174,6 +245,12 @@ def shapley(model: PipelineModel, df: DataFrame, features: list[str], key: str,
     return gain.groupBy(key, name.alias("feature")).agg(F.avg(F.col("prediction") - F.col("without")).alias("attribution"))
 
 
+def attribution_summary(attributions: DataFrame) -> DataFrame:
+    """Per feature the mean absolute and signed attribution, their spread, and rows."""
+    a = F.col("attribution")
+    return attributions.groupBy("feature").agg(F.avg(F.abs(a)).alias("mean_abs"), F.avg(a).alias("mean_signed"), F.stddev_samp(a).alias("std"), F.count(a).alias("rows"))
+
+
 def model_comparison(predictions: DataFrame, actual: str, predicted: str, model: str = "model", fold: str = "fold") -> tuple[DataFrame, DataFrame]:
     """Metrics per model and fold, and per model with its place (see model_selection). predictions: model, fold, actual and predicted values."""
     from assetlens.operators.sensitivity import model_selection
@@ -182,14 +259,15 @@ def model_comparison(predictions: DataFrame, actual: str, predicted: str, model:
     return regression_metrics(predictions, actual, predicted, (model, fold)), model_selection(regression_metrics(predictions, actual, predicted, (model,)))
 
 
-def ablation(df: DataFrame, key: str, features: tuple[list[str], list[str]], dropped: tuple[str, ...], models: dict, k: int = 5, seed: int = 42) -> DataFrame:
-    """key, model, fold and prediction of each model without the dropped features. features: numeric and categorical; models: name -> function that returns an unfitted estimator."""
-    numeric, categorical = ([c for c in part if c not in dropped] for part in features)
-    out = None
+def ablation(df: DataFrame, key: str, features: tuple[list[str], list[str]], dropped: tuple[str, ...], models: dict, k: int = 5, seed: int = 42, inner: float = 0.0) -> DataFrame:
+    """key, model, dropped, fold and prediction of each model with all features and without the dropped ones. features: numeric and categorical; models: name -> function that returns an unfitted estimator."""
+    makes = {}
     for name, make in models.items():
-        p = out_of_fold(df, key, lambda make=make: Pipeline(stages=[*feature_stages(numeric, categorical), make()]), k, seed).withColumn("model", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+        for without in ((), dropped):
+            numeric, categorical = ([c for c in part if c not in without] for part in features)
+            makes[name + "/dropped" if without else name] = lambda make=make, n=numeric, c=categorical: Pipeline(stages=[*feature_stages(n, c), make()])
+    p, _ = fold_models(df, key, makes, k, seed, inner)
+    return p.select(key, F.regexp_replace("model", "/dropped$", "").alias("model"), F.endswith("model", F.lit("/dropped")).alias("dropped"), "fold", "prediction")
 
 
 def potential_model(df: DataFrame, key: str, texts: list[str], categorical: list[str], numeric: list[str], target: str = "actual_use_v0", alpha: float = 1.0, vocabulary: int = 5000, tops: tuple[int, ...] = (100, 300), potential: float = 0.70, actual: float = 0.50) -> tuple[DataFrame, DataFrame]:

@@ -184,6 +184,6 @@ def model_candidates(df: DataFrame, flags: dict[str, str], rule: str, selected:
 def model_selection(metrics: DataFrame) -> DataFrame:
     """Models by the sum of their ranks by Spearman, RMSE and MAE; a table of one row per model."""
     every = W.partitionBy()
-    r = metrics.withColumns({"r1": F.rank().over(every.orderBy(F.desc("spearman"))), "r2": F.rank().over(every.orderBy("rmse")), "r3": F.rank().over(every.orderBy("mae"))})
-    r = r.withColumn("rank_sum", F.col("r1") + F.col("r2") + F.col("r3"))
-    return r.withColumn("place", F.row_number().over(every.orderBy("rank_sum", F.desc("spearman"), "rmse"))).drop("r1", "r2", "r3")
+    r = metrics.withColumns({"_r1": F.rank().over(every.orderBy(F.desc("spearman"))), "_r2": F.rank().over(every.orderBy("rmse")), "_r3": F.rank().over(every.orderBy("mae"))})
+    r = r.withColumn("rank_sum", F.col("_r1") + F.col("_r2") + F.col("_r3"))
+    return r.withColumn("place", F.row_number().over(every.orderBy("rank_sum", F.desc("spearman"), "rmse"))).drop("_r1", "_r2", "_r3")

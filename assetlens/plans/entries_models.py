@@ -413,19 +413,11 @@ def p7_ridge(spark, sf):
 
 @query("p11_potential_model", "SELECT count(*) AS rows, least(count(*),100) AS top100, least(count(*),300) AS top300, (count(*)*(count(*)+1)/2)::BIGINT AS rank_sum, true AS shares_hold FROM part")
 def p11_potential_model(spark, sf):
-    d, _ = ml.potential_model(asset_usage(spark, sf), "asset_id", ["name"], ["domain", "department"], ["size", "price"], "view_count", vocabulary=500)
+    d, _ = ml.potential_model(asset_usage(spark, sf), "asset_id", ["name"], ["domain", "department"], ["size", "price"], "view_count")
     inside = F.col("potential_ml_percentile").between(0, 1) & (F.abs(F.col("dormant_score")) <= 1) & (F.col("quadrant") != "unclassified")
     return d.agg(F.count(F.lit(1)).alias("rows"), F.sum("dormant_top100").alias("top100"), F.sum("dormant_top300").alias("top300"), F.sum("dormant_rank").alias("rank_sum"), F.min(inside).alias("shares_hold"))
 
 
-@query("p12_ablation", "SELECT model, count(*) AS rows, count(DISTINCT p_partkey) AS ids FROM part, (VALUES ('strong'),('weak')) m(model) GROUP BY 1")
-def p12_ablation(spark, sf):
-    d = _frame(spark, sf)
-    models = {name: (lambda m=ml.ridge_for(d, alpha, share=0.8): m.copy()) for name, alpha in (("weak", 1.0), ("strong", 50.0))}
-    p = ml.ablation(d, "asset_id", (["size", "price", "name_length"], ["domain"]), ("name_length",), models)
-    return p.groupBy("model").agg(F.count("prediction").alias("rows"), F.countDistinct("asset_id").alias("ids"))
-
-
 _PREDICTED = f"{_A}, d AS (SELECT asset_id%5 AS fold, 'near' AS model, view_count AS y, view_count+(asset_id%7) AS p FROM asset UNION ALL SELECT asset_id%5, 'far', view_count, size FROM asset)"
 
 
@@ -446,12 +438,12 @@ def p14_importance_summary(spark, sf):
     return rounded(ml.importance_summary(per))
 
 
-@query("p16_attributions_add_up", "SELECT least(count(*),200) AS rows, true AS add_up FROM part")
+@query("p16_attributions_add_up", "SELECT least(count(*),3000) AS rows, true AS add_up FROM part")
 def p16_attributions_add_up(spark, sf):
     d = _frame(spark, sf).select("asset_id", "size", "price", "domain", "label")
     model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.ridge_for(d, 1.0))
     features = ["size", "price", "domain"]
-    phi = ml.shapley(model, d, features, "asset_id").groupBy("asset_id").agg(F.sum("attribution").alias("total"))
+    phi = ml.shapley(model, d, features, "asset_id", rows=3000).groupBy("asset_id").agg(F.sum("attribution").alias("total"))
     base = model.transform(profile.seeded_sample(d, "asset_id", 10, 8)).agg(F.avg("prediction").alias("base"))
     j = model.transform(d).select("asset_id", "prediction").join(phi, "asset_id").crossJoin(F.broadcast(base))
     return j.agg(F.count(F.lit(1)).alias("rows"), (F.max(F.abs(F.col("total") - (F.col("prediction") - F.col("base")))) < 1e-6).alias("add_up"))

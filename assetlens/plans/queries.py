@@ -524,11 +524,11 @@ def p17_partial_dependence(spark, sf):
     from assetlens.operators import ml
 
     d = _model_frame(spark, sf)
-    model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.random_forest(trees=20, depth=5))
+    model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.random_forest())
     return ml.partial_dependence(model, d, "price", "asset_id", sample=None)
 
 
 # ---- the other modules of entries register themselves
-from assetlens.plans import entries_models, entries_pages, entries_quality, entries_streams, entries_tables, entries_text  # noqa: E402, F401
+from assetlens.plans import entries_learning, entries_models, entries_pages, entries_quality, entries_streams, entries_tables, entries_text  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]
