@@ -13,8 +13,8 @@ a bucket with 0.16 and are met in at least one of 27 tables with 0.99; above 0.9
 angles share a code with 0.49 and a bucket with 1.3e-7, so company by chance stays rare up to tens of millions of vectors of a label.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows without label or id, link with
-nothing and are kept; vectors of unlike lengths never link; components of any finite size count (vectors are scaled by their largest one before their norm is taken); labels of any type that Spark can compare; repeated rows are copies that link with each other; ids
-are taken to name one vector; empty tables give no rows; other columns are dropped, whatever their names.
+nothing and are kept; vectors of unlike lengths never link; components of any finite size count (vectors are scaled by their largest one before their norm is taken); labels of any type that Spark can compare; repeated rows are copies that link with each other; rows with
+one id and unlike vectors are vectors of their own; empty tables give no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,13 +65,17 @@ def _spanning(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 27, projections: int = 22, width: float = 2.0, block: int = 512, seed: int = 11) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label)."""
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 27, projections: int = 22, width: float = 2.0, block: int = 512, seed: int = 11, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label).
+
+    exact: every pair of a label is compared, in pairs of blocks, so no link is missed and the work grows with the square of a label's vectors.
+    """
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     scratch = Scratch(vectors.sparkSession, "embeddings")
-    classes = scratch.written(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +85,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 27,
                 codes = bucket_codes(_unit([v[i] for i in at]), np.array([label[i] for i in at], np.int64), tables, projections, width, seed)
                 yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i in at], pa.int64()), pa.array(list(codes), pa.list_(pa.int64()))], names=["cid", "codes"])
 
-    codes = scratch.written(classes.select("cid", F.xxhash64("label").alias("l"), "v").mapInArrow(hashed, "cid bigint, codes array<bigint>"), "codes")
+    if exact:
+        codes = classes.select("cid", F.array(F.xxhash64("label", F.size("v"))).alias("codes"))
+    else:
+        codes = classes.select("cid", F.xxhash64("label").alias("l"), "v").mapInArrow(hashed, "cid bigint, codes array<bigint>")
+    codes = scratch.written(codes, "codes")
     member = codes.select("cid", F.explode("codes").alias("bucket"))
     full = scratch.written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "full")
     blocks = F.ceil(F.col("m") / block).cast("int")
@@ -143,7 +151,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 27,
     comp = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = classes.join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-    per_class = per_class.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    per_class = scratch.written(per_class.withColumn("component", F.coalesce("component", "cid")), "per-class")
+    least = per_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    per_class = per_class.join(least, "component").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     per_class = written(per_class, "linked-vectors")
     scratch.close()
     out = rows.where("sound").join(per_class, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")))

@@ -22,7 +22,7 @@ joins on shingles may be split by size.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a text with fewer words than a shingle has its
 whole sequence as one; equal sets link; rows with a null id link with nothing and come back as their own component (null); repeated rows
-come back each; of rows with one id and unlike texts, the least text counts for links and the others are joined with equal sets only, and each row has its own n_shingles; an empty table gives no rows; texts of any length count whole.
+come back each; rows with one id and unlike texts are one document as to links, whose component has the smallest id that any of its texts reaches, and each row has its own n_shingles; an empty table gives no rows; texts of any length count whole.
 Sets hold 64-bit hashes.
 """
 
@@ -86,21 +86,26 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for _, texts in text_chunks(batches, 0):
             np.add.at(total, (shingle_sets(texts, n)[1] >> PLACE).astype(np.int64), 1)
-        total = np.minimum(total, 255).astype(np.uint8)  # where a part alone has this many the order is settled
-        rows = [(k, total[k * ROW : (k + 1) * ROW]) for k in range(COUNTERS // ROW) if total[k * ROW : (k + 1) * ROW].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["row", "counts"])
+        # a byte per counter, and what doesn't fit beside it: sums stay exact
+        low, over = np.minimum(total, 255).astype(np.uint8), np.maximum(total - 255, 0)
+        rows = [k for k in range(COUNTERS // ROW) if low[k * ROW : (k + 1) * ROW].any()]
+        cells = [low[k * ROW : (k + 1) * ROW].tobytes() for k in rows]
+        more = [np.flatnonzero(over[k * ROW : (k + 1) * ROW]) for k in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(cells, pa.binary()), pa.array(more, pa.list_(pa.int64())), pa.array([over[k * ROW + at] for k, at in zip(rows, more)], pa.list_(pa.int64()))], names=["row", "counts", "at", "over"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
+            for k, x, at, over in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                part = sums.setdefault(k, np.zeros(ROW, np.int64))
+                part += np.frombuffer(x, np.uint8)
+                part[at] += np.array(over, np.int64)
         cells = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(cells, pa.binary())], names=["row", "counts"])
 
-    schema = "row int, counts binary"
     out = np.zeros(COUNTERS, np.uint32)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(COUNTERS // ROW, "row").mapInArrow(add, schema).collect():
+    parts = docs.select("text").mapInArrow(count, "row int, counts binary, at array<bigint>, over array<bigint>")
+    for r in parts.repartition(COUNTERS // ROW, "row").mapInArrow(add, "row int, counts binary").collect():
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], "<u4")
     return out
 
@@ -272,13 +277,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, limit
     whole = scratch.written(signatures(docs, words, percent, counts, limits.heavy), "signatures")
     sigs = scratch.written(whole.select("doc_id", "n", "k1", "k2"), "keys")
     sound = whole.where("n > 0 and doc_id is not null")
-    if not sigs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        sound = scratch.written(signatures(docs, words, percent, counts, limits.heavy).where("n > 0 and doc_id is not null"), "distinct")
+    if not sigs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        scratch.drop("signatures", "keys")
+        return _of_repeated_ids(docs, words, percent, limits, scratch)
     # of each class its smallest id; the leads stay where they are
     first_ids = scratch.written(sound.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-ids")
     reps = scratch.written(rows_with_ids(sound, first_ids, "doc_id", limits.ids), "classes")
-    scratch.drop("signatures", "distinct", "first-ids")
+    scratch.drop("signatures", "first-ids")
     keys = scratch.written(reps.select("n", "k1", "k2", "doc_id", "m1", "m2"), "reps")
     lead = reps.select("doc_id", "n", "heavy", F.posexplode("lead").alias("at", "t")).withColumn("heavy", F.col("at") >= F.col("heavy"))
     # rows of a shingle that few leads can hold meet in one task, and one shuffle tells which are shared; the others are counted and joined
@@ -302,6 +307,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, limit
     return out
 
 
+def _of_repeated_ids(docs: DataFrame, words: int, percent: int, limits: Limits, scratch: Scratch) -> DataFrame:
+    """jaccard_components() where ids repeat: distinct rows are numbered and joined, then the components of one id's texts become one."""
+    rows = scratch.written(docs.where("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), words, percent, limits)
+    found = scratch.written(rows.join(found.withColumnRenamed("doc_id", "row"), "row").select("doc_id", "text", "n_shingles", "component_id"), "found")
+    linked = found.where("n_shingles > 0")
+    least = linked.groupBy("component_id").agg(F.min("doc_id").alias("b"))
+    ids = components(linked.join(least, "component_id").select(F.col("doc_id").alias("a"), "b"), scratch, "ids")
+    own = found.select(F.col("doc_id").alias("i"), F.col("text").alias("x"), "n_shingles")
+    out = docs.join(own, (F.col("doc_id") == F.col("i")) & F.col("text").eqNullSafe(F.col("x"))).join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = signatures(docs.where("doc_id is null"), words, percent, np.zeros(COUNTERS, np.uint32)).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    out = written(out.unionByName(nameless), "ngram-components")
+    scratch.close()
+    return out
+
+
 def keep_one_per_component(docs: DataFrame, words: int = 5, percent: int = 80, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs whose id is their component's smallest; rows with a null id stay."""
     found = jaccard_components(docs, words, percent, limits)

@@ -255,3 +255,30 @@ def test_scores_of_no_rows_and_of_no_training(spark):
     held = next(i for i in range(100) if class_lm.held_out(i))
     r = class_lm.score_texts(spark.createDataFrame([(held, "a b", "x")], DOCS + ", n string")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+# ---- embeddings: repeated ids, and every pair
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_embeddings_with_repeated_ids(spark, exact):
+    from assetlens.llm.embedding_lsh import link_vectors
+
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [1.0, 0.001], 0), (4, [0.0, 1.0], 1), (5, [0.3, 1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), exact=exact).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_exact_embeddings_miss_no_link_at_the_threshold(spark):
+    from assetlens.llm.embedding_lsh import link_vectors
+
+    r = np.random.default_rng(8)
+    v = r.normal(size=(150, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    side = r.normal(size=v.shape)
+    side -= (side * v).sum(1, keepdims=True) * v
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    pairs = 0.9801 * v + math.sqrt(1 - 0.9801**2) * side
+    rows = [(2 * i + k, [float(y) for y in x], i % 2) for i, two in enumerate(zip(v, pairs)) for k, x in enumerate(two)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=16, exact=True).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(300)}

@@ -183,7 +183,21 @@ def test_ngram_join_of_repeated_ids(spark):
     a, b, c = ("a b c d e f g h", "p q r s t u v w", "zz yy xx ww vv uu")
     rows = [(1, a), (2, a), (3, b), (3, c), (4, c), (5, b), (None, a), (6, None)]
     got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80).collect())
-    assert got == [(0, 6, 0), (1, 6, 1), (2, 6, 1), (3, 4, 4), (3, 6, 3), (4, 4, 4), (5, 6, 3), (6, 0, 6)]
+    # both texts of 3 count: one links it with 5, the other with 4, and 3 is the smallest of them
+    assert got == [(0, 6, 0), (1, 6, 1), (2, 6, 1), (3, 4, 3), (3, 6, 3), (4, 4, 3), (5, 6, 3), (6, 0, 6)]
+
+
+def test_shingle_counts_are_whole(spark):
+    """A shingle in more leads than `heavy` is found heavy, however the documents are dealt out."""
+    from assetlens.llm import ngram_join
+
+    r = random.Random(4)
+    rows = [(k, "one common shingle " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    counts = ngram_join.shingle_counts(docs, 3)
+    assert counts.max() == 3000
+    heavy = ngram_join.signatures(docs, 3, 90, counts, 2000).where("heavy < n").count()
+    assert heavy == 3000
 
 
 # ---- suffix trees
