@@ -55,15 +55,32 @@ def repeats(texts):
 
 
 def test_chat_windows_keep_the_budget_with_a_long_system_turn(spark):
+    from assetlens.llm import chat_windows
     from assetlens.llm.chat_windows import format_windows, read_back
+    from assetlens.scratch import Scratch
 
     rows = [(1, 0, "system", "s " * 400), *[(1, k, "user" if k % 2 else "assistant", f"t{k} " * 100) for k in range(1, 40)]]
     rows += [(2, 0, "system", "s " * 2000), (2, 1, "user", "a"), (2, 2, "assistant", "b"), (None, None, None, None), (None, None, "assistant", "x"), (3, 5, "assistant", "same"), (3, 5, "assistant", "same")]
     rows += [(4, k, "assistant" if k % 3 else "user", f"<|im_end|> & [{k}]") for k in range(300)]
     d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"no": F.lit("clash"), "span": F.lit(1), "tokens": F.lit(2), "part": F.lit(3), "s_text": F.lit(4)})
-    for block in (1024, 7):
-        windows = format_windows(d, budget=1024, block=block)
-        got = windows.collect()
+    rows += (crowd := [(None, k % 6, "assistant" if k % 2 else "user", f"{k * 7919 % 2000} words and more") for k in range(2000)])
+    d = d.unionByName(spark.createDataFrame(crowd, "conv_id bigint, turn bigint, role string, text string"), allowMissingColumns=True)
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for ranges in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            placed = chat_windows._placed(d, Scratch(spark, "test"))
+            crowded = placed.where("conv_id is null").groupBy("block").count().agg(F.max("count"), F.count("*")).first()
+            windows = format_windows(d, budget=1024)
+            got = windows.collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert ranges == 1 or (crowded[0] < 300 and crowded[1] > 10)  # one conversation, few turn numbers, many ranges
+        seen.append(sorted((r.conv_id or 0, r.window_no, r.n_repeated, r.formatted) for r in got))
+        # history reaches over the borders of ranges, so the windows are the same however the turns are dealt out
+        assert seen[0] == seen[-1] and any(r.n_repeated == 2 for r in got if r.conv_id is None)
         assert all(r.n_tokens <= 1024 for r in got if r.conv_id != 2) and len({(r.conv_id, r.window_no) for r in got}) == len(got)
         assert all(("s " * 400) in r.formatted for r in got if r.conv_id == 1) and sum(r.n_repeated > 1 for r in got if r.conv_id == 1) > 1
         back = {r.conv_id: r for r in read_back(windows).collect()}
