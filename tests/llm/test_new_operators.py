@@ -282,3 +282,109 @@ def test_exact_embeddings_miss_no_link_at_the_threshold(spark):
     rows = [(2 * i + k, [float(y) for y in x], i % 2) for i, two in enumerate(zip(v, pairs)) for k, x in enumerate(two)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=16, exact=True).collect()}
     assert got == {i: (1, i - i % 2) for i in range(300)}
+
+
+# ---- url templates
+
+
+def plain_templates(urls, rules, support=3, share=0.005, prior=0.2, weight=4.0, z=1.96, threshold=0.8):
+    """url -> (template, purity, verdict) for paths of letters: the tree by recursion over whole lists."""
+    from urllib.parse import urlsplit
+
+    out = {}
+    hosts = defaultdict(Counter)
+    for u in urls:
+        x = urlsplit(u)
+        hosts[x.netloc][tuple(s for s in x.path.split("/") if s)] += 1
+
+    def label(path):
+        fits = [(len(p), kind) for kind, p in rules if ("/" + "/".join(path) + "/").startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def grow(host, paths, level, template, node, purity, alike):
+        n, m = sum(c for _, c in paths), sum(c for p, c in paths if label(p))
+        b = sum(c for p, c in paths if label(p) == "block")
+        purity = (b + weight * purity) / (m + weight)
+        done = defaultdict(list)
+        go = []
+        for p, c in paths:
+            if len(p) <= level:
+                done[template].append((p, c))
+            elif n < support or not m:
+                done[template + "/**"].append((p, c))
+            elif alike:
+                done[template + "/" + "/".join(p[level:])].append((p, c))
+            else:
+                go.append((p, c))
+        for t, ps in done.items():
+            lm, lb = sum(c for p, c in ps if label(p)), sum(c for p, c in ps if label(p) == "block")
+            own = (lb + weight * purity) / (lm + weight)
+            for p, _ in ps:
+                out[host, p] = (t or "/", own, "block" if own >= threshold and lm else "allow")
+        kids = defaultdict(list)
+        for p, c in go:
+            kids[p[level]].append((p, c))
+        pn = sum(c for _, c in go)
+        kinds = defaultdict(list)
+        bins = defaultdict(list)
+        for seg, ps in kids.items():
+            kn, km = sum(c for _, c in ps), sum(c for p, c in ps if label(p))
+            if kn < support or kn < share * pn:
+                kinds["*"].append(seg)
+            elif km:
+                bins[min(31, int(sum(c for p, c in ps if label(p) == "block") / km * 32))].append(seg)
+            else:
+                kinds["=", frozenset(p[level + 1] if len(p) > level + 1 else "" for p, _ in ps)].append(seg)
+        cluster, cb, cm = 0, 0, 0
+        for k in sorted(bins):
+            ps = [x for seg in bins[k] for x in kids[seg]]
+            xb, xm = sum(c for p, c in ps if label(p) == "block"), sum(c for p, c in ps if label(p))
+            pooled = (cb + xb) / (cm + xm)
+            if cm and abs(xb / xm - cb / cm) > z * math.sqrt(pooled * (1 - pooled) * (1 / cm + 1 / xm)):
+                cluster, cb, cm = cluster + 1, 0, 0
+            cb, cm = cb + xb, cm + xm
+            kinds["~", cluster] += bins[k]
+        for kind, segs in kinds.items():
+            name = "*" if kind == "*" else segs[0] if len(segs) == 1 else kind[0] + min(segs)
+            ps = [x for seg in segs for x in kids[seg]]
+            grow(host, ps, level + 1, f"{template}/{name}", None, purity, len({p[level + 1 :] for p, _ in ps}) == 1)
+
+    for host, paths in hosts.items():
+        grow(host, list(paths.items()), 0, "", None, prior, False)
+    return {u: out[urlsplit(u).netloc, tuple(s for s in urlsplit(u).path.split("/") if s)] for u in urls}
+
+
+def test_templates_against_a_plain_tree(spark):
+    from assetlens.llm.url_templates import judge_urls
+
+    r = np.random.default_rng(9)
+    word = lambda k: "".join(chr(97 + d) for d in divmod(int(k), 26))
+    # the paths ruled by /x/ and /y/ are labels; deeper parts follow with them or apart from them
+    rules = [("allow", "/q/"), ("block", "/q/bad/"), ("block", "/q/s/z/"), ("block", "/x/")]
+    urls = [f"http://h{r.integers(0, 2)}.com/" + "/".join(r.choice(["q", "x", "bad", "s", "z", word(r.integers(0, 200))]) for _ in range(r.integers(0, 6))) for _ in range(3000)]
+    urls += [f"http://h0.com/q/s/{r.choice(['z', 'w'])}/{word(r.integers(0, 40))}" for _ in range(600)] + [f"http://h0.com/q/{r.choice(['bad', 'fine'])}/{word(k)}/page" for k in range(40) for _ in range(4)]
+    urls = [u.rstrip("/") + "/" for u in urls]  # a rule fits the whole segment then, as the plain version has it
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    both = tuple((kind, "com", path) for kind, path in rules)
+    want = plain_templates(urls, rules)
+    got = judge_urls(pages, both).where("rule is null").collect()
+    assert len(got) > 1000
+    for x in got:
+        t, purity, verdict = want[urls[x.page_id]]
+        assert (x.template, x.verdict) == (t, verdict) and x.template_purity == pytest.approx(purity), (urls[x.page_id], x, t)
+
+
+def test_like_siblings_merge_and_deep_paths_are_cheap(spark):
+    from assetlens.llm.url_templates import judge_urls, template_verdicts
+
+    word = lambda k: "".join(chr(97 + d) for d in divmod(k, 26))
+    rows = [("h", ["top", f"b{word(k)}"], "block") for k in range(40) for _ in range(5)] + [("h", ["top", f"a{word(k)}"], "allow") for k in range(40) for _ in range(5)]
+    judged = spark.createDataFrame(rows + [("h", ["top", "once"], None)], "host string, shape array<string>, rule_verdict string")
+    got = {(tuple(r.shape), r.template, r.template_verdict) for r in template_verdicts(judged, share=0.0).collect()}
+    assert {(t, v) for _, t, v in got} == {("/top/~aaa", "allow"), ("/top/~baa", "block"), ("/top/*", "allow")}
+    deep = [(k, "http://d.com/" + "/".join(f"s{word(j)}" for j in range(200))) for k in range(3)] + [(3, None)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "deep")
+    assert judge_urls(spark.createDataFrame(deep, "page_id bigint, url string"), (("block", "d.com", "/sab/"),)).count() == 4
+    assert len(jobs.getJobIdsForGroup("deep")) < 30
+    spark.sparkContext.setJobGroup("", "")
