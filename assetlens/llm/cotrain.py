@@ -184,7 +184,7 @@ def co_train(pool: Sample, good: np.ndarray, surest: Surest, rounds: int = 3, ad
             rows, y = known[1 - view]
             known[1 - view] = (np.append(rows, np.array([place[h] for h in named[view]], rows.dtype)), np.append(y, list(named[view].values())))
         views = pool.views()
-    # one half of the held rows calibrates and mixes the views, the other sets the threshold
+    # one half of the held rows calibrates and mixes the views, the other sets the threshold; if a half lacks a label, all of them do both
     halves = held[::2], held[1::2]
     if any(len(set(good[part].tolist())) < 2 for part in halves):
         halves = held, held
@@ -268,20 +268,22 @@ def score(docs: DataFrame, model: CoModel | None, others: tuple[str, ...] = ("do
     schema = f"{kinds}, text_score double, meta_score double, score double, kept boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    sent = [*others, *(c for c in _FEATURES if c not in others)]  # no column twice: texts are most of what goes to Python
+    text, *meta_at = (sent.index(c) for c in _FEATURES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, texts in text_chunks(batches, 0):
+        for batch, texts in text_chunks(batches, text):
             if m is None:
                 p, limit = np.ones((3, len(texts))), 0.0
             else:
                 of, col, shares = text_features(texts)
-                meta = meta_columns(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+                meta = meta_columns(*(batch.column(k).to_pylist() for k in meta_at))
                 n, limit = len(texts), m.threshold
                 p = m.scores(Rows(n, 1 << BITS, of, col, shares).margins(m.text), Rows(n, META, np.repeat(np.arange(n), 3), meta.ravel()).margins(m.meta))
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(x) for x in p), pa.array(p[2] >= limit)], names=[*others, "text_score", "meta_score", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(x) for x in p), pa.array(p[2] >= limit)], names=[*others, "text_score", "meta_score", "score", "kept"])
 
-    columns = [F.col("text").alias("_t"), F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("n_chars").alias("_n")]
-    return docs.select(*columns, *others).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> DataFrame:

@@ -388,3 +388,100 @@ def test_like_siblings_merge_and_deep_paths_are_cheap(spark):
     assert judge_urls(spark.createDataFrame(deep, "page_id bigint, url string"), (("block", "d.com", "/sab/"),)).count() == 4
     assert len(jobs.getJobIdsForGroup("deep")) < 30
     spark.sparkContext.setJobGroup("", "")
+
+
+# ---- co-training
+
+
+def adam(x, y, weight, ridge, penalty=1e-3, steps=150, rate=0.1):
+    """Logistic weights by Adam; ridge: how many leading columns (all but the last, a one) are penalised."""
+    w, m, v = np.zeros((3, x.shape[1]))
+    total = max(weight.sum(), 1e-9)
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - y) / total)
+        g[:ridge] += penalty * w[:ridge]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def plain_co_training(rows, good, rounds, added, confidence):
+    """rows: key, text, lang, source, n_chars of each distinct document; good: label by key. What each round names per view, and the final scores and threshold."""
+    one = lambda n: np.ones((n, 1))
+    words = [set(re.findall("[a-z]+", t.lower())) for _, t, *_ in rows]
+    names = sorted(set().union(*words))
+    ones = np.array([[w in own for w in names] for own in words], float)
+    count = lambda t, chars: sum(c in chars for c in t)
+    capitals, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shares = np.array([[math.log1p(100 * count(t, c) / max(len(t), 1)) for c in ("#*$%&|<>", capitals, "!?", digits)] + [2 * len(own) / max(len(re.findall("[a-z]+", t.lower())), 1), math.log1p(max(len(re.findall("[a-z]+", t.lower())), 1)) / 4] for (_, t, *_), own in zip(rows, words)])
+    kinds = [[f"lang:{a}", f"source:{b}", f"size:{int(math.log2(n + 1))}"] for _, _, a, b, n in rows]
+    meta = np.array([[k in own for k in sorted(set(sum(kinds, [])))] for own in kinds], float)
+    at = {row[0]: i for i, row in enumerate(rows)}
+    pool = [at[k] for k in sorted(good)]
+    y = {i: float(good[rows[i][0]]) for i in pool}
+    held, train = pool[::3], [i for k, i in enumerate(pool) if k % 3]
+    known = [{i: y[i] for i in train}, {i: y[i] for i in train}]
+    named_by_round = []
+    for k in range(rounds + 1):
+        often = ones[pool].sum(0) >= 4
+        x = np.hstack([ones * often, shares, one(len(rows))]), np.hstack([meta, one(len(rows))])
+        models = []
+        for v in (0, 1):
+            i, t = list(known[v]), np.array(list(known[v].values()))
+            share = np.clip(t.mean(), 0.01, 0.99)
+            models.append(adam(x[v][i], t, np.where(t == 1, 0.5 / share, 0.5 / (1 - share)), x[v].shape[1] - 1))
+        if k == rounds:
+            break
+        named = []
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-np.clip(x[v] @ models[v], -30, 30)))
+            free = [i for i in range(len(rows)) if rows[i][0] not in good and i not in known[1 - v] and abs(p[i] - 0.5) > confidence - 0.5]
+            free.sort(key=lambda i: (-abs(p[i] - 0.5), rows[i][0]))
+            named.append({rows[i][0]: float(p[i] > 0.5) for i in free[: max(1, int(added * len(train)))]})
+        named_by_round.append(named)
+        if not any(named):
+            break
+        for v in (0, 1):
+            known[1 - v] |= {at[h]: t for h, t in named[v].items()}
+        pool += sorted({at[h] for n in named for h in n} - set(pool), key=lambda i: rows[i][0])
+    return named_by_round, models, x, held, y
+
+
+def test_co_training_round_by_round(spark, monkeypatch):
+    from assetlens.llm import cotrain
+
+    r = np.random.default_rng(12)
+    vocabulary = ["apple", "bread", "cloud", "drift", "ember", "flint", "grain", "hazel"]
+    made, labels = [], []
+    for k in range(420):
+        bad = bool(r.random() < 0.4)
+        text = " ".join(r.choice(vocabulary, int(r.integers(5, 30)))) + (" junk #" * int(r.integers(0, 3)) if bad else " Fine." * int(r.integers(0, 2)))
+        lang, source = ("en" if r.random() < 0.7 else "de"), ("spam" if bad and r.random() < 0.7 else "news")
+        made.append((k, text, lang, source, len(text)))
+        if k < 150:
+            labels.append((k, int(not bad), 0))
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = [tuple(x)[1:] for x in cotrain._keyed(docs).select("doc_id", "_h", "text", "lang", "source", "n_chars").collect()]
+    key = {x.doc_id: x._h for x in cotrain._keyed(docs).collect()}
+    seen, inner = [], cotrain.surest_unlabelled
+    monkeypatch.setattr(cotrain, "surest_unlabelled", lambda *a: seen.append(inner(*a)) or seen[-1])
+    model = cotrain.fit(docs, lab, confidence=0.8, rounds=2, added=0.2)
+    want, models, x, held, y = plain_co_training(rows, {key[d]: q for d, q, _ in labels}, 2, 0.2, 0.8)
+    assert [named for named, _ in seen] == want and all(len(n) > 5 for named in want for n in named)
+    # the views are calibrated on one half of the held rows, the threshold is set on the other
+    t = np.array([y[i] for i in held])
+    margins = [xv[held] @ mv for xv, mv in zip(x, models)]
+    maps = [adam(np.c_[m[::2], np.ones(len(m[::2]))], t[::2], np.ones(len(t[::2])), 1, 1e-4, 400, 0.05) for m in margins]
+    assert np.allclose(model.views, maps, atol=1e-6)
+    both = np.stack([m * a + b for m, (a, b) in zip(margins, maps)], 1)
+    mix = adam(np.c_[both[::2], np.ones(len(t[::2]))], t[::2], np.ones(len(t[::2])), 2, 1e-4, 400, 0.05)
+    assert np.allclose(model.mix, mix, atol=1e-6)
+    p = 1 / (1 + np.exp(-(both[1::2] @ mix[:2] + mix[2])))
+    gain = lambda c: (p[t[1::2] == 1] >= c).mean() + (p[t[1::2] == 0] < c).mean()
+    assert gain(model.threshold) == pytest.approx(max(gain(c) for c in [0, *np.sort(p) + 1e-9]), abs=0.02)
+    scores = {s.doc_id: s for s in cotrain.score(docs, model).collect()}
+    every = np.stack([xv @ mv * a + b for xv, mv, (a, b) in zip(x, models, maps)], 1)
+    plain = dict(zip([row[0] for row in rows], 1 / (1 + np.exp(-(every @ mix[:2] + mix[2])))))
+    assert all(scores[d].score == pytest.approx(plain[key[d]], abs=1e-6) and scores[d].kept == (scores[d].score >= model.threshold) for d in key)
