@@ -132,7 +132,7 @@ def attach_unique(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 GRAM, CELL = 6, 1_000
 
 
-def name_hits(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 100_000) -> DataFrame:
+def name_hits(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 300) -> DataFrame:
     """Distinct block and name where the block contains the name, whatever stands beside it. Null and empty names are in no block.
 
     Up to `most` names are broadcast. More are joined with the blocks on a gram (see _shared_gram); either way contains() decides.
@@ -144,7 +144,7 @@ def name_hits(blocks: DataFrame, names: DataFrame, block: str, name: str, most:
     return hits.select(F.col("_b").alias(block), F.col("_n").alias(name))
 
 
-def name_in_text(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 100_000) -> DataFrame:
+def name_in_text(blocks: DataFrame, names: DataFrame, block: str, name: str, most: int = 300) -> DataFrame:
     """Blocks that hold exactly one name, with it. The answer doesn't depend on `most` (see name_hits)."""
     hits = name_hits(blocks, names, block, name, most)
     one = hits.groupBy(block).agg(F.min(name).alias(name), F.max(name).alias("_hi")).where(F.col(name) == F.col("_hi"))

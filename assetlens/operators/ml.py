@@ -19,7 +19,7 @@ from assetlens.scratch import Scratch, written
 
 
 #: Suffixes of columns made from a source column: filled numbers and one-hot levels.
-FILLED, HOT = "__f", "__h"
+FILLED, HOT, INDEX = "::filled", "::hot", "::index"
 
 
 def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -69,7 +69,7 @@ def feature_stages(numeric: list[str], categorical: list[str], grams: str | None
         stages += [Imputer(inputCols=numeric, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__num", handleInvalid="keep"), StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True)]
         parts.append("__scaled")
     if categorical:
-        index, hot = [f"{c}__i" for c in categorical], [f"{c}{HOT}" for c in categorical]
+        index, hot = [f"{c}{INDEX}" for c in categorical], [f"{c}{HOT}" for c in categorical]
         stages += [StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False)]
         parts += hot
     if grams:
@@ -174,7 +174,7 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     attrs = model.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
     values = model.stages[-1].featureImportances.toArray()
-    hot = [c.removesuffix("__i") for s in model.stages if hasattr(s, "labelsArray") for c in s.getOutputCols()]
+    hot = [c.removesuffix(INDEX) for s in model.stages if hasattr(s, "labelsArray") for c in s.getOutputCols()]
     filled = [c.removesuffix(FILLED) for s in model.stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
     # slots of scaled numbers are numbered in the order of the columns; a level's slot starts with its column's name, the longest that fits
     sources = {f"__scaled_{i}": c for i, c in enumerate(filled)}

@@ -109,10 +109,10 @@ def table_metadata(tables: Column, labels: tuple[str, ...] = (), last_wins: bool
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cells) - 1, F.lit(1))), lambda i: F.struct((F.get(cells, i - 1) if labels else F.regexp_replace(F.get(cells, i - 1), "[:：]+$", "")).alias("k"), F.get(cells, i).alias("v")))
     pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != ""))
     pairs = F.filter(pairs, lambda p: p["k"].isin(*labels)) if labels else F.filter(pairs, lambda p: (F.char_length(p["k"]) <= most) & (p["v"] != ""))
-    ordered = F.reverse(pairs) if last_wins else pairs
-    keys = F.array_distinct(F.transform(ordered, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(ordered, lambda p: p["k"] == k), 1)["v"])
-    return F.map_from_arrays(keys, values)
+    # sorted by label and place, the first of each label's run is the one that counts
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i if last_wins else i).alias("at"), p["v"].alias("v"))))
+    runs = F.transform(F.array(placed), lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
+    return F.map_from_entries(F.transform(F.get(runs, F.lit(0)), lambda p: F.struct(p["k"], p["v"])))
 
 
 def link_records(parsed: DataFrame, key: str, id_param: str = "id") -> DataFrame:

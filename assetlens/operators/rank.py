@@ -23,6 +23,10 @@ def _match(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
     return out
 
 
+#: Most distinct values (of all metrics and groups) that are added up as they are, in one window per metric and group; more are dealt out by ranges first.
+FEW = 100_000
+
+
 def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """One row per distinct value: metric, k0.. (the values of by), value, lo (rows with a smaller one), ties, n (rows with one)."""
     scratch = Scratch(df.sparkSession, "ranks")
@@ -30,11 +34,14 @@ def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), to_number(c).alias("value")) for c in columns]))
     long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], cells.alias("c")).select("c.metric", *keys, "c.value").where("value is not null")
     counts = scratch.written(long.groupBy("metric", *keys, "value").agg(F.count(F.lit(1)).alias("ties")), "counts")
+    group = W.partitionBy("metric", *keys)
+    if counts.count() <= FEW:
+        upto = F.sum("ties").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+        return counts.select("metric", *keys, "value", (upto - F.col("ties")).alias("lo"), "ties", F.sum("ties").over(group).alias("n"))
     order = ["metric", *keys, "value"]
     dealt = scratch.written(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "values")
     scratch.drop("counts")
     per = dealt.groupBy("metric", *keys, "range").agg(F.sum("ties").alias("s"))
-    group = W.partitionBy("metric", *keys)
     below = per.select(
         F.col("metric").alias("_m"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("range").alias("_r"),
         F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"), F.sum("s").over(group).alias("n"),
