@@ -12,7 +12,7 @@ from assetlens.functions import hooks
 from assetlens.functions import text as T
 from assetlens.operators import merge, profile, quality, rank, scores, sensitivity, stats
 from assetlens.plans.registry import ORACLES, QUERIES, query, rounded
-from assetlens.plans.views import ASSET, DIMENSIONS, DIMS, SCORED, asset_dimensions, asset_usage, p01, scored_assets, table
+from assetlens.plans.views import ASSET, DIMENSIONS, DIMS, SCORED, WEIGHTS, asset_dimensions, asset_usage, p01, scored_assets, table
 from assetlens.scratch import written
 from assetlens.streaming import monitor
 
@@ -365,7 +365,18 @@ def k3_selection_frequency(spark, sf):
     return sensitivity.selection_frequency(scored_assets(spark, sf), _GRID, "potential", "actual").select("asset_id", "times_selected")
 
 
-@query("k4_weight_perturbation", None)
+def _perturbation_sql() -> str:
+    """The draws' factors are seeded and don't depend on the weights, so SQL can apply the same ones to the weights that it finds."""
+    draws = sensitivity.perturbed_weights(dict.fromkeys(DIMENSIONS, 1.0), [0.1, 0.2], 200, 42)
+    rows = ",".join(f"('{n}',{','.join(f'{w[c]!r}' for c in DIMENSIONS)})" for n, w in draws)
+    avg = lambda x: f"rank() OVER (PARTITION BY draw ORDER BY {x})+(count(*) OVER (PARTITION BY draw,{x})-1)/2.0"
+    return f"""WITH {ASSET}, {DIMS}, {WEIGHTS}, f AS (SELECT draw, f1::DOUBLE AS f1, f2::DOUBLE AS f2, f3::DOUBLE AS f3 FROM (VALUES {rows}) v(draw,f1,f2,f3)),
+ x AS (SELECT draw, size_score*w1+price_score*w2+name_score*w3 AS b, (size_score*w1*f1+price_score*w2*f2+name_score*w3*f3)/(w1*f1+w2*f2+w3*f3) AS s FROM dims, wt, f),
+ r AS (SELECT draw, {avg('b')} AS rb, {avg('s')} AS rs, rank() OVER (PARTITION BY draw ORDER BY b DESC) AS kb, rank() OVER (PARTITION BY draw ORDER BY s DESC) AS ks, count(*) OVER (PARTITION BY draw) AS n FROM x)
+ SELECT draw, round(corr(rs,rb),6) AS spearman, round(sum((kb<=ceil(n*0.1) AND ks<=ceil(n*0.1))::INT)/ceil(max(n)*0.1),6) AS top_10_overlap, round(sum((kb<=ceil(n*0.3) AND ks<=ceil(n*0.3))::INT)/ceil(max(n)*0.3),6) AS top_30_overlap FROM r GROUP BY 1"""
+
+
+@query("k4_weight_perturbation", _perturbation_sql())
 def k4_weight_perturbation(spark, sf):
     d = written(asset_dimensions(spark, sf), "dimensions")
     base = {r.dimension: r.weight for r in scores.critic_weights(d, list(DIMENSIONS)).collect()}
