@@ -89,10 +89,8 @@ class Words:
 KEPT: list[Callable[[], None]] = []
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty. A worker that comes from another operator lets go of what that kept."""
-    for forget in KEPT:
-        forget()
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty."""
     for whole in batches:
         for row in range(0, whole.num_rows, ROWS):
             batch = whole.slice(row, ROWS)
@@ -103,3 +101,10 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tu
                 if size >= CHUNK or k == len(texts) - 1:
                     yield batch.slice(at, k + 1 - at), texts[at : k + 1]
                     at, size = k + 1, 0
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """slices(); a worker that comes from another operator lets go of what that kept."""
+    for forget in KEPT:
+        forget()
+    yield from slices(batches, text)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assetlens.llm._words import KEPT
+from assetlens.llm._words import KEPT, slices
 
 #: Words and stems kept per worker in each of two generations, and the longest that is kept.
 CACHE, LONG = 400_000, 64
@@ -243,9 +243,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], tokenizer_file: str, closi
     key_type = pa.int64()
     for batch in batches:
         key_type = batch.schema.field(0).type
-        for k in range(0, batch.num_rows, 128):
-            part = batch.slice(k, 128)
-            texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+        for part, texts in slices(iter([batch])):
             for key, ids in zip(part.column(0).to_pylist(), e.encode(texts)):
                 ids += closing_bytes
                 held.append([key, ids, 0])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assetlens.llm._words import KEPT
+from assetlens.llm._words import KEPT, slices
 
 MARK = "▁"
 #: Segments kept per worker in each of two generations, and the longest that is kept or runs in lockstep.
@@ -236,11 +236,9 @@ def encoder(model_file: str) -> PieceEncoder:
     return _encoders[model_file]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.Array, list[str]]]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            part = batch.slice(k, rows)
-            yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    for part, texts in slices(batches):
+        yield part.column(0), [t.decode() for t in texts]
 
 
 def encode_ids(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
