@@ -153,7 +153,7 @@ def fold_models(df: DataFrame, key: str, makes: dict[str, Callable[[], Pipeline]
     folded = scratch.written(folded, "rows")
     jobs = [(name, f) for name in makes for f in range(k)]
     with ThreadPoolExecutor(threads) as pool:
-        waiting = [pool.submit(inheritable_thread_target(lambda name=name, f=f: makes[name]().fit(folded.where(F.col("fold") != f)))) for name, f in jobs]
+        waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(lambda name=name, f=f: makes[name]().fit(folded.where(F.col("fold") != f)))) for name, f in jobs]
         models = {job: w.result() for job, w in zip(jobs, waiting)}
     out = None
     for (name, f), model in models.items():

@@ -123,13 +123,19 @@ def cuts(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
 
 
 def in_order(df: DataFrame, *order, sums: tuple[str, ...] = ()) -> DataFrame:
-    """df in a global order, with _no (1..n) and, for each column of sums, _sum_<column> (its running sum).
+    """df with _no (1..n in a global order) and, for each column of sums, _sum_<column> (its running sum).
 
-    Rows are dealt out by ranges of the order, which should end with a distinct column; what lies before a range is a table of one row per range.
+    df is written, so it should hold what the order needs and no more. Up to FEW rows are numbered in one window; more are dealt out by ranges of the order, which should
+    end with a distinct column, and what lies before a range is a table of one row per range.
     """
     scratch = Scratch(df.sparkSession, "order")
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    d = scratch.written(d.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rows")
+    d = scratch.written(df, "rows")
+    if d.count() <= FEW:
+        upto = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return d.withColumns({"_no": F.row_number().over(W.orderBy(*order)).cast("long")} | {f"_sum_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums})
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = scratch.written(d.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
+    scratch.drop("rows")
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     per = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
     per = per.select("_range", "_first", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_before{x}") for x in ("_c", *[f"_s_{c}" for c in sums])])
@@ -140,9 +146,13 @@ def in_order(df: DataFrame, *order, sums: tuple[str, ...] = ()) -> DataFrame:
 
 
 def first_rank(df: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:
-    """1..n by score descending, ties by tie ascending; null without a score."""
+    """1..n by score descending, ties by tie ascending; null without a score. Only score and tie are put in order; rows equal in both share out their places."""
     v = to_number(score)
-    return in_order(df, v.desc_nulls_last(), F.asc(tie)).withColumn(out, F.when(v.isNotNull(), F.col("_no"))).drop("_no")
+    places = in_order(df.select(v.alias("_v"), F.col(tie).alias("_t")), F.col("_v").desc_nulls_last(), F.asc("_t"))
+    first = places.where("_v is not null").groupBy("_v", "_t").agg(F.min("_no").alias("_no"), F.count(F.lit(1)).alias("_c"))
+    d = df.join(first, (v == F.col("_v")) & F.col(tie).eqNullSafe(F.col("_t")), "left")
+    again = F.row_number().over(W.partitionBy("_v", "_t").orderBy("_no")) - 1 if not first.where("_c > 1").isEmpty() else F.lit(0)
+    return d.withColumn(out, F.col("_no") + F.when(F.col("_no").isNotNull(), again)).drop("_v", "_t", "_no", "_c")
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -182,7 +192,8 @@ def latest(df: DataFrame, time: str, n: int, tie: str) -> DataFrame:
 
 def batches(df: DataFrame, order: str, size: int, out: str = "batch") -> DataFrame:
     """Number of each block of `size` rows in the order of a column with distinct values; nulls have none."""
-    return in_order(df, F.col(order).asc_nulls_last()).withColumn(out, F.when(F.col(order).isNotNull(), F.floor((F.col("_no") - 1) / size))).drop("_no")
+    places = in_order(df.where(F.col(order).isNotNull()).select(F.col(order).alias("_o")), F.asc("_o")).groupBy("_o").agg(F.min("_no").alias("_no"))
+    return df.join(places, F.col(order) == F.col("_o"), "left").withColumn(out, F.floor((F.col("_no") - 1) / size)).drop("_o", "_no")
 
 
 def rolling_mean_alert(df: DataFrame, by: tuple[str, ...], order: str, value: str, width: int, threshold: float) -> DataFrame:

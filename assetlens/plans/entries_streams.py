@@ -35,13 +35,16 @@ def m1_growing_table(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("m2_count_windows", "SELECT user_id, floor(count(*)/20)::BIGINT AS windows, (floor(count(*)/20)*20)::BIGINT AS rows FROM events GROUP BY 1 HAVING count(*)>=20")
+@query("m2_count_windows", "SELECT user_id, floor(count(*)/20)::BIGINT AS windows, (floor(count(*)/20)*20)::BIGINT AS rows, CASE WHEN count(*)%20=0 THEN sum((event_type<>'error')::INT) END::BIGINT AS good_rows FROM events GROUP BY 1 HAVING count(*)>=20")
 def m2_count_windows(spark, sf):
     folder = _log_files(spark, sf)
     s = monitor.growing_table(spark, f"{folder}/in", table(spark, sf, "events").schema, 1).withColumn("good", (F.col("event_type") != "error").cast("int"))
     out = monitor.count_windows(s, "user_id", 20, "good")
     _ended(out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out"))
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("rows").alias("rows"))
+    found = spark.read.schema(out.schema).parquet(f"{folder}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("rows").alias("rows"), F.sum("good_rows").alias("good"))
+    # where windows take up all of a user's rows their good rows don't hang on the order of arrival
+    whole = table(spark, sf, "events").groupBy("user_id").agg((F.count(F.lit(1)) % 20 == 0).alias("whole"))
+    return found.join(whole, "user_id").select("user_id", "windows", "rows", F.when(F.col("whole"), F.col("good")).alias("good_rows"))
 
 
 @query("m6_upsert_stream", "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type,event_id) AS status, arg_max(value,event_id) FILTER (event_type<>'error') AS amount FROM events GROUP BY 1")

@@ -164,3 +164,24 @@ def test_early_stopping_ends_at_the_best_round(spark):
     errors = stopped.errors(frame)
     assert len(errors) == 12 and stopped.fit(frame).getNumTrees == errors.index(min(errors)) + 1 < 12
     assert ml.EarlyStopped(ml.boosted_trees(rounds=2, depth=2)).fit(frame.withColumn("validation", F.lit(False))).getNumTrees == 2
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_first_rank_batches_and_running_sums_at_every_size(spark, monkeypatch, few):
+    monkeypatch.setattr(rank, "FEW", few)
+    r = random.Random(7)
+    rows = [(k, r.choice([None, *map(float, range(20))]), "wide" * 10) for k in range(200)]
+    d = spark.createDataFrame(rows, "id int, x double, other string").repartition(3)
+    got = {q.id: q["rank"] for q in rank.first_rank(d, "x", "id").collect()}
+    order = sorted((row for row in rows if row[1] is not None), key=lambda row: (-row[1], row[0]))
+    assert got == {row[0]: None for row in rows} | {row[0]: k + 1 for k, row in enumerate(order)}
+    twice = rank.first_rank(spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 2.0), (2, 2.0), (None, 1.0), (3, None)], "id int, x double"), "x", "id").collect()
+    assert sorted((q["rank"] or 0, q.id or 0) for q in twice) == [(0, 3), (1, 1), (2, 1), (3, 1), (4, 2), (5, 0)]
+    b = {q.id: q.batch for q in rank.batches(d.withColumn("id2", F.when(F.col("id") > 4, F.col("id"))), "id2", 50).collect()}
+    assert b == {k: None if k < 5 else (k - 5) // 50 for k in range(200)}
+    sums = rank.cumulative_share(d.where("x is not null").groupBy("x").count(), "count", F.asc("x")).orderBy("x").collect()
+    total = 0
+    for q in sums:
+        total += q["count"]
+        assert q.cumulative_count == total
+    assert sums[-1].cumulative_share == pytest.approx(1)
