@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,18 +11,23 @@ from pyspark.sql import types as T
 from assetlens.functions.catalog import require_columns
 from assetlens.functions.text import normalize_id
 
+_log = logging.getLogger(__name__)
 CATALOG_COLUMNS = ("row_no", "department", "asset_id", "name", "domain", "open_condition", "view_count", "download_count", "api_call_count", "description", "resource_type", "status", "update_frequency", "open_attribute", "first_publish_date", "last_update_date")
 
 
-def read_text_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A CSV with a header, every column a string; a byte order mark before the first name is dropped; the key is normalised."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_text_table(spark: SparkSession, path: str, key: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header, every column a string; a byte order mark before the first name is dropped; the key is normalised.
+
+    Cells may hold line breaks, which makes a file one task. Where none do, multi_line=False lets Spark split large files.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     return df.withColumn(key, normalize_id(key)) if key else df
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+def read_typed(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header and a schema; multi_line as in read_text_table()."""
+    return spark.read.csv(path, header=True, schema=schema, multiLine=multi_line, escape='"')
 
 
 def as_catalog(df: DataFrame, key: str = "asset_id", columns=CATALOG_COLUMNS) -> DataFrame:
@@ -57,7 +64,7 @@ def find_table(spark: SparkSession, folder: str, required, preferred: str = "*.p
             try:
                 df = spark.read.parquet(path) if ".csv" not in path else read_text_table(spark, path)
             except Exception as unreadable:  # noqa: BLE001  whatever a reader says about a foreign file, it isn't the table
-                spark.sparkContext.setJobDescription(f"passed over {path}: {type(unreadable).__name__}")
+                _log.info("passed over %s: %s", path, type(unreadable).__name__)
                 continue
             if set(required) <= set(df.columns):
                 return df

@@ -185,3 +185,17 @@ def test_first_rank_batches_and_running_sums_at_every_size(spark, monkeypatch, f
         total += q["count"]
         assert q.cumulative_count == total
     assert sums[-1].cumulative_share == pytest.approx(1)
+
+
+def test_text_tables_by_whole_files_and_by_lines(spark, tmp_path):
+    from assetlens.sources import tables
+
+    (tmp_path / "t.csv").write_text("\ufeffid,name\n 7.0 ,\"a, \"\"b\"\"\"\n8,c\n", encoding="utf-8")
+    for multi_line in (True, False):
+        got = tables.read_text_table(spark, str(tmp_path / "t.csv"), "id", multi_line)
+        assert got.columns == ["id", "name"] and sorted(tuple(r) for r in got.collect()) == [("7", 'a, "b"'), ("8", "c")]
+        assert tables.read_typed(spark, str(tmp_path / "t.csv"), "id string, name string", multi_line).count() == 2
+    (tmp_path / "broken.parquet").write_text("no parquet")
+    spark.sparkContext.setJobDescription("mine")
+    assert tables.find_table(spark, str(tmp_path), ("id", "name")).count() == 2
+    assert spark.sparkContext.getLocalProperty("spark.job.description") == "mine"
