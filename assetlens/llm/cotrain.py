@@ -258,6 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, confidence: fl
     keys = rows.select("_h").orderBy("_h").limit(sample)
     pool, good = _features(rows.join(F.broadcast(keys), "_h"), "good")
     model = co_train(pool, good, lambda models, most, known: surest_unlabelled(docs, judged, models, most, known, confidence), **options)
+    del pool
+    pa.default_memory_pool().release_unused()  # the sample's memory: what runs next in this driver may need it
     scratch.close()
     return model
 
