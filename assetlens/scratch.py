@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, tasks: int = 0) -> DataFrame:
+    """The rows dealt out evenly over so many tasks, else four per core and at least 32. A file is cut no finer than its row groups, so one task may have all rows of a compact one."""
+    return df.repartition(tasks or max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """The tables of one job, in a folder of their own: drop() one once it has been used up, close() removes all."""
 
