@@ -161,7 +161,8 @@ def _grams(c: str, lengths) -> Column:
 def _shared_gram(b: DataFrame, n: DataFrame) -> DataFrame:
     """Pairs of _b and _n where _b contains _n, by a join on that gram of the name which the fewest blocks have.
 
-    Grams have GRAM characters, or all of a shorter name. A gram that many blocks or names have is dealt out in cells.
+    Grams have GRAM characters, or all of a shorter name. A gram that many blocks or names have is dealt out in cells. The joins
+    are shuffled whatever Spark expects: it takes exploded grams for no more than the texts, and those for their files' bytes.
     """
     size = F.least(F.char_length("_n"), F.lit(GRAM))
     lengths = sorted(r[0] for r in n.select(size.alias("k")).distinct().collect())  # at most GRAM numbers
@@ -169,14 +170,14 @@ def _shared_gram(b: DataFrame, n: DataFrame) -> DataFrame:
     mine = n.select("_n", F.explode(own).alias("_g"))
     theirs = b.select(F.xxhash64("_b").alias("_id"), F.explode(_grams("_b", lengths)).alias("_g"))
     in_blocks = theirs.groupBy("_g").agg(F.count(F.lit(1)).alias("_nb"))
-    chosen = mine.join(in_blocks, "_g").groupBy("_n").agg(F.min_by(F.struct("_g", "_nb"), F.struct("_nb", "_g")).alias("x")).select("_n", "x._g", "x._nb")
+    chosen = mine.join(in_blocks.hint("merge"), "_g").groupBy("_n").agg(F.min_by(F.struct("_g", "_nb"), F.struct("_nb", "_g")).alias("x")).select("_n", "x._g", "x._nb")
     cells = chosen.groupBy("_g").agg(F.ceil(F.max("_nb") / CELL).cast("int").alias("_s"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_t"))
     deal = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = theirs.join(cells, "_g").select("_g", "_id", F.pmod("_id", "_s").cast("int").alias("_i"), deal("_t").alias("_j"))
-    right = chosen.join(cells, "_g").select("_g", "_n", F.pmod(F.xxhash64("_n"), "_t").cast("int").alias("_j"), deal("_s").alias("_i"))
-    pairs = left.join(right, ["_g", "_i", "_j"]).select("_id", "_n")
+    left = theirs.join(cells.hint("merge"), "_g").select("_g", "_id", F.pmod("_id", "_s").cast("int").alias("_i"), deal("_t").alias("_j"))
+    right = chosen.join(cells.hint("merge"), "_g").select("_g", "_n", F.pmod(F.xxhash64("_n"), "_t").cast("int").alias("_j"), deal("_s").alias("_i"))
+    pairs = left.join(right.hint("merge"), ["_g", "_i", "_j"]).select("_id", "_n")
     # ids may clash: each text of an id is looked at, and a pair stays only if the text contains the name
-    return b.withColumn("_id", F.xxhash64("_b")).join(pairs, "_id").where(F.contains("_b", "_n")).select("_b", "_n")
+    return b.withColumn("_id", F.xxhash64("_b")).join(pairs.hint("merge"), "_id").where(F.contains("_b", "_n")).select("_b", "_n")
 
 
 def strict_subset(new: str, old: str) -> Column:

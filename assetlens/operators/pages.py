@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetlens.functions import text as T
 from assetlens.operators.merge import name_hits
+from assetlens.scratch import Scratch
 
 PARTS = "title string, headings array<string>, links array<struct<href:string,text:string,block:string>>, tables array<array<array<string>>>, body string"
 #: Elements that end a line of text, and those whose content is no text.
@@ -127,14 +128,18 @@ def name_records(parsed: DataFrame, names: DataFrame, key: str, asset_id: str =
     """key, block, formats, match_count and asset_id: the fallback for pages of which no link with an id has formats.
 
     A block starts at a line of 4 to 80 characters; those that name formats count. asset_id is set where exactly one id's name
-    is in the block, else the block is unmatched; names are a table of asset_id and name.
+    is in the block, else the block is unmatched; names are a table of asset_id and name. Pages are parsed once, their blocks
+    and the names written; all joins are shuffled, as Spark takes what it has not yet seen for smaller than it is.
     """
+    scratch = Scratch(parsed.sparkSession, "names")
+    parsed = scratch.written(parsed.select(key, "links", "body"), "pages")
     done = link_records(parsed, key, id_param).where(F.size("formats") > 0).select(key).distinct()
-    blocks = parsed.select(key, "body").join(done, key, "left_anti").select(key, F.explode(F.split("body", r"\n(?=[^\n]{4,80}(?:\n|$))")).alias("block"))
-    blocks = blocks.withColumn("formats", T.formats_in_text("block")).where(F.size("formats") > 0)
-    ids = names.select(F.col(asset_id).alias("asset_id"), F.col(name).alias("_name")).where("asset_id is not null").distinct()
-    found = name_hits(blocks, ids, "block", "_name").join(ids, "_name").groupBy("block").agg(F.countDistinct("asset_id").alias("match_count"), F.min("asset_id").alias("asset_id"))
-    out = blocks.join(found, "block", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
+    blocks = parsed.select(key, "body").join(done.hint("merge"), key, "left_anti").select(key, F.explode(F.split("body", r"\n(?=[^\n]{4,80}(?:\n|$))")).alias("block"))
+    blocks = scratch.written(blocks.withColumn("formats", T.formats_in_text("block")).where(F.size("formats") > 0), "blocks")
+    scratch.drop("pages")
+    ids = scratch.written(names.select(F.col(asset_id).alias("asset_id"), F.col(name).alias("_name")).where("asset_id is not null").distinct(), "ids")
+    found = name_hits(blocks, ids, "block", "_name").join(ids.hint("merge"), "_name").groupBy("block").agg(F.countDistinct("asset_id").alias("match_count"), F.min("asset_id").alias("asset_id"))
+    out = blocks.join(found.hint("merge"), "block", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)))
     return out.select(key, "block", "formats", "match_count", F.when(F.col("match_count") == 1, F.col("asset_id")).alias("asset_id"))
 
 
