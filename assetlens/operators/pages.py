@@ -83,9 +83,12 @@ class _Page(HTMLParser):
         return {"title": " ".join(self.title.split()), "headings": self.headings, "links": links, "tables": [t for t in tables if t], "body": "\n".join(x for x in lines if x)}
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and PARTS for each page. Null html gives empty parts; broken html what the parser makes of it."""
-    kind = pages.select(key).schema[key].dataType.simpleString()
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep and PARTS for each page. Null html gives empty parts; broken html what the parser makes of it.
+
+    A task parses the pages of one partition, so what compact files hold should be spread() first.
+    """
+    kinds_of = {f.name: f.dataType.simpleString() for f in pages.select(key, *keep).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = pa.list_(pa.list_(pa.list_(pa.string())))
@@ -93,15 +96,20 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for text in part.column(1).to_pylist():
+                for text in part.column(part.num_columns - 1).to_pylist():
                     p = _Page()
                     p.feed(text or "")
                     p.close()
                     rows.append(p.row())
                 kinds = {"title": pa.string(), "headings": pa.list_(pa.string()), "links": link, "tables": cell, "body": pa.string()}
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in kinds.items()]], names=[key, *kinds])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array([r[k] for r in rows], t) for k, t in kinds.items()]], names=[*kinds_of, *kinds])
+
+    return pages.select(key, *keep, html).mapInArrow(run, ", ".join([*[f"`{c}` {k}" for c, k in kinds_of.items()], PARTS]))
+
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {PARTS}")
+def written_title(html: str) -> Column:
+    """The title as it is written in the page, of whose character references only &amp; is read: other references, and those without a semicolon, stay."""
+    return F.replace(F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), F.lit("&amp;"), F.lit("&"))
 
 
 def table_metadata(tables: Column, labels: tuple[str, ...] = (), last_wins: bool = False, most: int = 30) -> Column:
