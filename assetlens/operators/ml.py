@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from assetlens.functions.text import to_number
 from assetlens.operators.profile import MISSING, seeded_sample
-from assetlens.scratch import Scratch, written
+from assetlens.scratch import Scratch, spread, written
 
 
 #: Suffixes of columns made from a source column: filled numbers and one-hot levels.
@@ -121,6 +121,11 @@ class EarlyStopped(Estimator):
         return self.model.copy({self.model.maxIter: best}).fit(df)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows to fit on, an even share per core: a table of a few MB is one partition when it is read, and a fit makes as many tasks as there are partitions."""
+    return spread(df, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_pipeline(df: DataFrame, stages: list, model) -> PipelineModel:
     return Pipeline(stages=[*stages, model]).fit(df)
 
@@ -150,7 +155,7 @@ def fold_models(df: DataFrame, key: str, makes: dict[str, Callable[[], Pipeline]
     if inner:
         folded = folded.withColumn("validation", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1000)) < int(1000 * inner))
     scratch = Scratch(df.sparkSession, "folds")
-    folded = scratch.written(folded, "rows")
+    folded = dealt(scratch.written(folded, "rows"))
     jobs = [(name, f) for name in makes for f in range(k)]
     with ThreadPoolExecutor(threads) as pool:
         waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(lambda name=name, f=f: makes[name]().fit(folded.where(F.col("fold") != f)))) for name, f in jobs]
@@ -200,11 +205,23 @@ def importance_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"))
 
 
+def inputs(model: PipelineModel, df: DataFrame) -> list[str]:
+    """The columns of df that a fitted pipeline reads; all of them if a stage doesn't say what it reads."""
+    used = []
+    for stage in model.stages:
+        own = [stage.getOrDefault(p) for p in ("inputCol", "inputCols", "featuresCol") if stage.hasParam(p) and stage.isDefined(p)]
+        if not own:
+            return df.columns
+        used += [c for x in own for c in ([x] if isinstance(x, str) else x)]
+    return [c for c in df.columns if c in used]
+
+
 def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, key: str, sample: int | None = 1800, points: int = 21, top: int = 12, seed: int = 42) -> DataFrame:
     """feature, value and mean prediction over rows whose feature is set to each grid value: a seeded sample, or all rows for None.
 
     The grid is part of the contract: the two values of a column that has no more, else quantiles from 5 to 95 % at `points` places; of a text
     column its `top` most frequent values. So it has at most max(points, top) rows, whatever the table's size, and is broadcast.
+    Rows that are alike in all the model reads but the feature are predicted once and count as many.
     """
     s = seeded_sample(df, key, sample, seed) if sample is not None else df
     kind = dict(df.dtypes)[feature]
@@ -218,8 +235,10 @@ def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, key: s
         else:
             q = [0.05 + 0.9 * i / (points - 1) for i in range(points)]
             grid = df.agg(F.percentile_approx(v, q, 10_000).alias("q")).select(F.explode(F.array_distinct("q")).alias("_g"))
-    crossed = s.drop(feature).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_g").cast(kind))
-    return model.transform(crossed).groupBy(F.col("_g").cast("string").alias("value")).agg(F.avg("prediction").alias("mean_prediction")).select(F.lit(feature).alias("feature"), "value", "mean_prediction")
+    alike = s.groupBy(*[c for c in inputs(model, s) if c != feature]).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    crossed = spread(alike).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_g").cast(kind))
+    mean = F.sum(F.col("prediction") * F.col("_rows")) / F.sum("_rows")
+    return model.transform(crossed).groupBy(F.col("_g").cast("string").alias("value")).agg(mean.alias("mean_prediction")).select(F.lit(feature).alias("feature"), "value", "mean_prediction")
 
 
 def shapley(model: PipelineModel, df: DataFrame, features: list[str], key: str, rows: int = 200, background: int = 10, permutations: int = 4, seed: int = 7) -> DataFrame:

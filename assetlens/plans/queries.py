@@ -534,7 +534,7 @@ def p2_out_of_fold_ridge(spark, sf):
 def p17_partial_dependence(spark, sf):
     from assetlens.operators import ml
 
-    d = _model_frame(spark, sf)
+    d = ml.dealt(written(_model_frame(spark, sf), "model-frame"))
     model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.random_forest())
     return ml.partial_dependence(model, d, "price", "asset_id", sample=None)
 
