@@ -27,17 +27,22 @@ def _match(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
 FEW = 100_000
 
 
-def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per distinct value: metric, k0.. (the values of by), value, lo (rows with a smaller one), ties, n (rows with one)."""
+def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), weight: str | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct value: metric, k0.. (the values of by), value, lo (rows with a smaller one), ties, n (rows with one).
+
+    A row counts as many as `weight` says; the sums of the columns in `sums` over a value's rows come along.
+    """
     scratch = Scratch(df.sparkSession, "ranks")
     keys = [f"k{i}" for i in range(len(by))]
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), to_number(c).alias("value")) for c in columns]))
-    long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], cells.alias("c")).select("c.metric", *keys, "c.value").where("value is not null")
-    counts = scratch.written(long.groupBy("metric", *keys, "value").agg(F.count(F.lit(1)).alias("ties")), "counts")
+    long = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *([F.col(weight).alias("_w")] if weight else []), *sums, cells.alias("c"))
+    long = long.select("c.metric", *keys, "c.value", *(["_w"] if weight else []), *sums).where("value is not null")
+    ties = F.sum("_w") if weight else F.count(F.lit(1))
+    counts = scratch.written(long.groupBy("metric", *keys, "value").agg(ties.alias("ties"), *[F.sum(c).alias(c) for c in sums]), "counts")
     group = W.partitionBy("metric", *keys)
     if counts.count() <= FEW:
         upto = F.sum("ties").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-        return counts.select("metric", *keys, "value", (upto - F.col("ties")).alias("lo"), "ties", F.sum("ties").over(group).alias("n"))
+        return counts.select("metric", *keys, "value", (upto - F.col("ties")).alias("lo"), "ties", F.sum("ties").over(group).alias("n"), *sums)
     order = ["metric", *keys, "value"]
     dealt = scratch.written(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "values")
     scratch.drop("counts")
@@ -49,12 +54,12 @@ def ranked_values(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -
     inside = W.partitionBy("metric", *keys, "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     out = dealt.withColumn("upto", F.sum("ties").over(inside))
     out = out.join(below, _match(("metric", *keys, "range"), ("_m", *[f"_{k}" for k in keys], "_r")))
-    return out.select("metric", *keys, "value", (F.col("_below") + F.col("upto") - F.col("ties")).alias("lo"), "ties", "n")
+    return out.select("metric", *keys, "value", (F.col("_below") + F.col("upto") - F.col("ties")).alias("lo"), "ties", "n", *sums)
 
 
-def with_ranks_of(df: DataFrame, prefixes: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+def with_ranks_of(df: DataFrame, prefixes: dict[str, str], by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """prefixes: prefix -> column. Adds <prefix>lo, <prefix>ties and <prefix>n for all of them from one pass; null where the column is."""
-    values = ranked_values(df, list(dict.fromkeys(prefixes.values())), by)
+    values = ranked_values(df, list(dict.fromkeys(prefixes.values())), by, weight)
     keys = [f"k{i}" for i in range(len(by))]
     for p, c in prefixes.items():
         one = values.where(F.col("metric") == c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_v"), *[F.col(x).alias(p + x) for x in ("lo", "ties", "n")])
@@ -62,9 +67,9 @@ def with_ranks_of(df: DataFrame, prefixes: dict[str, str], by: tuple[str, ...] =
     return df
 
 
-def with_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
-    """Adds, for rows with a value: <prefix>lo (rows with a smaller one), <prefix>ties, <prefix>n (rows with one); null for others."""
-    return with_ranks_of(df, {prefix: value}, by)
+def with_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", weight: str | None = None) -> DataFrame:
+    """Adds, for rows with a value: <prefix>lo (rows with a smaller one), <prefix>ties, <prefix>n (rows with one); null for others. Rows count as `weight` says."""
+    return with_ranks_of(df, {prefix: value}, by, weight)
 
 
 def average_rank(prefix: str = "") -> Column:

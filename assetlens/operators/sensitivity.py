@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import clip01, to_number
-from assetlens.operators.rank import add_percentile, add_percentiles, cuts, min_rank, with_ranks
+from assetlens.operators.rank import add_percentile, add_percentiles, cuts, min_rank, ranked_values, with_ranks
 from assetlens.operators.scores import is_candidate
+from assetlens.scratch import spread, written
 
 Scenario = tuple[str, float, float, float]
 
@@ -58,22 +59,31 @@ def perturbed_weights(base: dict[str, float], amplitudes: list[float], draws: in
 
 
 def weight_scenarios(df: DataFrame, key: str, base: dict[str, float], draws: list[tuple[str, dict[str, float]]], shares: tuple[float, ...] = (0.1, 0.3)) -> DataFrame:
-    """Per draw: Spearman with the base score and the overlap of the best rows. Draws are a small literal table."""
+    """Per draw: Spearman with the base score and the overlap of the best rows. Draws are a small literal table.
+
+    Rows with the same values have the same score in every draw, so they are one class that counts as many. What the base
+    ranks add up to over a score's rows comes along with the score, so nothing is joined back to rows and draws.
+    """
     used = list(dict.fromkeys([*base, *[c for _, w in draws for c in w]]))
     at = {c: k for k, c in enumerate(used)}
-    own = df.select(key, *[clip01(c).alias(f"_c{k}") for c, k in at.items()])
-    own = own.withColumn("base", sum((F.col(f"_c{at[c]}") * v for c, v in base.items()), F.lit(0.0)))
-    own = with_ranks(own, "base", prefix="b_")  # the same in every draw
+    own = df.select(*[clip01(c).alias(f"_c{k}") for c, k in at.items()]).groupBy(*[f"_c{k}" for k in at.values()]).agg(F.count(F.lit(1)).alias("_rows"))
+    own = written(own.withColumn("base", sum((F.col(f"_c{at[c]}") * v for c, v in base.items()), F.lit(0.0))), "classes")
+    own = with_ranks(own, "base", prefix="b_", weight="_rows")  # the same in every draw
+    # ranks are taken from their mean, which is that of 1..n whatever the ties
+    centred = lambda p: F.col(f"{p}lo") + (F.col(f"{p}ties") + 1) / 2 - (F.col(f"{p}n") + 1) / 2
+    best = lambda p, share: F.col(f"{p}n") - F.col(f"{p}lo") - F.col(f"{p}ties") < F.greatest(F.lit(1), F.ceil(F.col(f"{p}n") * share))
+    tops = {f"_top{i}": share for i, share in enumerate(shares)}
+    own = own.withColumns({"_b": centred("b_") * F.col("_rows"), "_bb": centred("b_") * centred("b_") * F.col("_rows"), **{c: F.when(best("b_", p), F.col("_rows")).otherwise(0) for c, p in tops.items()}})
     table = df.sparkSession.createDataFrame([(n, *[float(w[c]) if c in w else None for c in used]) for n, w in draws], ", ".join(["draw string", *[f"_w{k} double" for k in at.values()]]))
     parts = [F.when(F.col(f"_w{k}").isNull(), 0.0).otherwise(F.col(f"_c{k}") * F.col(f"_w{k}")) for k in at.values()]
-    d = own.crossJoin(F.broadcast(table)).select(key, "draw", "base", "b_lo", "b_ties", "b_n", sum(parts, F.lit(0.0)).alias("score"))
-    d = with_ranks(d, "score", ("draw",), prefix="s_")
-    rs, rb = F.col("s_lo") + (F.col("s_ties") + 1) / 2, F.col("b_lo") + (F.col("b_ties") + 1) / 2
-    aggs = [F.corr(rs, rb).alias("spearman")]
-    for p in shares:
-        k = F.greatest(F.lit(1), F.ceil(F.col("s_n") * p))
-        top = (F.col("s_n") - F.col("s_lo") - F.col("s_ties") < k) & (F.col("b_n") - F.col("b_lo") - F.col("b_ties") < k)
-        aggs.append((F.sum(top.cast("int")) / F.max(k)).alias(f"top_{round(100 * p)}_overlap"))
+    carried = ("_b", "_bb", *tops)
+    d = spread(own).crossJoin(F.broadcast(table)).select("draw", "_rows", *carried, sum(parts, F.lit(0.0)).alias("score"))
+    d = ranked_values(d, ["score"], ("draw",), "_rows", carried).withColumnRenamed("k0", "draw")
+    r = centred("")
+    aggs = [F.try_divide(F.sum(r * F.col("_b")), F.sqrt(F.sum(r * r * F.col("ties")) * F.sum("_bb"))).alias("spearman")]
+    for c, p in tops.items():
+        k = F.greatest(F.lit(1), F.ceil(F.col("n") * p))
+        aggs.append((F.sum(F.when(best("", p), F.col(c)).otherwise(0)) / F.max(k)).alias(f"top_{round(100 * p)}_overlap"))
     return d.groupBy("draw").agg(*aggs)
 
 
