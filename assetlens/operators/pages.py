@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,10 +16,19 @@ from assetlens.functions import text as T
 from assetlens.operators.merge import name_hits
 from assetlens.scratch import Scratch
 
-PARTS = "title string, headings array<string>, links array<struct<href:string,text:string,block:string>>, tables array<array<array<string>>>, body string"
+PARTS = {"title": "string", "headings": "array<string>", "links": "array<struct<href:string,text:string,block:string>>", "tables": "array<array<array<string>>>", "body": "string"}
 #: Elements that end a line of text, and those whose content is no text.
 BREAKS = frozenset(("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "ul", "ol", "table", "header", "footer"))
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
+#: Elements that hold no tags, in any version of the parser, and those that hold none in some; what may be a tag, and one of plain form.
+RAW = frozenset(("script", "style"))
+ODD = frozenset(("textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "listing"))
+MARKS = re.compile("(<[^>]*>)")
+PLAIN_TAG = re.compile(r'<(/?)([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][a-zA-Z0-9_-]*="[^"<>]*")*)>')
+PLAIN_COMMENT = re.compile("<!--[^<>-]*-->")
+ATTRIBUTE = re.compile(r' ([^=]*)="([^"]*)"')
+#: Most tags that a task keeps as they were read.
+TAGS_KEPT = 4096
 
 
 class _Page(HTMLParser):
@@ -76,35 +88,114 @@ class _Page(HTMLParser):
     def _text(self, at: int) -> str:
         return " ".join("".join(self.out[at:]).split())
 
-    def row(self) -> dict:
-        lines = (" ".join(x.split()) for x in "".join(self.out).split("\n"))
-        tables = [[r for r in t if any(c.strip() for c in r)] for t in self.tables]
-        links = [{"href": a, "text": b, "block": c} for a, b, c in self.links]
-        return {"title": " ".join(self.title.split()), "headings": self.headings, "links": links, "tables": [t for t in tables if t], "body": "\n".join(x for x in lines if x)}
+    def part(self, name: str):
+        if name == "body":
+            lines = (" ".join(x.split()) for x in "".join(self.out).split("\n"))
+            return "\n".join(x for x in lines if x)
+        if name == "tables":
+            tables = [[r for r in t if any(c.strip() for c in r)] for t in self.tables]
+            return [t for t in tables if t]
+        return " ".join(self.title.split()) if name == "title" else getattr(self, name)
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns to keep and PARTS for each page. Null html gives empty parts; broken html what the parser makes of it.
+class _Tag(HTMLParser):
+    """The tag of a text that is one start tag."""
+
+    def handle_starttag(self, tag, attrs):
+        self.found = ("", tag, attrs)
+
+
+def _plain_tag(mark: str) -> tuple[str, str, list]:
+    """A slash for an end tag, the name and the attributes; a name that is empty if the tag isn't plain."""
+    m = PLAIN_TAG.fullmatch(mark)
+    if m is None or (m[1] and m[3]) or (name := m[2].lower()) in ODD:
+        return "", "", []
+    if "&" in m[3]:  # how references in values are read is the library's own
+        t = _Tag()
+        t.feed(mark)
+        return t.found
+    return m[1], name, [(a.lower(), v) for a, v in ATTRIBUTE.findall(m[3])]
+
+
+def _plain_page(html: str, tags: dict) -> _Page | None:
+    """The page if all of its tags are plain: the calls that HTMLParser would make, without its search for each kind of mark. None if any is not."""
+    p, raw = _Page(), ""
+    for k, x in enumerate(MARKS.split(html)):  # texts and marks in turn
+        if not x:
+            continue
+        if raw:
+            if x.lower() == f"</{raw}>":
+                p.handle_endtag(raw)
+                raw = ""
+            elif "<!" in x or ("</" in x and raw in x.lower()):
+                return None
+            else:
+                p.handle_data(x)
+        elif k % 2 == 0:
+            if "<" in x:
+                return None
+            p.handle_data(unescape(x) if "&" in x else x)
+        else:
+            if (tag := tags.get(x)) is None:
+                if len(tags) >= TAGS_KEPT:
+                    tags.clear()
+                tag = tags[x] = _plain_tag(x)
+            end, name, attrs = tag
+            if not name:
+                if k == 1 and x.lower() == "<!doctype html>" or not p.inside and PLAIN_COMMENT.fullmatch(x):
+                    continue
+                return None
+            if end:
+                p.handle_endtag(name)
+            elif p.inside:
+                return None
+            else:
+                p.handle_starttag(name, attrs)
+                raw = name if name in RAW else ""
+    return None if raw or p.inside else p
+
+
+def read_page(html: str, tags: dict) -> _Page:
+    """The page as HTMLParser reads it; pages of plain tags are read by a shorter way. tags keeps the tags that were seen."""
+    p = _plain_page(html, tags)
+    if p is None:
+        p = _Page()
+        p.feed(html)
+        p.close()
+    return p
+
+
+def _lists(values: list, depth: int) -> pa.Array:
+    """Texts in lists of lists, from one flat column and its offsets."""
+    if not depth:
+        return pa.array(values, pa.string())
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, values), initial=0), pa.int32()), _lists(list(chain.from_iterable(values)), depth - 1))
+
+
+def _column(values: list, name: str) -> pa.Array:
+    if name != "links":
+        return _lists(values, {"headings": 1, "tables": 3}.get(name, 0))
+    flat = list(chain.from_iterable(values))
+    links = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in range(3)], names=["href", "text", "block"])
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, values), initial=0), pa.int32()), links)
+
+
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = (), parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """key, the columns to keep and the parts (all of PARTS, or those that are named) of each page. Null html gives empty parts; broken html what the parser makes of it.
 
     A task parses the pages of one partition, so what compact files hold should be spread() first.
     """
     kinds_of = {f.name: f.dataType.simpleString() for f in pages.select(key, *keep).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.list_(pa.list_(pa.list_(pa.string())))
-        link = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("block", pa.string())]))
+        tags: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    p = _Page()
-                    p.feed(text or "")
-                    p.close()
-                    rows.append(p.row())
-                kinds = {"title": pa.string(), "headings": pa.list_(pa.string()), "links": link, "tables": cell, "body": pa.string()}
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array([r[k] for r in rows], t) for k, t in kinds.items()]], names=[*kinds_of, *kinds])
+                part = batch.slice(at, 256)
+                read = [read_page(text or "", tags) for text in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[_column([p.part(c) for p in read], c) for c in parts]], names=[*kinds_of, *parts])
 
-    return pages.select(key, *keep, html).mapInArrow(run, ", ".join([*[f"`{c}` {k}" for c, k in kinds_of.items()], PARTS]))
+    return pages.select(key, *keep, html).mapInArrow(run, ", ".join([f"`{c}` {k}" for c, k in kinds_of.items()] + [f"{c} {PARTS[c]}" for c in parts]))
 
 
 def written_title(html: str) -> Column:
@@ -114,14 +205,16 @@ def written_title(html: str) -> Column:
 
 def table_metadata(tables: Column, labels: tuple[str, ...] = (), last_wins: bool = False, most: int = 30) -> Column:
     """Map of label to value from cells that follow each other, in a row or over its end. Of a label's values that aren't empty the first counts; or, for given labels, the last."""
-    cells = F.flatten(F.flatten(tables))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cells) - 1, F.lit(1))), lambda i: F.struct((F.get(cells, i - 1) if labels else F.regexp_replace(F.get(cells, i - 1), "[:：]+$", "")).alias("k"), F.get(cells, i).alias("v")))
+    def neighbours(cells):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(cells) - 1, F.lit(1))), lambda i: F.struct((F.get(cells, i - 1) if labels else F.regexp_replace(F.get(cells, i - 1), "[:：]+$", "")).alias("k"), F.get(cells, i).alias("v")))
+
+    pairs = T.bound(F.flatten(F.flatten(tables)), neighbours)
     pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != ""))
     pairs = F.filter(pairs, lambda p: p["k"].isin(*labels)) if labels else F.filter(pairs, lambda p: (F.char_length(p["k"]) <= most) & (p["v"] != ""))
     # sorted by label and place, the first of each label's run is the one that counts
     placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i if last_wins else i).alias("at"), p["v"].alias("v"))))
-    runs = F.transform(F.array(placed), lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
-    return F.map_from_entries(F.transform(F.get(runs, F.lit(0)), lambda p: F.struct(p["k"], p["v"])))
+    runs = T.bound(placed, lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
+    return F.map_from_entries(F.transform(runs, lambda p: F.struct(p["k"], p["v"])))
 
 
 def link_records(parsed: DataFrame, key: str, id_param: str = "id") -> DataFrame:
@@ -162,23 +255,30 @@ def detail_links(parsed: DataFrame, keyword: str, host: str | None = None) -> Da
 
 def field_info(tables: Column, name_words=("name", "field", "字段名称", "参数名"), text_words=("description", "说明", "字段描述"), banned=T.FIELD_BANNED, hints=T.FIELD_HINTS) -> Column:
     """names, described and headers from the first table with a name column; a table that is only a header lends it to the next one."""
-    sized = F.filter(tables, lambda t: F.size(t) > 0)
-    joined = F.transform(sized, lambda t, i: F.when((i > 0) & (F.size(F.get(sized, i - 1)) == 1), F.concat(F.get(sized, i - 1), t)).otherwise(t))
     place = lambda row, words: F.array_position(F.transform(row, lambda c: F.lower(c).rlike(T.quoted([w.lower() for w in words]))), True)
-    found = F.filter(joined, lambda t: (place(F.get(t, F.lit(0)), name_words) > 0) & (F.size(t) > 1))
-    t = F.get(found, F.lit(0))
-    at, told = place(F.get(t, F.lit(0)), name_words), place(F.get(t, F.lit(0)), text_words)
-    rows = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
-    names = F.filter(F.transform(rows, lambda r: F.get(r, at.cast("int") - 1)), lambda x: x.isNotNull() & T.looks_like_field_name(x, banned, hints))
-    described = F.size(F.filter(rows, lambda r: (told > 0) & (F.coalesce(F.get(r, told.cast("int") - 1), F.lit("")) != "")))
-    headers = F.filter(F.get(F.get(sized, F.lit(0)), F.lit(0)), lambda x: T.looks_like_field_name(x, banned, hints))
     empty = F.array().cast("array<string>")
-    return F.struct(F.array_sort(F.array_distinct(F.coalesce(names, empty))).alias("names"), F.coalesce(F.when(t.isNotNull(), described), F.lit(0)).alias("described"), F.when(t.isNull(), F.coalesce(headers, empty)).otherwise(empty).alias("headers"))
+
+    def of_table(t):
+        rows = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+        at = F.struct(place(F.get(t, F.lit(0)), name_words).cast("int").alias("name"), place(F.get(t, F.lit(0)), text_words).cast("int").alias("told"))
+        names = T.bound(at, lambda at: F.transform(rows, lambda r: F.get(r, at["name"] - 1)))
+        names = F.filter(names, lambda x: x.isNotNull() & T.looks_like_field_name(x, banned, hints))
+        described = T.bound(at, lambda at: F.size(F.filter(rows, lambda r: (at["told"] > 0) & (F.coalesce(F.get(r, at["told"] - 1), F.lit("")) != ""))))
+        return F.struct(F.array_sort(F.array_distinct(names)).alias("names"), described.alias("described"), empty.alias("headers"))
+
+    def of_tables(sized):
+        joined = F.transform(sized, lambda t, i: F.when((i > 0) & (F.size(F.get(sized, i - 1)) == 1), F.concat(F.get(sized, i - 1), t)).otherwise(t))
+        found = F.slice(F.filter(joined, lambda t: (F.size(t) > 1) & (place(F.get(t, F.lit(0)), name_words) > 0)), 1, 1)
+        headers = F.filter(F.get(F.get(sized, F.lit(0)), F.lit(0)), lambda x: T.looks_like_field_name(x, banned, hints))
+        without = F.struct(empty.alias("names"), F.lit(0).alias("described"), F.coalesce(headers, empty).alias("headers"))
+        return T.bound(found, lambda f: F.when(F.size(f) > 0, T.bound(F.get(f, F.lit(0)), of_table)).otherwise(without))
+
+    return T.bound(F.filter(tables, lambda t: F.size(t) > 0), of_tables)
 
 
 def detail_record(pages: DataFrame, key: str = "page_id", gone_markers: tuple[str, ...] = (), labels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One record per page: status, formats, fields, values by label (table first, then text), usage counters and service links."""
-    p = parse_pages(pages, key)
+    p = parse_pages(pages, key, parts=("title", "links", "tables", "body"))
     meta = table_metadata(F.col("tables"))
     p = p.withColumns({"meta": meta, "fields": field_info(F.col("tables")), "formats": T.formats_in_text(F.col("body")), "urls": T.service_urls(F.col("body")), "usage": T.usage_counts(F.col("body"))})
     gone = T.contains_any(F.col("body"), gone_markers) if gone_markers else F.lit(False)
