@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame
 
 from assetlens.llm._words import KEPT, slices
 
-#: Words and stems kept per worker in each of two generations, and the longest that is kept.
+#: Words kept per worker in each of two generations, and the longest that is kept.
 CACHE, LONG = 400_000, 64
-#: A word of letters, and one of letters and then other signs that the tokenizer treats as a second part.
-LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|()]*)")
+#: A word of letters, and one of letters and then other signs that the tokenizer treats as a second part; the first form is for lower-cased ASCII. Marks are no letters, and the tokenizer makes them of U+0130 and of letters that aren't NFC.
+ASCII_LETTERS = re.compile(rb"([a-z]+)([.,;:!?#*$%&|()]*)")
+LETTERS = re.compile(r"([^\W\d_\u0130]+)([.,;:!?#*$%&|()]*)")
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -61,7 +63,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.words, self.stems = Kept(CACHE), Kept(CACHE)
+        self.words = Kept(CACHE)  # a stem of letters is a word as well, so both are in one cache
         vocab = self.library.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -72,39 +74,47 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _single(self, stems: list[str]) -> list[bytes]:
+    def _single(self, stems: list[bytes]) -> list[bytes]:
         """Ids of words that are one part each, encoded as one text: each part ends with the only token that closes it."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(stems):
-            return self._whole(stems)
+            return self._whole([w.decode() for w in stems])
         raw, stops = ids.tobytes(), (4 * stops).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def _learn(self, missing: set[bytes], words: dict, own: dict) -> None:
-        stems, older, split, odd = self.stems.turn(), self.stems.old, {}, []
-        new: dict[str, None] = {}
+        older, split, odd = self.words.old, {}, []
+        new: dict[bytes, None] = {}
         for w in missing:
-            if (ids := self.words.old.get(w)) is not None:
+            if (ids := older.get(w)) is not None:
                 words[w] = ids
                 continue
-            m = LETTERS.fullmatch(w.decode()) if len(w) < LONG else None
+            m = None
+            if len(w) < LONG and (m := ASCII_LETTERS.fullmatch(w)) is None and not w.isascii() and is_normalized("NFC", t := w.decode()):
+                m = LETTERS.fullmatch(t)
             if m is None:
                 odd.append(w)
                 continue
-            split[w] = m.groups()
-            for part in split[w]:
-                if part and part not in stems:
-                    if part in older:
-                        stems[part] = older[part]
+            a, b = m.groups()
+            if not b:
+                new[w] = None
+                continue
+            if type(a) is str:
+                a, b = a.encode(), b.encode()
+            split[w] = a, b
+            for part in (a, b):
+                if part not in words:
+                    if (ids := older.get(part)) is not None:
+                        words[part] = ids
                     else:
                         new[part] = None
-        new_stems = list(new)
-        for k in range(0, len(new_stems), 500):
-            part = new_stems[k : k + 500]
-            stems.update(zip(part, self._single(part)))
+        stems = list(new)
+        for k in range(0, len(stems), 500):
+            part = stems[k : k + 500]
+            words.update(zip(part, self._single(part)))
         for w, (a, b) in split.items():
-            words[w] = stems[a] + stems[b] if b else stems[a]
+            words[w] = words[a] + words[b]
         for w, ids in zip(odd, self._whole([w.decode() for w in odd])):
             (words if len(w) < LONG else own)[w] = ids
 
@@ -196,6 +206,7 @@ def tail_cuts(n: int, window: int, cut_cost: float) -> list[int]:
 
 
 def pack_partition(batches: Iterator[pa.RecordBatch], tokenizer_file: str, closing: int, window: int, block: int, stride: int, sentence_cost: float, word_cost: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    pa.default_memory_pool().release_unused()  # what an operator before held in this worker
     e = _encoder(tokenizer_file)
     closing_bytes = np.array([closing], "<u4").tobytes()
     number = TaskContext.get().partitionId() << 40
