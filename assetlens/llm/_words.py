@@ -6,6 +6,8 @@ taken as a difference of running sums, then mixed. Windows of words are hashed t
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,20 +91,27 @@ class Words:
 KEPT: list[Callable[[], None]] = []
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with about CHUNK bytes of text each, and their texts; null is empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, chunk: int = CHUNK, rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about `chunk` bytes of text each, and their texts; null is empty."""
     for whole in batches:
-        for row in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(row, ROWS)
+        for row in range(0, whole.num_rows, rows):
+            batch = whole.slice(row, rows)
             texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
             at, size = 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
-                if size >= CHUNK or k == len(texts) - 1:
+                if size >= chunk or k == len(texts) - 1:
                     yield batch.slice(at, k + 1 - at), texts[at : k + 1]
                     at, size = k + 1, 0
 
 
+def give_back() -> None:
+    """What this process has freed, but its allocators keep, goes back to the system: an executor's workers share its memory limit."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """slices(); a worker that comes from another operator lets go of what that kept."""
     for forget in KEPT:

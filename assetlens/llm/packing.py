@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,30 +32,66 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assetlens.llm._words import KEPT, slices
+from assetlens.llm._words import KEPT, give_back, slices
 
-#: Words kept per worker in each of two generations, and the longest that is kept.
-CACHE, LONG = 400_000, 64
-#: A word of letters, and one of letters and then other signs that the tokenizer treats as a second part; the first form is for lower-cased ASCII. Marks are no letters, and the tokenizer makes them of U+0130 and of letters that aren't NFC.
-ASCII_LETTERS = re.compile(rb"([a-z]+)([.,;:!?#*$%&|()]*)")
+#: Parts of words kept per worker in each of two generations, the longest that is kept, and bytes of text that are encoded at once.
+CACHE, LONG, CHUNK = 200_000, 64, 1 << 21
+#: Signs that the tokenizer parts from a letter before them, and two-byte letters that NFC and lower-casing leave letters.
+SIGNS, LATIN = b".,;:!?#*$%&|()", rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: What the tokenizer takes as one part; letters and then signs, which are two. Marks are no letters, and the tokenizer makes them of U+0130 and of letters that aren't NFC.
+ONE_PART = re.compile(rb"(?:[a-z]|%s)+|[%s]+" % (LATIN, SIGNS))
 LETTERS = re.compile(r"([^\W\d_\u0130]+)([.,;:!?#*$%&|()]*)")
+SPACE, LETTER, SIGN, OTHER = range(4)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+_KIND[97:123] = LETTER
+_KIND[list(SIGNS)] = SIGN
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+class Pool:
+    """Runs of ids one after the other: run k is ids[stops[k] : stops[k + 1]]."""
+
+    def __init__(self):
+        self.ids, self.stops, self.n = np.zeros(1 << 14, "<u4"), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Appends runs, and returns their numbers."""
+        n, size = self.n + len(lengths), self.stops[self.n]
+        if n >= len(self.stops):
+            self.stops = np.append(self.stops, np.zeros(n, np.int64))
+        if size + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(size + len(ids), "<u4"))
+        self.ids[size : size + len(ids)] = ids
+        self.stops[self.n + 1 : n + 1] = size + np.cumsum(lengths)
+        numbers, self.n = np.arange(self.n, n), n
+        return numbers
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs with these numbers, and the runs' lengths."""
+        start = self.stops[numbers]
+        lengths = self.stops[numbers + 1] - start
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(start - before, lengths) + np.arange(lengths.sum())], lengths
+
+
 class Kept:
-    """A bounded cache: two generations, the older one dropped when the newer is full."""
+    """A bounded cache: numbers of runs in a pool by word, in two generations, the older one dropped when the newer is full."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.new, self.old, self.pool, self.older = most, {}, {}, Pool(), Pool()
 
-    def turn(self) -> dict:
+    def turn(self) -> None:
         if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        return self.new
+            self.new, self.old, self.pool, self.older = {}, self.new, Pool(), self.pool
 
 
 class WordEncoder:
-    """Token ids of whole texts; a word between blanks has its ids from the library once while it stays in a bounded cache."""
+    """Token ids of whole texts; a part of a word has its ids from the library once while it stays in a bounded cache.
+
+    Texts are cut at blanks and between a letter and a sign, where the tokenizer always cuts; equal parts of many texts are told by
+    Arrow's dictionary encoding, so a part is looked up once per CHUNK of text, and ids are gathered by numpy.
+    """
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -63,85 +100,83 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.words = Kept(CACHE)  # a stem of letters is a word as well, so both are in one cache
+        self.words = Kept(CACHE)
         vocab = self.library.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.sentence_end = np.zeros(len(self.closes), bool)
         self.sentence_end[[vocab[t] for t in (".</w>", "!</w>", "?</w>", "...</w>") if t in vocab]] = True
-        self.special = [t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()]
+        self.special = list({t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()})
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _single(self, stems: list[bytes]) -> list[bytes]:
-        """Ids of words that are one part each, encoded as one text: each part ends with the only token that closes it."""
-        ids = np.array(self.library.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.closes[ids]) + 1
-        if len(stops) != len(stems):
-            return self._whole([w.decode() for w in stems])
-        raw, stops = ids.tobytes(), (4 * stops).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _learn(self, missing: set[bytes], words: dict, own: dict) -> None:
-        older, split, odd = self.words.old, {}, []
-        new: dict[bytes, None] = {}
-        for w in missing:
-            if (ids := older.get(w)) is not None:
-                words[w] = ids
-                continue
-            m = None
-            if len(w) < LONG and (m := ASCII_LETTERS.fullmatch(w)) is None and not w.isascii() and is_normalized("NFC", t := w.decode()):
-                m = LETTERS.fullmatch(t)
-            if m is None:
-                odd.append(w)
-                continue
-            a, b = m.groups()
-            if not b:
-                new[w] = None
-                continue
-            if type(a) is str:
-                a, b = a.encode(), b.encode()
-            split[w] = a, b
-            for part in (a, b):
-                if part not in words:
-                    if (ids := older.get(part)) is not None:
-                        words[part] = ids
-                    else:
-                        new[part] = None
-        stems = list(new)
-        for k in range(0, len(stems), 500):
-            part = stems[k : k + 500]
-            words.update(zip(part, self._single(part)))
-        for w, (a, b) in split.items():
-            words[w] = words[a] + words[b]
-        for w, ids in zip(odd, self._whole([w.decode() for w in odd])):
-            (words if len(w) < LONG else own)[w] = ids
+    def _alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has."""
+        runs = self._whole([w.decode() for w in words])
+        return np.frombuffer(b"".join(runs), "<u4"), np.array([len(r) // 4 for r in runs], np.int64)
+
+    def _joined(self, words: list[bytes], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of so many parts, encoded as one text: each part ends with the only token that closes it."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops, last = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(parts)
+        if len(stops) != last[-1]:
+            return self._alone(words)
+        return ids, np.diff(stops[last - 1], prepend=0)
+
+    def _learn(self, missing: list[bytes]) -> np.ndarray:
+        """Numbers of the runs of words that the newer generation doesn't have. Long words' runs are the pool's last and have no entry."""
+        w, numbers = self.words, np.fromiter(map(self.words.old.get, missing, repeat(-1)), np.int64, len(missing))
+        at = np.flatnonzero(numbers >= 0)
+        groups = [(at, w.older.take(numbers[at]))]
+        known, joined, parts, odd, long = at.tolist(), [], [], [], []
+        for k in np.flatnonzero(numbers < 0).tolist():
+            word = missing[k]
+            if len(word) >= LONG:
+                long.append(k)
+            elif ONE_PART.fullmatch(word):
+                joined.append(k)
+                parts.append(1)
+            elif not word.isascii() and is_normalized("NFC", t := word.decode()) and (m := LETTERS.fullmatch(t)):
+                joined.append(k)
+                parts.append(2 if m[2] else 1)
+            else:
+                odd.append(k)
+        for i in range(0, len(joined), 500):
+            groups.append((joined[i : i + 500], self._joined([missing[k] for k in joined[i : i + 500]], parts[i : i + 500])))
+        groups += [(g, self._alone([missing[k] for k in g])) for g in (odd, long)]
+        for g, (ids, lengths) in groups:
+            numbers[g] = w.pool.add(ids, lengths)
+        for g in (known, joined, odd):
+            w.new.update(zip([missing[k] for k in g], numbers[g].tolist()))
+        return numbers
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids. ASCII letters are lower-cased before the lookup, as the tokenizer itself does."""
-        words, own, cut, missing = self.words.turn(), {}, [], set()
-        out: list = []
-        for raw in texts:
-            if any(s in raw for s in self.special):
-                out.append(self._whole([raw.decode()])[0])
-                cut.append(None)
-                continue
-            parts = raw.lower().split()
-            ids = list(map(words.get, parts))
-            if None in ids:
-                missing.update([w for w, x in zip(parts, ids) if x is None])
-                out.append(None)
-                cut.append(parts)
-            else:
-                out.append(b"".join(ids))
-                cut.append(None)
-        if missing:
-            self._learn(missing, words, own)
-            for k, parts in enumerate(cut):
-                if parts is not None:
-                    out[k] = b"".join([words[w] if w in words else own[w] for w in parts] if own else map(words.__getitem__, parts))
-        return out
+        self.words.turn()
+        special = {k: self._whole([t.decode()])[0] for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        texts = [b"" if k in special else t for k, t in enumerate(texts)]
+        raw = np.frombuffer(b" ".join(texts).lower(), np.uint8)
+        kind = _KIND[raw]
+        inside = kind != SPACE
+        letter = kind == LETTER
+        two = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        letter[two[(raw[two] != 0x97) & (raw[two] != 0xB7)]] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (letter[:-1] & (kind[1:] == SIGN))
+        data = raw[inside]
+        offsets = np.append(np.flatnonzero(begins[inside]), len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.words.new.get, words, repeat(-1)), np.int64, len(words))
+        lacking, pool = np.flatnonzero(numbers < 0), self.words.pool
+        if len(lacking):
+            numbers[lacking] = self._learn([words[k] for k in lacking.tolist()])
+        ids, lengths = pool.take(numbers[parts.indices.to_numpy()])
+        pool.n = len(self.words.new)  # without the long words' runs
+        first = np.searchsorted(np.flatnonzero(begins), np.cumsum([0] + [len(t) + 1 for t in texts]))
+        stops = np.append(0, np.cumsum(lengths))[first].tolist()
+        return [special[k] if k in special else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(stops, stops[1:]))]
 
 
 def candidate_cuts(sizes: np.ndarray, sentence_ends: np.ndarray, stride: int, sentence_cost: float, word_cost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +241,7 @@ def tail_cuts(n: int, window: int, cut_cost: float) -> list[int]:
 
 
 def pack_partition(batches: Iterator[pa.RecordBatch], tokenizer_file: str, closing: int, window: int, block: int, stride: int, sentence_cost: float, word_cost: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    pa.default_memory_pool().release_unused()  # what an operator before held in this worker
+    give_back()  # what an operator before held in this worker
     e = _encoder(tokenizer_file)
     closing_bytes = np.array([closing], "<u4").tobytes()
     number = TaskContext.get().partitionId() << 40
@@ -254,7 +289,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], tokenizer_file: str, closi
     key_type = pa.int64()
     for batch in batches:
         key_type = batch.schema.field(0).type
-        for part, texts in slices(iter([batch])):
+        for part, texts in slices(iter([batch]), chunk=CHUNK, rows=2048):
             for key, ids in zip(part.column(0).to_pylist(), e.encode(texts)):
                 ids += closing_bytes
                 held.append([key, ids, 0])
