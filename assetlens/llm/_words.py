@@ -116,4 +116,5 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tu
     """slices(); a worker that comes from another operator lets go of what that kept."""
     for forget in KEPT:
         forget()
+    give_back()
     yield from slices(batches, text)
