@@ -3,16 +3,17 @@
 1. Every text's set of word shingles is hashed. Counts of shingles in a fixed table (all documents, a few million
    counters) order the shingles from rare to frequent, ties by hash. A document's lead is its first
    n - ceil(percent n / 100) + 8 shingles in that order; two linked documents share 8 shingles of their leads, or as
-   many as the smaller one needs for a link if those are fewer.
-2. Documents with equal sets are one class. Classes that share no lead shingle with another one link with nothing: lead
-   shingles are shuffled once, but for those whose counter is so high that one may be in very many leads; these are counted first and joined.
+   many as either one needs for a link if those are fewer.
+2. Documents with equal sets are one class. A class that shares fewer of its lead shingles than that with classes of like
+   size links with nothing: lead shingles are shuffled once, but for those whose counter is so high that one may be in
+   very many leads; these are counted first and joined.
    Whole sets are made again from the texts for the documents that a later step compares, and only for those.
 3. Each class is checked against one pivot for each of two pairs of min-hashes (a few where very many classes have the
    pair); what links makes the first components.
 4. Classes are put into groups of similar ones, of bounded number and about equal set size: those of a component,
    else those that share their commonest lead shingle; within these, those with the same rarest one. The matrix holds each group's lead shingles, and a group's
    union of whole sets travels with it.
-5. A query meets a group only through enough common lead shingles, in a compatible size, if the group isn't all of the query's own
+5. A query meets a group only through enough common lead shingles (the more, the closer the sizes are: may_link()), in a compatible size, if the group isn't all of the query's own
    component, and from the smaller component's side. If the query has fewer shingles in the union than a link
    needs, the group stays closed; else its members are compared exactly. Links between components join them.
 
@@ -171,6 +172,35 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def shared_leads(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n and leads (at, t, heavy; in order) of the classes that may link: the lead shingles that others of like size have too, if they are enough for a link; written."""
+    lead = reps.select("doc_id", "n", "heavy", F.posexplode("lead").alias("at", "t")).withColumn("heavy", F.col("at") >= F.col("heavy"))
+    # rows of a shingle that few leads can hold meet in one task, and one shuffle tells which are shared; the others are counted and joined
+    sizes = W.partitionBy("t").orderBy("n")
+    light = lead.where("not heavy").drop("heavy").withColumns({"below": F.lag("n").over(sizes), "above": F.lead("n").over(sizes)}).where(f"100 * below >= {percent} * n or 100 * n >= {percent} * above")
+    heavy = lead.where("heavy")
+    common = scratch.written(heavy.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "common")
+    columns = ["t", "doc_id", "n", "at", "heavy"]
+    leads = light.withColumn("heavy", F.lit(False)).select(*columns).unionByName(heavy.join(common, "t").select(*columns))
+    leads = leads.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("at", "t", "heavy"))).alias("leads"))
+    # a link is of percent * n / 100 shingles at least, and SHARED of them are in both leads or all
+    out = scratch.written(leads.where(f"100 * size(leads) >= least({100 * SHARED}, {percent} * n)"), "leads")
+    scratch.drop("common")
+    return out
+
+
+def may_link(common: str, n: str, lo: str, hi: str, percent: int) -> str:
+    """SQL: whether a set of n shingles with so many common lead shingles may link with one of lo to hi shingles.
+
+    Sets of n and m link by o >= p (n + m) / (100 + p) common shingles. Of the two leads take the one that ends first: what it
+    has of them is in the other lead too, and it lacks ceil(p max(n, m) / 100) - SHARED at most. So common >= o, or common >
+    SHARED - 1 + p (n + m) / (100 + p) - p max(n, m) / 100; over the sizes m that can link, the latter is least at an end.
+    """
+    lo, hi = f"greatest({lo}, ceil({percent} * {n} / 100))", f"least({hi}, floor(100 * {n} / {percent}))"
+    least = ", ".join(f"{100 * percent} * ({n} + {m}) - {percent * (100 + percent)} * greatest({n}, {m})" for m in (lo, hi))
+    return f"({100 + percent} * {common} >= {percent} * ({n} + {lo}) or {100 * (100 + percent)} * ({common} - {SHARED - 1}) > least({least}))"
+
+
 def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, limits: Limits) -> DataFrame:
     """Links (a, b) between a document and the pivots of its min-hash pairs: the smallest ids that have the pair."""
     key = F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("m1").alias("m")), F.struct(F.lit(2).alias("t"), F.col("m2").alias("m"))))
@@ -201,8 +231,8 @@ def pivot_links(sigs: DataFrame, docs: DataFrame, words: int, percent: int, scra
 
 
 def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words: int, percent: int, scratch: Scratch, limits: Limits) -> DataFrame:
-    """Links (a, b) between components of first (node, component) by the token-group matrix. leads: t, doc_id, n."""
-    docs = leads.groupBy("doc_id").agg(F.first("n").alias("n"), F.min_by("t", "at").alias("rarest"), F.max_by("t", "at").alias("commonest"))
+    """Links (a, b) between components of first (node, component) by the token-group matrix. leads: as of shared_leads()."""
+    docs = leads.select("doc_id", "n", F.element_at("leads", 1)["t"].alias("rarest"), F.element_at("leads", -1)["t"].alias("commonest"))
     docs = docs.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     sizes = docs.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("comp_size"))
     docs = docs.join(sizes, "component", "left").withColumn("comp_size", F.coalesce("comp_size", F.lit(1)))
@@ -214,10 +244,13 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
     dealt = F.xxhash64(F.when(F.col("near") > limits.members, F.col("doc_id")).otherwise(F.col("rarest")))
     docs = docs.join(near, ["family", "rarest"]).join(families, "family").withColumn("block", F.xxhash64("family", F.pmod(dealt, F.ceil(F.col("c") / limits.members))))
     docs = scratch.written(docs.select("doc_id", "n", "comp", "comp_size", F.col("family.linked").alias("linked"), "block"), "grouped")
-    rows = leads.select("t", "doc_id").join(docs, "doc_id")
+    columns = ["t", "doc_id", "n", "comp", "comp_size", "block"]
+    rows = leads.select("doc_id", "leads").join(docs, "doc_id").select(F.explode("leads").alias("l"), *columns[1:]).select("l.t", "l.heavy", *columns[1:])
     # shingles of one component only can't lead to a new link
-    open_tokens = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    rows = scratch.written(rows.join(scratch.written(open_tokens, "open"), "t"), "matrix")
+    light = rows.where("not heavy").withColumns({"lo": F.min("comp").over(W.partitionBy("t")), "hi": F.max("comp").over(W.partitionBy("t"))}).where("lo <> hi")
+    heavy = rows.where("heavy")
+    open_tokens = scratch.written(heavy.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"), "open")
+    rows = scratch.written(light.select(*columns).unionByName(heavy.join(open_tokens, "t").select(*columns)), "matrix")
     scratch.drop("open")
     matrix = rows.groupBy("t", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max"), F.max("comp_size").alias("c_size"))
     q = rows.select("t", F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.col("comp_size").alias("qs"))
@@ -225,18 +258,18 @@ def group_links(leads: DataFrame, docs_text: DataFrame, first: DataFrame, words:
         f"""100 * n_max >= {percent} * qn and {percent} * n_min <= 100 * qn and not (c_min = c_max and c_min = qc)
             and (c_size > qs or (c_size = qs and c_max > qc))"""
     )
-    least = F.least(F.lit(SHARED), F.ceil(F.col("qn") * percent / 100), F.ceil(F.col("bn") * percent / 100))
-    pairs = met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc"), F.min("n_min").alias("bn"), F.count(F.lit(1)).alias("common"))
-    pairs = scratch.written(pairs.where(F.col("common") >= least).select("block", "q", "qn", "qc"), "met")
+    pairs = met.groupBy("block", "q").agg(F.first("qn").alias("qn"), F.first("qc").alias("qc"), F.min("n_min").alias("lo"), F.max("n_max").alias("hi"), F.count(F.lit(1)).alias("common"))
+    pairs = scratch.written(pairs.where(may_link("common", "qn", "lo", "hi", percent)).select("block", "q", "qc"), "met")
     scratch.drop("matrix")
     open_blocks = docs.join(pairs.select("block").distinct(), "block")
     sets = sets_of(docs_text, open_blocks.select("doc_id").unionByName(pairs.select(F.col("q").alias("doc_id"))), words, scratch, "group-sets", limits)
     load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / limits.queries).alias("parts"))
     queries = pairs.join(load, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
-    queries = queries.join(sets.select(F.col("doc_id").alias("q"), "set"), "q").select("block", "part", F.lit(1).alias("asks"), F.col("q").alias("id"), F.col("qc").alias("comp"), "set")
+    queries = queries.select("block", "part", F.lit(1).alias("asks"), F.col("q").alias("doc_id"), F.col("qc").alias("comp"))
     members = docs.join(load, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.join(sets, "doc_id").select("block", "part", F.lit(0).alias("asks"), F.col("doc_id").alias("id"), "comp", "set")
-    dealt = members.unionByName(queries).repartition("block", "part").sortWithinPartitions("block", "part", "asks", "id")
+    members = members.select("block", "part", F.lit(0).alias("asks"), "doc_id", "comp")
+    dealt = members.unionByName(queries).join(sets, "doc_id").select("block", "part", "asks", F.col("doc_id").alias("id"), "comp", "set")
+    dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, union = None, [], None
@@ -285,16 +318,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, limit
     reps = scratch.written(rows_with_ids(sound, first_ids, "doc_id", limits.ids), "classes")
     scratch.drop("signatures", "first-ids")
     keys = scratch.written(reps.select("n", "k1", "k2", "doc_id", "m1", "m2"), "reps")
-    lead = reps.select("doc_id", "n", "heavy", F.posexplode("lead").alias("at", "t")).withColumn("heavy", F.col("at") >= F.col("heavy"))
-    # rows of a shingle that few leads can hold meet in one task, and one shuffle tells which are shared; the others are counted and joined
-    light = lead.where("not heavy").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("t"))).where("c > 1")
-    heavy = lead.where("heavy")
-    common = scratch.written(heavy.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), "common")
-    columns = ["t", "doc_id", "n", "at"]
-    leads = scratch.written(light.select(*columns).unionByName(heavy.join(common, "t").select(*columns)), "leads")
-    scratch.drop("classes", "common")
-    near = leads.select("doc_id").distinct()
-    links = pivot_links(keys.join(near, "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch, limits)
+    leads = shared_leads(reps, percent, scratch)
+    scratch.drop("classes")
+    links = pivot_links(keys.join(leads.select("doc_id"), "doc_id").select("doc_id", "n", "m1", "m2"), docs, words, percent, scratch, limits)
     first = components(links, scratch, "first")
     more = group_links(leads, docs, first, words, percent, scratch, limits)
     scratch.drop("leads")
