@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Imputer, ImputerModel, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, Bucketizer, CountVectorizer, ElementwiseProduct, Imputer, ImputerModel, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.functions.text import to_number
@@ -18,8 +20,8 @@ from assetlens.operators.profile import MISSING, seeded_sample
 from assetlens.scratch import Scratch, spread, written
 
 
-#: Suffixes of columns made from a source column: filled numbers and one-hot levels.
-FILLED, HOT, INDEX = "::filled", "::hot", "::index"
+#: Suffixes of columns made from a source column: filled numbers, their bins and one-hot levels.
+FILLED, BIN, HOT, INDEX = "::filled", "::bin", "::hot", "::index"
 
 
 def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -61,10 +63,31 @@ class TermWeights(Estimator):
         return ElementwiseProduct(scalingVec=Vectors.dense(idf + 1), **self.columns)
 
 
-def feature_stages(numeric: list[str], categorical: list[str], grams: str | None = None, vocabulary: int = 5000) -> list:
-    """Median imputation and scaling, one-hot levels with unknown ones kept apart, TF-IDF of n-grams (idf + 1, unit length)."""
+class Bins(Estimator):
+    """The numbers of the bins that numbers lie in: each value of a column with no more than `bins` is one, else the ranges between quantiles are. Fits to Spark's Bucketizer."""
+
+    def __init__(self, inputCols: list[str], outputCols: list[str], bins: int = 32):
+        super().__init__()
+        self.columns, self.bins = {"inputCols": inputCols, "outputCols": outputCols}, bins
+
+    def _fit(self, df: DataFrame) -> Bucketizer:
+        columns, splits = self.columns["inputCols"], []
+        quantiles = df.approxQuantile(columns, [i / self.bins for i in range(1, self.bins)], 0.001)
+        for c, q in zip(columns, quantiles):
+            few = sorted(r[0] for r in df.select(c).distinct().limit(self.bins + 1).collect())
+            cuts = q if len(few) > self.bins else few[1:] or few
+            splits.append([-math.inf, *sorted(set(cuts)), math.inf])
+        return Bucketizer(splitsArray=splits, **self.columns)
+
+
+def feature_stages(numeric: list[str], categorical: list[str], grams: str | None = None, vocabulary: int = 5000, bins: int = 0) -> list:
+    """Median imputation and scaling, one-hot levels with unknown ones kept apart, TF-IDF of n-grams (idf + 1, unit length). bins > 0: numbers are binned (see Bins), not scaled."""
     stages, parts = [], []
-    if numeric:
+    if numeric and bins:
+        filled, binned = [f"{c}{FILLED}" for c in numeric], [f"{c}{BIN}" for c in numeric]
+        stages += [Imputer(inputCols=numeric, outputCols=filled, strategy="median"), Bins(filled, binned, bins)]
+        parts += binned
+    elif numeric:
         filled = [f"{c}{FILLED}" for c in numeric]
         stages += [Imputer(inputCols=numeric, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__num", handleInvalid="keep"), StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True)]
         parts.append("__scaled")
@@ -97,6 +120,87 @@ def boosted_trees(target: str = "label", rounds: int = 350, rate: float = 0.04,
     return GBTRegressor(labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample, minInstancesPerNode=leaf, seed=seed)
 
 
+#: Most rows that a forest over classes is fitted on as they are, by Spark's own forest at once; the trees are drawn from the same distribution.
+FEW = 50_000
+
+
+class ClassForest(Estimator):
+    """A random forest that is fitted on classes of rows with equal features, so its work grows with the classes (with binned features they are few) and not with rows.
+
+    Every row counts, and the bootstrap is that of single rows: a row comes into a tree's sample a Poisson number of times with mean one, so m rows with one label come Poisson
+    times with mean m. What splits and leaves depend on are counts and sums of labels, so a tree gets, of each class, the number of draws as weight and the mean of their labels; the
+    sum of squares inside a class is the same on both sides of any split. A leaf's least rows become a least weight. Trees are fitted side by side, each by Spark's own forest of one tree.
+    """
+
+    def __init__(self, model: RandomForestRegressor):
+        super().__init__()
+        self.model = model
+
+    def draws(self, df: DataFrame, scratch: Scratch) -> DataFrame:
+        """tree, features, weight and label: of each tree's bootstrap the classes that it has."""
+        m = self.model
+        return _drawn(df.select(vector_to_array(m.getFeaturesCol()).alias("features"), F.col(m.getLabelCol()).cast("double").alias("label")), m.getNumTrees(), m.getSeed(), scratch)
+
+    def _fit(self, df: DataFrame) -> RandomForestRegressionModel:
+        spark, m = df.sparkSession, self.model
+        if df.count() <= FEW:
+            # without what is known of the columns: a bin's number is a number, not a level
+            return m.fit(dealt(df.withMetadata(m.getFeaturesCol(), {})))
+        scratch = Scratch(spark, "forest")
+        path = scratch.path("draws")
+        self.draws(df, scratch).repartition("tree").write.partitionBy("tree").parquet(path)
+        table = spark.read.parquet(path)
+        schema = table.drop("tree").schema
+        totals = {r["tree"]: r["w"] for r in table.groupBy("tree").agg(F.sum("weight").alias("w")).collect()}
+        subset = m.getFeatureSubsetStrategy()
+        one = {m.numTrees: 1, m.bootstrap: False, m.subsamplingRate: 1.0, m.labelCol: "label", m.featuresCol: "features", m.weightCol: "weight", m.minInstancesPerNode: 1, m.featureSubsetStrategy: "onethird" if subset == "auto" and m.getNumTrees() > 1 else subset}
+
+        def fit(tree: int) -> RandomForestRegressionModel:
+            # weights are whole numbers, so a half below is as good as the least itself, and safe from rounding; what can't be split in two such parts is one leaf
+            least = m.getMinInstancesPerNode()
+            limits = {m.minWeightFractionPerNode: (least - 0.5) / totals[tree]} if totals[tree] >= 2 * least else {m.maxDepth: 0}
+            return m.copy(one | limits | {m.seed: m.getSeed() + tree}).fit(spark.read.schema(schema).parquet(f"{path}/tree={tree}"))
+
+        with ThreadPoolExecutor(spark.sparkContext.defaultParallelism) as pool:
+            waiting = [pool.submit(inheritable_thread_target(spark)(lambda tree=tree: fit(tree))) for tree in sorted(totals)]
+            fitted = [w.result() for w in waiting]
+        scratch.close()
+        return _joined(fitted, m)
+
+
+def _drawn(rows: DataFrame, trees: int, seed: int, scratch: Scratch) -> DataFrame:
+    """Bootstraps of rows (features array, label) for so many trees. Draws are seeded by a class's features and label, so they repeat whatever the partitions."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for b in batches:
+            f, y = np.stack(b["features"].to_numpy()), b["label"].to_numpy()
+            k = np.stack([np.random.default_rng(h & (2**64 - 1)).poisson(n, trees) for h, n in zip(b["h"].tolist(), b["n"].tolist())]).astype("float64")
+            first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]).any(axis=1)])
+            yield pd.DataFrame({"features": list(f[first]), "n": list(np.add.reduceat(k, first)), "s": list(np.add.reduceat(k * y[:, None], first))})
+
+    counted = scratch.written(rows.groupBy("features", "label").agg(F.count(F.lit(1)).alias("n"), F.xxhash64("features", "label", F.lit(seed)).alias("h")), "classes")
+    dealt_out = counted.repartitionByRange(max(32, 4 * rows.sparkSession.sparkContext.defaultParallelism), "features", "label").sortWithinPartitions("features", "label")
+    sums = dealt_out.mapInPandas(draw, "features array<double>, n array<double>, s array<double>")
+    per = sums.select("features", F.posexplode(F.arrays_zip("n", "s")).alias("tree", "x")).where("x.n > 0").groupBy("tree", "features").agg(F.sum("x.n").alias("weight"), F.sum("x.s").alias("s"))
+    return per.select("tree", array_to_vector("features").alias("features"), "weight", (F.col("s") / F.col("weight")).alias("label"))
+
+
+def _joined(fitted: list[RandomForestRegressionModel], like: RandomForestRegressor) -> RandomForestRegressionModel:
+    """One forest of the trees of several."""
+    spark = SparkSession.active()
+    ml_regression = spark._jvm.org.apache.spark.ml.regression
+    trees = [t._java_obj for f in fitted for t in f.trees]
+    array = spark.sparkContext._gateway.new_array(ml_regression.DecisionTreeRegressionModel, len(trees))
+    for i, t in enumerate(trees):
+        array[i] = t
+    out = RandomForestRegressionModel(ml_regression.RandomForestRegressionModel(f"{like.uid}_classes", array, fitted[0].numFeatures))
+    out = like.copy({like.numTrees: len(trees)})._copyValues(out)
+    out._transfer_params_to_java()  # its predictions are sums over numTrees
+    return out
+
+
 class EarlyStopped(Estimator):
     """Boosted trees with as many rounds as are best for held-out training rows.
 
@@ -182,7 +286,7 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     hot = [c.removesuffix(INDEX) for s in model.stages if hasattr(s, "labelsArray") for c in s.getOutputCols()]
     filled = [c.removesuffix(FILLED) for s in model.stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
     # slots of scaled numbers are numbered in the order of the columns; a level's slot starts with its column's name, the longest that fits
-    sources = {f"__scaled_{i}": c for i, c in enumerate(filled)}
+    sources = {f"__scaled_{i}": c for i, c in enumerate(filled)} | {f"{c}{BIN}": c for c in filled}
 
     def source(n: str) -> str:
         return sources.get(n) or max((c for c in hot if n.startswith(c + HOT)), key=len, default="text" if n.startswith("__text") else n)

@@ -534,8 +534,8 @@ def p2_out_of_fold_ridge(spark, sf):
 def p17_partial_dependence(spark, sf):
     from assetlens.operators import ml
 
-    d = ml.dealt(written(_model_frame(spark, sf), "model-frame"))
-    model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"]), ml.random_forest())
+    d = written(_model_frame(spark, sf).select("asset_id", "size", "price", "domain", "label"), "model-frame")
+    model = ml.fit_pipeline(d, ml.feature_stages(["size", "price"], ["domain"], bins=32), ml.ClassForest(ml.random_forest()))
     return ml.partial_dependence(model, d, "price", "asset_id", sample=None)
 
 
